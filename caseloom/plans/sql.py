@@ -502,6 +502,15 @@ placed AS (
   coalesce(capacity, 0) AS capacity, CASE WHEN coalesce(n_assigned, 0) = coalesce(capacity, 0) THEN 1 ELSE 0 END AS filled,
   CASE WHEN coalesce(n_assigned, 0) > coalesce(capacity, 0) THEN 1 ELSE 0 END AS over
 FROM have h FULL OUTER JOIN cap c ON h.batch = c.batch AND h.expert = c.expert"""),
+    "classifier_report": _with(CASES, COSTS, SPLIT_CASES, """marked AS (
+  SELECT cost, split, fraud_bool AS y, CASE WHEN model_score >= 0.5e0 THEN 1 ELSE 0 END AS d FROM split_cases CROSS JOIN costs)""",
+        select="""SELECT cost, split,
+  round(CAST(count(*) FILTER (y = 0 AND d = 1) AS DOUBLE)/count(*) FILTER (y = 0), 6) AS fpr,
+  round(CAST(count(*) FILTER (y = 1 AND d = 0) AS DOUBLE)/count(*) FILTER (y = 1), 6) AS fnr,
+  round(avg(CAST(y AS DOUBLE)), 6) AS prev,
+  round((cost*count(*) FILTER (y = 0 AND d = 1) + count(*) FILTER (y = 1 AND d = 0))/count(*), 6) AS model_cost,
+  round(cost*count(*) FILTER (y = 0)/count(*), 6) AS reject_all_cost
+FROM marked GROUP BY cost, split"""),
     "deferral_results": _with(*_grid_parts(), _evaluated("grid_runs"), recursive=True, select=f"""SELECT scen, cost, sub, alert_rate, seed, method, env,
   4457 AS batch_size, 1 AS batch_seed, 0 AS absence_rate, CAST(NULL AS VARCHAR) AS absence_seed,
   distribution, distribution_std, distribution_seed, 0.9e0 AS deferral_rate, 'standard' AS pool,

@@ -13,6 +13,7 @@ def make_session(partitions: int = 8) -> SparkSession:
         .appName("caseloom-tests")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
