@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from caseloom import config
 from caseloom.functions import scalars
 from caseloom.operators import ordering, sampling
+from caseloom.session import cut_lineage
 
 
 def threshold_at_fpr(
@@ -80,14 +81,14 @@ def alert_scenarios(
     """
     validation = scored.filter(F.col(config.TIMESTAMP) == 3)
     limits = threshold_at_fpr(validation, [], config.LABEL, "model_score", sorted({*rates, data_rate}))
-    alerts = raise_alerts(scored, limits)
+    alerts = cut_lineage(raise_alerts(scored, limits))
     sizes = (
         alerts.filter(F.col("alert_rate") == data_rate)
         .groupBy(config.TIMESTAMP)
         .agg(F.count(F.lit(1)).alias("n_take"))
     )
     wanted = alerts.filter(F.col("alert_rate").isin([float(r) for r in rates]))
-    base = sampling.stratified_sample(wanted, ["alert_rate"], config.TIMESTAMP, sizes, seed, key)
+    base = cut_lineage(sampling.stratified_sample(wanted, ["alert_rate"], config.TIMESTAMP, sizes, seed, key))
     return sampling.nested_subsample(base, ["alert_rate"], config.TIMESTAMP, subs, seed, key).withColumn(
         "scen",
         F.when(

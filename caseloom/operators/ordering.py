@@ -16,7 +16,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.session import shuffle_width
+from caseloom.session import cut_lineage, shuffle_width
 
 MAX_BUCKETS = 2000
 BUCKET = "_bucket"
@@ -41,7 +41,7 @@ def with_bucket(df: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
     splits = [float("-inf"), *cuts, float("inf")]
     tool = Bucketizer(splits=splits, inputCol="_as_double", outputCol=BUCKET, handleInvalid="keep")
     cut = tool.transform(df.withColumn("_as_double", F.col(value).cast("double")))
-    return cut.withColumn(BUCKET, F.col(BUCKET).cast("int")).drop("_as_double")
+    return cut.withColumn(BUCKET, F.coalesce(F.col(BUCKET).cast("int"), F.lit(-1))).drop("_as_double")
 
 
 def _direction(name: str, descending: bool) -> Column:
@@ -54,18 +54,17 @@ def running_totals(
     value: str,
     sums: dict[str, Column],
     descending: bool = False,
-    cuts: Sequence[float] | None = None,
     keep_bucket: bool = False,
 ) -> DataFrame:
     """One row per (keys, value) with ``x`` (own total), ``x_before`` (earlier values) and ``x_all``.
 
     ``sums`` maps an output name to the expression summed.  Rows with a null value are left out.
+    The input is read once: its totals per value are written out and everything else works on them.
     """
     keys = list(keys)
     rows = df.filter(F.col(value).isNotNull())
-    cuts = value_cuts(rows, value) if cuts is None else cuts
-    per_value = rows.groupBy(*keys, value).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
-    per_value = with_bucket(per_value, value, cuts)
+    per_value = cut_lineage(rows.groupBy(*keys, value).agg(*[F.sum(e).alias(n) for n, e in sums.items()]))
+    per_value = with_bucket(per_value, value, value_cuts(per_value, value))
 
     inside = (
         Window.partitionBy(*keys, BUCKET)

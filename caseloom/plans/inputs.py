@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from caseloom import config
 from caseloom.operators import joins, ordering
+from caseloom.session import cut_lineage, shuffle_width
 
 EXPERTS = list(range(10))
 MODEL_EXPERT = 9
@@ -69,7 +70,7 @@ def batches(case_rows: DataFrame) -> DataFrame:
     """Test cases in order of their id, cut into batches of a fixed size."""
     test = case_rows.filter(F.col("month") == 7)
     placed = ordering.numbered(test, [], "case_id", "pos")
-    return placed.withColumn("batch", (F.floor(F.col("pos") / BATCH_SIZE) + 1).cast("int"))
+    return cut_lineage(placed.withColumn("batch", (F.floor(F.col("pos") / BATCH_SIZE) + 1).cast("int")))
 
 
 def capacity_wide(batch_rows: DataFrame) -> DataFrame:
@@ -91,8 +92,8 @@ def capacity(batch_rows: DataFrame) -> DataFrame:
     return full.withColumn("capacity", F.greatest(F.col("capacity"), F.lit(0).cast("long")))
 
 
-def batch_pred(case_rows: DataFrame, full_only: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(probabilities per batch, case and expert; capacities)."""
+def batch_pred(case_rows: DataFrame, full_only: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(probabilities per batch, case and expert; capacities; batches)."""
     placed = batches(case_rows)
     cap = capacity(placed)
     if full_only:
@@ -107,7 +108,7 @@ def batch_pred(case_rows: DataFrame, full_only: bool = False) -> tuple[DataFrame
         expert_probability(k).alias("p_correct"),
         expert_decision(k).alias("decision"),
     )
-    return pred, cap
+    return pred, cap, placed
 
 
 def runs(case_rows: DataFrame) -> DataFrame:
@@ -136,6 +137,8 @@ def runs(case_rows: DataFrame) -> DataFrame:
         ]
     )
     test = case_rows.filter(F.col("month") == 7).select("case_id", "fraud_bool", "customer_age")
+    # Spread the few, narrow rows before each becomes several hundred.
+    test = test.repartition(shuffle_width(test.sparkSession), "case_id")
     wide = test.withColumn("run", F.explode(lines)).select("case_id", "fraud_bool", "customer_age", "run.*")
     k = F.when(F.col("method") == "classifier_only", F.lit(9)).otherwise(
         (F.col("case_id") + F.col("shift")) % 10

@@ -19,6 +19,7 @@ from caseloom.operators import (
     sampling,
 )
 from caseloom.plans import inputs
+from caseloom.session import cut_lineage
 from caseloom.sources import registry, tables
 
 LAMBDA = 0.057
@@ -76,7 +77,7 @@ def scenario_parse(spark, d):
 
 
 def pending_work(spark, d):
-    pred, _ = inputs.batch_pred(inputs.cases(spark, d))
+    pred, _, _ = inputs.batch_pred(inputs.cases(spark, d))
     grid = pred.select("batch", "expert").distinct()
     done = pred.filter((F.col("decision") == 1) & (F.col("case_id") % 7 == 0)).select("batch", "expert").distinct()
     return joins.pending_work(grid, done, ["batch", "expert"])
@@ -194,6 +195,11 @@ def _results(spark, d) -> DataFrame:
     return evaluation.evaluate_runs(inputs.runs(rows), rows)
 
 
+def _results_table(spark, d) -> DataFrame:
+    """The evaluation table written once, for reports that use it several times."""
+    return cut_lineage(_results(spark, d))
+
+
 def result_filter(spark, d):
     kept = evaluation.keep_results(_results(spark, d), full_training_only=True, cost=LAMBDA, drop_methods=["random"])
     return r6(kept.select("scen", "cost", "method", "seed", "env", "cost_per_100"), "cost_per_100")
@@ -301,7 +307,7 @@ def complementarity(spark, d):
 
 def win_rate(spark, d):
     out = metrics.win_rate(
-        evaluation.keep_results(_results(spark, d), full_training_only=True),
+        evaluation.keep_results(_results_table(spark, d), full_training_only=True),
         "optimal", ["greedy"], ["greedy", "random", "reject_all", "classifier_only"], "cost_per_100",
     )
     return r6(out, "win_rate")
@@ -374,7 +380,7 @@ def train_outcome_shares(spark, d):
 
 
 def group_mean_nullkeys(spark, d):
-    res = _results(spark, d)
+    res = _results_table(spark, d)
     keys = ["scen", "cost", "distribution_seed", "seed"]
     kept = metrics.group_mean(res, keys, ["cost_per_100"]).withColumn("null_keys", F.lit("kept"))
     dropped = metrics.group_mean(res, keys, ["cost_per_100"], keep_null_keys=False).withColumn(
@@ -431,7 +437,7 @@ def fpr_threshold(spark, d):
 
 
 def pct_improvement(spark, d):
-    means = metrics.group_mean(_results(spark, d), ["alert_rate", "cost", "method"], ["cost_per_100"])
+    means = metrics.group_mean(_results_table(spark, d), ["alert_rate", "cost", "method"], ["cost_per_100"])
     out = metrics.percent_improvement(means, ["alert_rate", "cost"], "method", "optimal", "greedy", "cost_per_100")
     return r6(out, "pct_change")
 
@@ -445,7 +451,7 @@ BOOTSTRAP_REPLICATES = 200
 
 
 def bootstrap_ci(spark, d):
-    res = _results(spark, d).filter(F.col("method") == "greedy")
+    res = _results_table(spark, d).filter(F.col("method") == "greedy")
     res = res.withColumn("_run", hashing.seeded_hash("run", "scen", "seed", "env"))
     out = metrics.bootstrap_ci(
         res, ["alert_rate", "cost"], "cost_per_100", "_run", replicates=BOOTSTRAP_REPLICATES
@@ -546,15 +552,14 @@ def _decided(assigned: DataFrame, pred: DataFrame, keys=()) -> DataFrame:
 
 
 def defer_model_only(spark, d):
-    pred, _ = inputs.batch_pred(inputs.cases(spark, d))
-    placed = inputs.batches(inputs.cases(spark, d)).select("batch", "case_id")
-    return _decided(deferral.one_expert(placed, inputs.MODEL_EXPERT), pred)
+    pred, _, placed = inputs.batch_pred(inputs.cases(spark, d))
+    return _decided(deferral.one_expert(placed.select("batch", "case_id"), inputs.MODEL_EXPERT), pred)
 
 
 def _random(spark, d):
     rows = inputs.cases(spark, d)
-    pred, cap = inputs.batch_pred(rows)
-    placed = inputs.batches(rows).select("batch", "case_id")
+    pred, cap, placed = inputs.batch_pred(rows)
+    placed = placed.select("batch", "case_id")
     return deferral.random_under_capacity(placed, cap, [], config.SAMPLE_SEED), pred, cap
 
 
@@ -564,23 +569,23 @@ def defer_random(spark, d):
 
 
 def defer_greedy(spark, d):
-    pred, cap = inputs.batch_pred(inputs.cases(spark, d))
+    pred, cap, _ = inputs.batch_pred(inputs.cases(spark, d))
     return _decided(deferral.greedy(pred, cap), pred)
 
 
 def defer_optimal(spark, d):
-    pred, cap = inputs.batch_pred(inputs.cases(spark, d), full_only=True)
+    pred, cap, _ = inputs.batch_pred(inputs.cases(spark, d), full_only=True)
     return _decided(optimal.optimal(pred, cap), pred)
 
 
 def defer_optimal_certificate(spark, d):
-    pred, cap = inputs.batch_pred(inputs.cases(spark, d), full_only=True)
+    pred, cap, _ = inputs.batch_pred(inputs.cases(spark, d), full_only=True)
     check = optimal.optimality_check(optimal.optimal(pred, cap), pred)
     return check.select("batch", "n_cases", "violations")
 
 
 def defer_optimal_two(spark, d):
-    pred, cap = inputs.batch_pred(inputs.cases(spark, d))
+    pred, cap, _ = inputs.batch_pred(inputs.cases(spark, d))
     two = pred.filter(F.col("expert").isin(0, inputs.MODEL_EXPERT))
     sized = cap.groupBy("batch").agg(F.max("batch_size").alias("n"))
     first = F.floor(F.col("n") * 2 / 5).cast("long")
