@@ -17,17 +17,18 @@ METRICS = ["tpr", "fpr", "cost_per_100"]
 
 def evaluate_runs(
     decisions: DataFrame,
-    cases: DataFrame,
+    cases: DataFrame | None = None,
     keys: Sequence[str] = tuple(RUN_KEYS),
     label: str = config.LABEL,
     age: str = config.PROTECTED,
 ) -> DataFrame:
     """Join decisions to labels by case and reduce each run to one row in a single aggregation.
 
+    Without ``cases`` the decisions carry label and age themselves.
     ``seed`` may hold the text ``NA`` for methods without training; it becomes null.
     """
     y, d, old = F.col(label), F.col("prediction"), F.col(age) >= config.OLD_AGE
-    reviewed = decisions.join(cases.select("case_id", label, age), "case_id")
+    reviewed = decisions if cases is None else decisions.join(cases.select("case_id", label, age), "case_id")
     neg, pos = y == 0, y == 1
     sums = reviewed.groupBy(*keys).agg(
         F.count_if(neg & (d == 0)).alias("tn"),

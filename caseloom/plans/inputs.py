@@ -114,7 +114,8 @@ def batch_pred(case_rows: DataFrame, full_only: bool = False) -> tuple[DataFrame
 def runs(case_rows: DataFrame) -> DataFrame:
     """Decisions of finished runs: test cases x (scenario, cost) x method x seed x environment.
 
-    Every run sends a case to one expert by a rotation of the run's numbers.
+    Every run sends a case to one expert by a rotation of the run's numbers.  Labels come along, so
+    the expanded rows need no join of their own.
     """
     grid = [
         (i, scen, cost, m, method, seed, e, env)
@@ -123,28 +124,28 @@ def runs(case_rows: DataFrame) -> DataFrame:
         for seed in (SEEDS if method in SEEDED_METHODS else [0])
         for e, env in enumerate(ENVIRONMENTS)
     ]
-    lines = F.array(
-        *[
-            F.struct(
-                F.lit(scen).alias("scen"),
-                F.lit(cost).alias("cost"),
-                F.lit(method).alias("method"),
-                F.lit("NA" if seed == 0 else f"5k-{seed}#regular").alias("seed"),
-                F.lit(env).alias("env"),
-                F.lit(3 * m + 5 * seed + 7 * e + 11 * i).alias("shift"),
-            )
+    # One SQL text instead of thousands of column objects.
+    lines = F.expr(
+        "array("
+        + ", ".join(
+            f"named_struct('scen', '{scen}', 'cost', {cost}D, 'method', '{method}', "
+            f"'seed', '{'NA' if seed == 0 else f'5k-{seed}#regular'}', 'env', '{env}', "
+            f"'shift', {3 * m + 5 * seed + 7 * e + 11 * i})"
             for i, scen, cost, m, method, seed, e, env in grid
-        ]
+        )
+        + ")"
     )
-    test = case_rows.filter(F.col("month") == 7).select("case_id", "fraud_bool", "customer_age")
+    decisions = F.array(*[expert_decision(F.lit(k)) for k in EXPERTS])
+    test = case_rows.filter(F.col("month") == 7)
+    test = test.select("case_id", "fraud_bool", "customer_age", decisions.alias("decisions"))
     # Spread the few, narrow rows before each becomes several hundred.
     test = test.repartition(shuffle_width(test.sparkSession), "case_id")
-    wide = test.withColumn("run", F.explode(lines)).select("case_id", "fraud_bool", "customer_age", "run.*")
+    wide = test.withColumn("run", F.explode(lines)).select("case_id", "fraud_bool", "customer_age", "decisions", "run.*")
     k = F.when(F.col("method") == "classifier_only", F.lit(9)).otherwise(
         (F.col("case_id") + F.col("shift")) % 10
     ).cast("int")
     wide = wide.withColumn("expert", k)
     return wide.withColumn(
         "prediction",
-        F.when(F.col("method") == "reject_all", F.lit(1)).otherwise(expert_decision(F.col("expert"))),
-    ).select("scen", "cost", "method", "seed", "env", "case_id", "expert", "prediction")
+        F.when(F.col("method") == "reject_all", F.lit(1)).otherwise(F.get("decisions", F.col("expert"))),
+    ).select("scen", "cost", "method", "seed", "env", "case_id", "fraud_bool", "customer_age", "expert", "prediction")

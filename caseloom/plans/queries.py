@@ -191,8 +191,7 @@ def logit_offset(spark, d):
 
 
 def _results(spark, d) -> DataFrame:
-    rows = inputs.cases(spark, d)
-    return evaluation.evaluate_runs(inputs.runs(rows), rows)
+    return evaluation.evaluate_runs(inputs.runs(inputs.cases(spark, d)))
 
 
 def _results_table(spark, d) -> DataFrame:
@@ -370,8 +369,7 @@ def fpr_disparity(spark, d):
 
 
 def train_outcome_shares(spark, d):
-    rows = inputs.cases(spark, d)
-    runs = inputs.runs(rows).filter(F.col("method") == "greedy").join(rows.select("case_id", "fraud_bool"), "case_id")
+    runs = inputs.runs(inputs.cases(spark, d)).filter(F.col("method") == "greedy")
     runs = runs.withColumn("alert_rate", scalars.scenario_fields("scen")["alert_rate"])
     out = metrics.outcome_shares(
         runs, ["alert_rate", "cost", "scen", "seed"], ["alert_rate", "cost"], "fraud_bool", "prediction"
