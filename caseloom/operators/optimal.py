@@ -46,6 +46,8 @@ def optimal(pred: DataFrame, caps: DataFrame, keys: Sequence[str] = (), limit: i
     usual, large = split_by_size(pred, keys, limit)
 
     def settle(cases: pd.DataFrame, room: pd.DataFrame) -> pd.DataFrame:
+        if cases.empty:
+            return pd.DataFrame(columns=schema.names)
         rows, costs, experts, free = square(cases, room, "cost")
         if free.sum() != cases["case_id"].nunique():
             raise ValueError(f"capacities add up to {free.sum()}, not to the cases of the batch")
