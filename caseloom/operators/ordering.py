@@ -1,7 +1,7 @@
 """Ranks, running totals, order statistics and quantiles that never put a group in one task.
 
-A plain window over a large group sorts the whole group in one task.  Here the ordered column is
-first cut into value buckets at (approximate) global quantiles, which are a fixed number of
+A plain window sorts a whole group in one task, which is right for groups of ordinary size only.
+The largest group is counted first; when it is above ``PLAIN_ROWS``, the ordered column is first cut into value buckets at (approximate) global quantiles, which are a fixed number of
 literals.  A window then runs inside (group, bucket), and the totals of the earlier buckets are
 joined back.  A bucket holds about rows / buckets rows whatever the group sizes are.  Where values
 repeat, rows are summed per value first, so a value shared by a third of all rows is one row.
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from caseloom.session import cut_lineage, shuffle_width
 
+PLAIN_ROWS = 1_000_000
 MAX_BUCKETS = 2000
 BUCKET = "_bucket"
 
@@ -44,6 +45,14 @@ def with_bucket(df: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
     return cut.withColumn(BUCKET, F.coalesce(F.col(BUCKET).cast("int"), F.lit(-1))).drop("_as_double")
 
 
+def fits_plain_window(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether every group is small enough for one task; a count combined before the shuffle."""
+    if not keys:
+        return df.limit(PLAIN_ROWS + 1).count() <= PLAIN_ROWS
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (largest or 0) <= PLAIN_ROWS
+
+
 def _direction(name: str, descending: bool) -> Column:
     return F.col(name).desc() if descending else F.col(name).asc()
 
@@ -64,6 +73,8 @@ def running_totals(
     keys = list(keys)
     rows = df.filter(F.col(value).isNotNull())
     per_value = cut_lineage(rows.groupBy(*keys, value).agg(*[F.sum(e).alias(n) for n, e in sums.items()]))
+    if fits_plain_window(per_value, keys):
+        return _plain_totals(per_value, keys, value, list(sums), descending, keep_bucket)
     per_value = with_bucket(per_value, value, value_cuts(per_value, value))
 
     inside = (
@@ -92,6 +103,19 @@ def running_totals(
     )
 
 
+def _plain_totals(per_value, keys, value, sums, descending, keep_bucket) -> DataFrame:
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    earlier = group.orderBy(_direction(value, descending)).rowsBetween(Window.unboundedPreceding, -1)
+    return per_value.select(
+        *keys,
+        value,
+        *([F.lit(0).alias(BUCKET)] if keep_bucket else []),
+        *sums,
+        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"{n}_before") for n in sums],
+        *[F.sum(n).over(group).alias(f"{n}_all") for n in sums],
+    )
+
+
 def numbered(
     df: DataFrame,
     keys: Sequence[str],
@@ -108,9 +132,13 @@ def numbered(
     order columns with few distinct values.
     """
     keys, outer = list(keys), list(outer)
+    place = [_direction(by, descending), *[F.col(t).asc() for t in ties]]
+    if fits_plain_window(df, keys):
+        whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+        order = whole.orderBy(*[F.col(o).asc() for o in outer], *place)
+        return df.withColumn(out, (F.row_number().over(order) - 1).cast("long"))
     cuts = value_cuts(df, by) if cuts is None else cuts
     rows = with_bucket(df, by, cuts)
-    place = [_direction(by, descending), *[F.col(t).asc() for t in ties]]
     inside = Window.partitionBy(*keys, *outer, BUCKET).orderBy(*place)
     per_bucket = rows.groupBy(*keys, *outer, BUCKET).agg(F.count(F.lit(1)).alias("_n"))
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))

@@ -6,6 +6,11 @@ from pyspark.sql import functions as F
 from caseloom.operators import ordering
 
 
+@pytest.fixture(autouse=True, params=[1_000_000, 0], ids=["plain", "bucketed"])
+def group_limit(request, monkeypatch):
+    monkeypatch.setattr(ordering, "PLAIN_ROWS", request.param)
+
+
 def hot_frame(n=3000, seed=1):
     """One group and one value hold a third of all rows."""
     rng = np.random.default_rng(seed)
