@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +33,7 @@ def reject_all(batches: DataFrame) -> DataFrame:
 
 def one_expert(batches: DataFrame, expert) -> DataFrame:
     """Every case goes to one agent, for example the classifier."""
-    return batches.withColumn("expert", F.lit(expert))
+    return batches.withColumn("expert", expert if isinstance(expert, Column) else F.lit(expert))
 
 
 def random_under_capacity(

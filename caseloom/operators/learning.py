@@ -202,6 +202,17 @@ class OffsetTrees(Transformer):
         return out.withColumn("p", scalars.sigmoid("raw"))
 
 
+def save_offset_trees(model: OffsetTrees, path: str, spark: SparkSession) -> None:
+    """Trees as a pipeline model, start and rate as a one-row table beside it."""
+    PipelineModel(model.trees).write().overwrite().save(f"{path}/trees")
+    spark.createDataFrame([(model.init, model.rate)], "init double, rate double").write.mode("overwrite").parquet(f"{path}/start")
+
+
+def load_offset_trees(path: str, spark: SparkSession) -> OffsetTrees:
+    start = spark.read.parquet(f"{path}/start").first()
+    return OffsetTrees(start["init"], start["rate"], PipelineModel.load(f"{path}/trees").stages)
+
+
 def fit_offset_trees(
     rows: DataFrame, label: str, weight: str, init: float, params: dict, seed: int = 42
 ) -> OffsetTrees:
@@ -258,7 +269,7 @@ def sweep_classifier(
     rows: DataFrame,
     cost: float,
     spaces: Sequence[dict],
-    trials: int,
+    trials: int | Sequence[int],
     offsets: int = config.OFFSET_STEPS,
     seed: int = 42,
     width: int = 4,
@@ -273,11 +284,12 @@ def sweep_classifier(
     validation = weighted.filter(scalars.in_span(config.TIMESTAMP, *config.ALERT_SPANS["validation"])).persist()
     try:
         start = metrics.weighted_prevalence(train, [], config.LABEL, F.col(WEIGHT)).first()["init_log_odds"]
+        counts = [trials] * len(spaces) if isinstance(trials, int) else trials
         settings = [
             {"study": s * offsets + i, "init_score": start + config.OFFSET_WIDTH * i, **params}
             for s, space in enumerate(spaces)
             for i in range(offsets)
-            for params in draw_params(space, trials, seed)
+            for params in draw_params(space, counts[s], seed)
         ]
         return search(
             train,
@@ -342,12 +354,15 @@ def fit_one_vs_all(
     numeric: Sequence[str],
     width: int = 4,
 ) -> dict[str, Transformer]:
-    """An independent model per expert, fitted on that expert's decisions."""
+    """An independent model per expert, fitted on that expert's decisions.
+
+    ``params`` is one setting for all experts or a setting per expert.
+    """
     use_checkpoint_dir(log.sparkSession)
     ready = with_features(log, domains, numeric).select("assignment", FEATURES, CORRECT, WEIGHT).persist()
     try:
         jobs = [
-            lambda e=e: boosted_trees(params, CORRECT, weight=WEIGHT).fit(ready.filter(F.col("assignment") == e))
+            lambda e=e: boosted_trees(params.get(e, params), CORRECT, weight=WEIGHT).fit(ready.filter(F.col("assignment") == e))
             for e in experts
         ]
         return dict(zip(experts, in_parallel(log.sparkSession, jobs, width)))

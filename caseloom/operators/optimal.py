@@ -40,7 +40,7 @@ def optimal(pred: DataFrame, caps: DataFrame, keys: Sequence[str] = (), limit: i
     Fails when the capacities of a batch do not add up to its cases.
     """
     group = [*keys, "batch"]
-    pred = pred.select(*group, "pos", "case_id", "expert", error_cost("p_correct").alias("cost"))
+    pred = pred.select(*group, "pos", "case_id", "expert", error_cost("p_correct").alias("_cost"))
     caps = caps.select(*group, "expert", "capacity")
     schema = _output(pred, keys, [T.StructField("price", T.LongType())])
     usual, large = split_by_size(pred, keys, limit)
@@ -48,7 +48,7 @@ def optimal(pred: DataFrame, caps: DataFrame, keys: Sequence[str] = (), limit: i
     def settle(cases: pd.DataFrame, room: pd.DataFrame) -> pd.DataFrame:
         if cases.empty:
             return pd.DataFrame(columns=schema.names)
-        rows, costs, experts, free = square(cases, room, "cost")
+        rows, costs, experts, free = square(cases, room, "_cost")
         if free.sum() != cases["case_id"].nunique():
             raise ValueError(f"capacities add up to {free.sum()}, not to the cases of the batch")
         choice, prices = assign_exact(costs, free)
@@ -79,9 +79,9 @@ def optimal_spread(pred: DataFrame, caps: DataFrame, keys: Sequence[str] = ()) -
         )
     )
     kept = attach(pred, room.select(*group, "expert"), [*group, "expert"], "case_id", "left_semi")
-    listed = F.array_sort(F.collect_list(F.struct("expert", "cost")))
+    listed = F.array_sort(F.collect_list(F.struct("expert", "_cost")))
     wide = cut_lineage(
-        kept.groupBy(*group, "pos", "case_id").agg(F.transform(listed, lambda x: x["cost"]).alias("costs"))
+        kept.groupBy(*group, "pos", "case_id").agg(F.transform(listed, lambda x: x["_cost"]).alias("costs"))
     )
     _require_balance(wide, roster, group)
     prices = cut_lineage(_warm_prices(wide, roster, group))

@@ -14,7 +14,7 @@ from caseloom.operators import (
     joins,
     metrics,
     optimal,
-    ordering,
+    policies,
     reshape,
     sampling,
 )
@@ -641,24 +641,11 @@ def _grid(spark, d, full_only=False):
 def _grid_decisions(spark, d, with_optimal: bool) -> tuple[DataFrame, DataFrame]:
     """Decisions of every method, seed and environment in one frame, and the cases."""
     rows, per_env, pred, cap = _grid(spark, d, full_only=with_optimal)
-    decision = inputs.expert_decision(F.col("expert"))
-    flat = per_env.select("env", "batch", "pos", "case_id", "fraud_bool")
-    random = deferral.random_under_capacity(flat, cap, ["env"], config.SAMPLE_SEED)
-    unseeded = [
-        deferral.reject_all(flat).withColumn("method", F.lit("reject_all")).withColumn("expert", F.lit(None).cast("int")),
-        deferral.one_expert(flat, inputs.MODEL_EXPERT).withColumn("method", F.lit("classifier_only")).withColumn("prediction", decision),
-        random.withColumn("method", F.lit("random")).withColumn("prediction", decision),
-    ]
-    # Capacities hold for every seed.
-    per_seed = cap.withColumn("seed", F.explode(F.array(*[F.lit(f"5k-{s}#regular") for s in GRID_SEEDS])))
-    seeded = [deferral.greedy(pred, per_seed, ["env", "seed"]).withColumn("method", F.lit("greedy"))]
-    if with_optimal:
-        seeded.append(optimal.optimal(pred, per_seed, ["env", "seed"]).withColumn("method", F.lit("optimal")))
-    cols = ["method", "seed", "env", "batch", "case_id", "expert", "prediction"]
-    labels = rows.select("case_id", "fraud_bool")
-    parts = [u.withColumn("seed", F.lit("NA")).select(*cols) for u in unseeded]
-    parts += [s.join(labels, "case_id").withColumn("prediction", decision).select(*cols) for s in seeded]
-    return reshape.union_all(parts), rows
+    methods = [m for m in inputs.METHODS if with_optimal or m != "optimal"]
+    assigned = policies.run_policies(per_env, pred, cap, ["env"], inputs.MODEL_EXPERT, methods)
+    labelled = assigned.join(rows.select("case_id", "fraud_bool"), "case_id")
+    own = inputs.expert_decision(F.col("expert"))
+    return labelled.withColumn("prediction", F.when(F.col("method") == "reject_all", 1).otherwise(own)).drop("fraud_bool"), rows
 
 
 def deferral_grid(spark, d):

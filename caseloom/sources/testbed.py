@@ -16,19 +16,29 @@ def path_part(place: int) -> Column:
     return F.url_decode(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1 - place))
 
 
-def read_batches(spark: SparkSession, pattern: str) -> DataFrame:
+def _place(grid: bool) -> dict[str, Column]:
+    names = {"env": path_part(1)}
+    return {"grid": path_part(2), **names} if grid else names
+
+
+def read_batches(spark: SparkSession, pattern: str, grid: bool = False) -> DataFrame:
     """(env, batch, pos, case_id) from ``<env>/batches.csv`` files.
 
+    ``grid`` adds the name of the folder above the environment.
+
     The place of a line decides the order of cases.  Blocks of a file are scanned in order, so the
     row id of the scan grows along each file; ``pos`` is its rank inside the batch.
     """
     schema = T.StructType([T.StructField("case_id", T.LongType()), T.StructField("batch", T.IntegerType())])
     lines = spark.read.schema(schema).option("header", True).csv(pattern)
-    placed = lines.select(path_part(1).alias("env"), "batch", "case_id", F.monotonically_increasing_id().alias("_line"))
-    return ordering.numbered(placed, ["env", "batch"], "_line", "pos").drop("_line")
+    where = _place(grid)
+    placed = lines.select(
+        *[c.alias(n) for n, c in where.items()], "batch", "case_id", F.monotonically_increasing_id().alias("_line")
+    )
+    return ordering.numbered(placed, [*where, "batch"], "_line", "pos").drop("_line")
 
 
-def read_capacity(spark: SparkSession, pattern: str, humans: Sequence[str]) -> DataFrame:
+def read_capacity(spark: SparkSession, pattern: str, humans: Sequence[str], grid: bool = False) -> DataFrame:
     """(env, batch, batch_size, expert, capacity) with the classifier's remainder row.
 
     ``<env>/capacity.csv`` has ``batch_id``, ``batch_size`` and one column per human.
@@ -38,5 +48,6 @@ def read_capacity(spark: SparkSession, pattern: str, humans: Sequence[str]) -> D
         + [T.StructField(h, T.LongType()) for h in humans]
     )
     wide = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(pattern)
-    wide = wide.select(path_part(1).alias("env"), *wide.columns)
-    return joins.with_remainder(joins.unpivot_capacity(wide, ["env"], humans), ["env"])
+    where = _place(grid)
+    wide = wide.select(*[c.alias(n) for n, c in where.items()], *wide.columns)
+    return joins.with_remainder(joins.unpivot_capacity(wide, list(where), humans), list(where))
