@@ -24,7 +24,7 @@ from caseloom.operators.joins import attach
 from caseloom.session import cut_lineage
 
 UNIT = 1e9
-WARM_CASES = 4000
+WARM_CASES = 20_000
 
 
 def error_cost(p: Column | str) -> Column:
