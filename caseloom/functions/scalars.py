@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from caseloom import config
+
 PROBABILITY_FLOOR = 1e-15
 
 
@@ -125,7 +127,7 @@ def environment_fields(env: Column | str) -> dict[str, Column]:
     even = head == "homogenous"
     return {
         "distribution": F.when(even, "homogenous").otherwise("variable"),
-        "distribution_std": F.when(~even, "0.2"),
+        "distribution_std": F.when(~even, config.RUN_VARIABLE_STD),
         "distribution_seed": F.when(~even, F.try_element_at(F.split(head, "-"), F.lit(2))),
     }
 

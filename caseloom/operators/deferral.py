@@ -21,7 +21,7 @@ from caseloom.operators import sampling
 from caseloom.operators.joins import attach
 from caseloom.session import cut_lineage
 
-GROUP_ROWS = 2_000_000
+GROUP_ROWS = 1_000_000
 POS_BUCKETS = 1024
 AUTO_REJECT = "auto-reject"
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import random
+import uuid
 from collections.abc import Callable, Sequence
 from multiprocessing.pool import ThreadPool
 
@@ -17,7 +18,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GeneralizedLinearRegression
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressionModel, GeneralizedLinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -187,30 +188,42 @@ def score_deployment(rows: DataFrame, model: PipelineModel) -> DataFrame:
 
 
 class OffsetTrees(Transformer):
-    """Boosted trees that start from a fixed log-odds offset."""
+    """Boosted trees that start from a fixed log-odds offset; adds ``raw`` and ``p``."""
 
-    def __init__(self, init: float, rate: float, trees: Sequence):
+    def __init__(self, init: float, trees: GBTRegressionModel | None):
         super().__init__()
-        self.init, self.rate, self.trees = init, rate, list(trees)
+        self.init, self.trees = init, trees
 
     def _transform(self, rows: DataFrame) -> DataFrame:
-        raw = F.lit(self.init)
-        for i, tree in enumerate(self.trees):
-            rows = tree.setPredictionCol(f"_t{i}").transform(rows)
-            raw = raw + F.lit(self.rate) * F.col(f"_t{i}")
-        out = rows.withColumn("raw", raw).drop(*[f"_t{i}" for i in range(len(self.trees))])
+        if self.trees is None:
+            out = rows.withColumn("raw", F.lit(self.init))
+        else:
+            boosted = self.trees.setPredictionCol("_boost").transform(rows)
+            out = boosted.withColumn("raw", F.lit(self.init) + F.col("_boost")).drop("_boost")
         return out.withColumn("p", scalars.sigmoid("raw"))
 
+    def save(self, path: str, spark: SparkSession) -> None:
+        """The trees as an MLlib model, the offset as a one-row table beside it."""
+        self.trees.write().overwrite().save(f"{path}/trees")
+        spark.createDataFrame([(self.init,)], "init double").write.mode("overwrite").parquet(f"{path}/start")
 
-def save_offset_trees(model: OffsetTrees, path: str, spark: SparkSession) -> None:
-    """Trees as a pipeline model, start and rate as a one-row table beside it."""
-    PipelineModel(model.trees).write().overwrite().save(f"{path}/trees")
-    spark.createDataFrame([(model.init, model.rate)], "init double, rate double").write.mode("overwrite").parquet(f"{path}/start")
+    @staticmethod
+    def load(path: str, spark: SparkSession) -> OffsetTrees:
+        return OffsetTrees(spark.read.parquet(f"{path}/start").first()["init"], GBTRegressionModel.load(f"{path}/trees"))
 
 
-def load_offset_trees(path: str, spark: SparkSession) -> OffsetTrees:
-    start = spark.read.parquet(f"{path}/start").first()
-    return OffsetTrees(start["init"], start["rate"], PipelineModel.load(f"{path}/trees").stages)
+def weighted_sum(spark: SparkSession, trees: Sequence, rate: float) -> GBTRegressionModel | None:
+    """Fitted regression trees as one MLlib ensemble, so that scoring is a single pass."""
+    if not trees:
+        return None
+    gateway = spark.sparkContext._gateway
+    ml = gateway.jvm.org.apache.spark.ml.regression
+    listed = gateway.new_array(ml.DecisionTreeRegressionModel, len(trees))
+    weights = gateway.new_array(gateway.jvm.double, len(trees))
+    for i, tree in enumerate(trees):
+        listed[i], weights[i] = tree._java_obj, float(rate)
+    model = GBTRegressionModel(ml.GBTRegressionModel(f"gbtr_{uuid.uuid4().hex[:12]}", listed, weights))
+    return model.setFeaturesCol(FEATURES)
 
 
 def fit_offset_trees(
@@ -246,7 +259,7 @@ def fit_offset_trees(
         state = tree.transform(state).withColumn("_raw", F.col("_raw") + F.lit(rate) * F.col("_t")).drop("_t")
         if (i + 1) % ROUNDS_PER_CHECKPOINT == 0:
             state = cut_lineage(state)
-    return OffsetTrees(float(init), rate, trees)
+    return OffsetTrees(float(init), weighted_sum(rows.sparkSession, trees, rate))
 
 
 def fit_offset_linear(rows: DataFrame, label: str, weight: str, init: float, reg: float = 0.01):

@@ -14,6 +14,7 @@ from caseloom.functions import scalars
 from caseloom.operators import deferral, joins, learning, metrics, optimal
 from caseloom.plans import inputs
 from caseloom.plans.queries import LAMBDA, r6
+from caseloom.session import cut_lineage
 
 # Category values of the given tables that stand for the closed domains.
 DOMAINS = {
@@ -115,7 +116,7 @@ def learned_deferral(spark, d):
     placed = placed.join(cap.select("batch").distinct(), "batch", "left_semi").select("batch", "pos", "case_id")
     names = F.when(F.col("expert") == joins.MODEL, 9).otherwise(F.substring_index("expert", "#", -1).cast("int"))
     pairs = pair_scores(spark, d).withColumn("expert", names)
-    pred = placed.join(pairs, "case_id")
+    pred = cut_lineage(placed.join(pairs, "case_id"))
     labels = rows.select("case_id", "fraud_bool")
     parts = []
     for method, rule in (("greedy", deferral.greedy), ("optimal", optimal.optimal)):

@@ -126,7 +126,7 @@ def train_classifiers(spark: SparkSession, s: Settings) -> None:
         counts = [s.n_trials(space) for space in s.classifier_spaces]
         trials, model = learning.sweep_classifier(ready, cost, s.classifier_spaces, counts, s.offsets, s.seed)
         registry.append_trials(trials.withColumns({"scen": F.lit(scen), "cost": F.lit(cost)}), s.path("trials/classifier"))
-        learning.save_offset_trees(model, s.path(f"models/classifier/{scen}-l_{cost}"), spark)
+        model.save(s.path(f"models/classifier/{scen}-l_{cost}"), spark)
         scored = model.transform(ready).withColumn("cost", F.lit(cost))
         report = learning.classifier_report(scored, ["scen"], "cost")
         values = ["fpr", "fnr", "prev", "model_cost", "reject_all_cost"]

@@ -8,8 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Scratch folders of local sessions, removed when the process ends.
+_SCRATCH: list[tempfile.TemporaryDirectory] = []
+
+
 def use_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: the one the cluster names, a scratch one only in local mode."""
+    """Folder for checkpoints: the one the cluster names, a scratch one only in local mode.
+
+    Spark makes a folder per application inside it, which may be dropped when the application ends.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -18,7 +25,8 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
     if not named:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="caseloom-ckpt-")
+        _SCRATCH.append(tempfile.TemporaryDirectory(prefix="caseloom-ckpt-", ignore_cleanup_errors=True))
+        named = _SCRATCH[-1].name
     sc.setCheckpointDir(named)
     return named
 

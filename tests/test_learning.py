@@ -18,12 +18,15 @@ def ready(spark):
     return rows.withColumn("weight", scalars.cost_weight("fraud_bool", 0.057)).cache()
 
 
-def test_offset_trees_start_from_the_offset_and_learn(spark, ready):
+def test_offset_trees_start_from_the_offset_and_learn(spark, ready, tmp_path):
     start = metrics.weighted_prevalence(ready, [], "fraud_bool", F.col("weight")).first()["init_log_odds"]
-    none = learning.OffsetTrees(start, 0.1, [])
+    none = learning.OffsetTrees(start, None)
     prior = learning.weighted_loss("fraud_bool")(none.transform(ready))
     model = learning.fit_offset_trees(ready, "fraud_bool", "weight", start, {"n_estimators": 12, "max_depth": 2, "learning_rate": 0.3})
     assert learning.weighted_loss("fraud_bool")(model.transform(ready)) < prior - 0.01
+    model.save(str(tmp_path / "m"), spark)
+    again = learning.OffsetTrees.load(str(tmp_path / "m"), spark).transform(ready)
+    assert sorted(again.select("case_id", "p").collect()) == sorted(model.transform(ready).select("case_id", "p").collect())
     p = none.transform(ready).select("p").distinct().collect()
     assert len(p) == 1 and math.isclose(p[0]["p"], 1 / (1 + math.exp(-start)))
 
