@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 16
+from caseloom.session import shuffle_width
+
 MODEL = "model#0"
 
 
@@ -15,15 +16,21 @@ class MissingKeys(ValueError):
     """Raised by strict lookups when some keys have no match."""
 
 
+def salt_count(rows: DataFrame) -> int:
+    """Tasks a single key is spread over: more on wider sessions, within 16 and 256."""
+    return max(16, min(256, shuffle_width(rows.sparkSession) // 4))
+
+
 def attach(rows: DataFrame, dim: DataFrame, on: Sequence[str], spread_by: str, how: str = "inner") -> DataFrame:
     """Join a table of one row per key to rows whose keys may be very uneven.
 
     The key is salted: the small side is repeated per salt, so a key that holds a third of all rows
-    is spread over several tasks.  Spark still broadcasts the small side when its measured size
-    is under the session's limit.
+    is spread over several tasks; what is still uneven is split by adaptive execution.  Spark still
+    broadcasts the small side when its measured size is under the session's limit.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salts = salt_count(rows)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 

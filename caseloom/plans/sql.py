@@ -229,7 +229,6 @@ grid_runs AS (
 
 
 RESULTS = [CASES, _runs(), _evaluated()]
-RATES6 = "round({0}, 6) AS {0}"
 
 
 def _r(*names: str) -> str:

@@ -33,7 +33,7 @@ class Settings:
 
     root: str
     humans: Sequence[str]
-    numeric: Sequence[str] = ()
+    numeric: Sequence[str] = ()  # names of the numeric features; tables.numeric_features lists a file's
     domains: dict[str, Sequence[str]] = field(default_factory=lambda: config.DOMAINS)
     costs: Sequence[float] = tuple(config.COSTS)
     alert_space: dict = field(default_factory=lambda: config.ALERT_SPACE)

@@ -23,8 +23,18 @@ def applications_schema(numeric: Sequence[str] = ()) -> T.StructType:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header line and a declared schema, so the file is read once."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """CSV with a header line; columns are found by name and cast, whatever their order."""
+    raw = spark.read.option("header", True).csv(path)
+    missing = [n for n in schema.names if n not in raw.columns]
+    if missing:
+        raise ValueError(f"columns {missing} are not in {path}")
+    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+
+
+def numeric_features(spark: SparkSession, path: str) -> list[str]:
+    """Columns of the applications file without a role of their own: they pass through as numbers."""
+    known = set(applications_schema().names)
+    return [c for c in spark.read.option("header", True).csv(path).columns if c not in known]
 
 
 def with_case_id(rows: DataFrame, source_key: str) -> DataFrame:

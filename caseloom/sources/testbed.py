@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from caseloom.operators import joins, ordering
 
@@ -29,11 +28,12 @@ def read_batches(spark: SparkSession, pattern: str, grid: bool = False) -> DataF
     The place of a line decides the order of cases.  Blocks of a file are scanned in order, so the
     row id of the scan grows along each file; ``pos`` is its rank inside the batch.
     """
-    schema = T.StructType([T.StructField("case_id", T.LongType()), T.StructField("batch", T.IntegerType())])
-    lines = spark.read.schema(schema).option("header", True).csv(pattern)
     where = _place(grid)
-    placed = lines.select(
-        *[c.alias(n) for n, c in where.items()], "batch", "case_id", F.monotonically_increasing_id().alias("_line")
+    placed = spark.read.option("header", True).csv(pattern).select(
+        *[c.alias(n) for n, c in where.items()],
+        F.col("batch").cast("int").alias("batch"),
+        F.col("case_id").cast("long").alias("case_id"),
+        F.monotonically_increasing_id().alias("_line"),
     )
     return ordering.numbered(placed, [*where, "batch"], "_line", "pos").drop("_line")
 
@@ -43,11 +43,11 @@ def read_capacity(spark: SparkSession, pattern: str, humans: Sequence[str], grid
 
     ``<env>/capacity.csv`` has ``batch_id``, ``batch_size`` and one column per human.
     """
-    schema = T.StructType(
-        [T.StructField("batch", T.IntegerType()), T.StructField("batch_size", T.LongType())]
-        + [T.StructField(h, T.LongType()) for h in humans]
-    )
-    wide = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(pattern)
     where = _place(grid)
-    wide = wide.select(*[c.alias(n) for n, c in where.items()], *wide.columns)
+    wide = spark.read.option("header", True).csv(pattern).select(
+        *[c.alias(n) for n, c in where.items()],
+        F.col("batch_id").cast("int").alias("batch"),
+        F.col("batch_size").cast("long").alias("batch_size"),
+        *[F.col(f"`{h}`").cast("long").alias(h) for h in humans],
+    )
     return joins.with_remainder(joins.unpivot_capacity(wide, list(where), humans), list(where))

@@ -14,6 +14,13 @@ def test_csv_to_case_ids(spark, tmp_path):
     df.write.option("header", True).csv(str(tmp_path / "base"))
     back = tables.read_csv(spark, str(tmp_path / "base"), schema)
     assert back.schema == schema and sorted(back.collect()) == sorted(df.collect())
+    assert tables.numeric_features(spark, str(tmp_path / "base")) == ["income"]
+    turned = df.select(*reversed(df.columns))
+    turned.write.option("header", True).csv(str(tmp_path / "turned"))
+    assert sorted(tables.read_csv(spark, str(tmp_path / "turned"), schema).collect()) == sorted(df.collect())
+    with pytest.raises(ValueError, match="income"):
+        turned.drop("income").write.option("header", True).csv(str(tmp_path / "short"))
+        tables.read_csv(spark, str(tmp_path / "short"), schema)
     keyed = tables.with_case_id(back.withColumn("row", F.monotonically_increasing_id()), "row")
     got = sorted((r["case_id"], r["month"]) for r in keyed.collect())
     assert got == [(0, 0), (1, 0), (2, 1), (3, 2)]
@@ -33,7 +40,7 @@ def test_testbed_folders(spark, tmp_path):
     for env, order in {"batch#homogenous_1": [5, 3, 9], "batch#variable-2_1": [9, 5, 3]}.items():
         folder = tmp_path / "bed" / env
         folder.mkdir(parents=True)
-        (folder / "batches.csv").write_text("case_id,batch\n" + "".join(f"{c},1\n" for c in order))
+        (folder / "batches.csv").write_text("batch,case_id\n" + "".join(f"1,{c}\n" for c in order))
         (folder / "capacity.csv").write_text("batch_id,batch_size,standard#0,standard#1\n1,3,1,1\n")
     got = testbed.read_batches(spark, str(tmp_path / "bed" / "*" / "batches.csv")).collect()
     order = {}
@@ -49,7 +56,7 @@ def test_probability_store_and_pending_work(spark, tmp_path):
     path = str(tmp_path / "store")
     grid = spark.createDataFrame([(s, c, "joint", n) for s in ("a", "b") for c in (0.057,) for n in ("1", "2")], "scen string, cost double, method string, seed string")
     assert tables.pending(grid, path, tables.STORE_KEYS).count() == 4
-    pairs = grid.filter("scen = 'a'").crossJoin(spark.createDataFrame([(1, "x", 0.5), (2, "x", 0.75)], "case_id long, expert string, p_correct double"))
+    pairs = grid.filter("scen = 'a'").selectExpr("*", "inline(array(struct(1L AS case_id, 'x' AS expert, 0.5D AS p_correct), struct(2L AS case_id, 'x' AS expert, 0.75D AS p_correct)))")
     tables.write_probabilities(pairs, path)
     left = tables.pending(grid, path, tables.STORE_KEYS)
     assert {(r["scen"], r["seed"]) for r in left.collect()} == {("b", "1"), ("b", "2")}
