@@ -90,7 +90,8 @@ def split_by_size(pred: DataFrame, keys: Sequence[str], limit: int) -> tuple[Dat
     if large.isEmpty():
         return pred, None
     large = cut_lineage(large)
-    return attach(pred, large, group, "case_id", "left_anti"), attach(pred, large, group, "case_id", "left_semi")
+    usual = attach(pred, large, group, "case_id", "left_anti", written=True)
+    return usual, attach(pred, large, group, "case_id", "left_semi", written=True)
 
 
 def greedy(pred: DataFrame, caps: DataFrame, keys: Sequence[str] = (), limit: int = GROUP_ROWS) -> DataFrame:
@@ -139,10 +140,12 @@ def greedy_spread(pred: DataFrame, caps: DataFrame, keys: Sequence[str] = ()) ->
     state = cut_lineage(state.join(extent.drop("_last"), group))
     stretches = []
     while not state.isEmpty():
-        now = state.groupBy(*group).agg(
-            F.max("start").alias("start"), F.max("width").alias("width"), F.collect_set("expert").alias("open")
+        now = cut_lineage(
+            state.groupBy(*group).agg(
+                F.max("start").alias("start"), F.max("width").alias("width"), F.collect_set("expert").alias("open")
+            )
         )
-        rows = attach(wide, now, group, "case_id").filter(F.col("pos") >= F.col("start"))
+        rows = attach(wide, now, group, "case_id", written=True).filter(F.col("pos") >= F.col("start"))
         rows = rows.withColumn("expert", best_open("prefs", "open")).filter(F.col("expert").isNotNull())
         rows = rows.withColumn("_b", F.floor((F.col("pos") - F.col("start")) / F.col("width")))
         per_bucket = rows.groupBy(*group, "expert", "_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -164,7 +167,7 @@ def greedy_spread(pred: DataFrame, caps: DataFrame, keys: Sequence[str] = ()) ->
         closing = cut_lineage(closing)
         stretches.append(now.join(closing, group, "left").select(*group, "start", "end", "open"))
         used = (
-            attach(rows.drop("start", "width"), closing, group, "case_id")
+            attach(rows.drop("start", "width"), closing, group, "case_id", written=True)
             .filter(F.col("pos") <= F.col("end"))
             .groupBy(*group, "expert")
             .agg(F.count(F.lit(1)).alias("_used"))

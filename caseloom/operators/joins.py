@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.session import shuffle_width
+from caseloom.session import cut_lineage, shuffle_width
 
 MODEL = "model#0"
+BROADCAST_ROWS = 100_000
 
 
 class MissingKeys(ValueError):
@@ -21,17 +22,24 @@ def salt_count(rows: DataFrame) -> int:
     return max(16, min(256, shuffle_width(rows.sparkSession) // 4))
 
 
-def attach(rows: DataFrame, dim: DataFrame, on: Sequence[str], spread_by: str, how: str = "inner") -> DataFrame:
+def attach(
+    rows: DataFrame, dim: DataFrame, on: Sequence[str], spread_by: str, how: str = "inner", written: bool = False
+) -> DataFrame:
     """Join a table of one row per key to rows whose keys may be very uneven.
 
-    The key is salted: the small side is repeated per salt, so a key that holds a third of all rows
-    is spread over several tasks; what is still uneven is split by adaptive execution.  Spark still
-    broadcasts the small side when its measured size is under the session's limit.
+    The table is written once and counted.  Up to ``BROADCAST_ROWS`` rows it goes to every task, so
+    the rows are not moved at all.  Above that the key is salted and the table repeated per salt, so
+    a key that holds a third of all rows is spread over many tasks; what is still uneven is
+    split by adaptive execution.  ``written`` says that the table has been written already.
     """
+    if not written:
+        dim = cut_lineage(dim)
+    if dim.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(dim), list(on), how)
     salts = salt_count(rows)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return salted.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], strict: bool = True) -> DataFrame:

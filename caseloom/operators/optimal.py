@@ -86,7 +86,7 @@ def optimal_spread(pred: DataFrame, caps: DataFrame, keys: Sequence[str] = ()) -
     _require_balance(wide, roster, group)
     prices = cut_lineage(_warm_prices(wide, roster, group))
     while True:
-        rows = attach(wide, prices, group, "case_id")
+        rows = attach(wide, prices, group, "case_id", written=True)
         rows = rows.withColumn("_red", F.zip_with("costs", "prices", lambda c, u: c + u))
         rows = rows.withColumn("_low", F.array_min("_red"))
         rows = rows.withColumn(
@@ -94,11 +94,11 @@ def optimal_spread(pred: DataFrame, caps: DataFrame, keys: Sequence[str] = ()) -
             F.filter(F.transform("_red", lambda r, i: F.when(r == F.col("_low"), i)), lambda i: i.isNotNull()),
         )
         counts = rows.groupBy(*group, "tight").agg(F.count(F.lit(1)).alias("n"))
-        step = cut_lineage(_flow_step(counts, roster, group))
+        step = cut_lineage(_flow_step(counts, roster, group))  # one row per batch
         over = step.filter(F.size("over") > 0).select(*group, "over", "excess")
         if over.isEmpty():
             break
-        bound = attach(rows, over, group, "case_id").filter(F.size(F.array_except("tight", "over")) == 0)
+        bound = attach(rows, over, group, "case_id", written=True).filter(F.size(F.array_except("tight", "over")) == 0)
         outside = F.array_min(F.filter("_red", lambda r, i: ~F.array_contains(F.col("over"), i)))
         gaps = bound.select(*group, (outside - F.col("_low")).alias("gap"))
         totals = ordering.running_totals(gaps, group, "gap", {"n": F.lit(1).cast("long")})
@@ -122,7 +122,9 @@ def optimal_spread(pred: DataFrame, caps: DataFrame, keys: Sequence[str] = ()) -
         "_e", F.get(F.filter("spans", lambda s: s["upto"] > F.col("_place")), 0)["e"]
     )
     cols = [*group, "pos", "case_id", "prices", "_e"]
-    placed = attach(single.select(*cols).unionByName(several.select(*cols)), roster.drop("free"), group, "case_id")
+    placed = attach(
+        single.select(*cols).unionByName(several.select(*cols)), roster.drop("free"), group, "case_id", written=True
+    )
     return placed.select(
         *group, "pos", "case_id", F.get("experts", F.col("_e")).alias("expert"), F.get("prices", F.col("_e")).alias("price")
     )

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from caseloom.operators import deferral, optimal
+from caseloom.operators import deferral, joins, optimal
 from tests.test_transport import one_by_one
 
 EXPERTS = ["a#0", "b#1", "c#2", "d#3"]
@@ -59,6 +59,16 @@ def test_optimal_is_proved_by_its_prices_in_tasks_and_as_a_job(spark, limit, lev
     assert [r["violations"] for r in check] == [0, 0, 0]
 
 
+def test_the_job_gives_the_same_when_tables_are_too_large_to_send(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    pred, cap, frame = bed(spark, [10, 30, 9], levels=4, caps=[[3, 4, 2, 1], [10, 5, 15, 0], [2, 3, 3, 1]])
+    out = {r["case_id"]: r["expert"] for r in deferral.greedy(pred, cap, ["seed"], limit=0).collect()}
+    assert out == expected_greedy(frame, [[3, 4, 2, 1], [10, 5, 15, 0], [2, 3, 3, 1]])
+    done = optimal.optimal(pred, cap, ["seed"], limit=60).cache()
+    assert [r["violations"] for r in optimal.optimality_check(done, pred, ["seed"]).collect()] == [0, 0, 0]
+    assert all(r["filled"] == 1 for r in deferral.capacity_audit(done, cap, ["seed"]).filter("capacity > 0").collect())
+
+
 def test_both_ways_reach_the_same_cost_and_beat_the_other_rules(spark):
     pred, cap, _ = bed(spark, [40, 30], seed=5)
     cost = {}

@@ -5,12 +5,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseloom.functions import scalars
-from caseloom.operators import alerts, evaluation, metrics, ordering, sampling
+from caseloom.operators import alerts, evaluation, joins, metrics, ordering, sampling
 
 
 @pytest.fixture(autouse=True, params=[1_000_000, 0], ids=["plain", "bucketed"])
 def group_limit(request, monkeypatch):
     monkeypatch.setattr(ordering, "PLAIN_ROWS", request.param)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", request.param)
 
 
 def test_threshold_with_ties_and_with_no_allowed_positive(spark):
