@@ -578,7 +578,7 @@ def defer_optimal(spark, d):
 
 def defer_optimal_certificate(spark, d):
     pred, cap, _ = inputs.batch_pred(inputs.cases(spark, d), full_only=True)
-    check = optimal.optimality_check(optimal.optimal(pred, cap), pred)
+    check = optimal.optimality_check(cut_lineage(optimal.optimal(pred, cap)), pred)
     return check.select("batch", "n_cases", "violations")
 
 
