@@ -7,7 +7,7 @@ Expected inputs under ``root``:
 * ``predictions``                parquet (scen, cost, case_id, expert, p): experts 0/1, classifier a probability
 * ``testbed/<scen>-l_<cost>/<env>/batches.csv`` and ``capacity.csv``
 
-Written: ``scored``, ``alerts``, ``models``, ``trials``, ``model_properties``, ``probabilities``,
+Written: ``cases``, ``scored``, ``alerts``, ``models``, ``trials``, ``model_properties``, ``probabilities``,
 ``assignments``, ``results``.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from caseloom import config
 from caseloom.functions import scalars
 from caseloom.operators import alerts, evaluation, joins, learning, metrics, policies
+from caseloom.session import cut_lineage
 from caseloom.sources import registry, tables, testbed
 
 GRID = ["scen", "cost"]
@@ -55,35 +56,33 @@ class Settings:
 
 
 def load_applications(spark: SparkSession, s: Settings) -> DataFrame:
-    """Applications with their case id: place in the order (month, line)."""
-    rows = tables.read_csv(spark, s.path("applications"), tables.applications_schema(s.numeric))
-    lined = rows.withColumn("_line", F.monotonically_increasing_id())
-    return tables.with_case_id(lined, "_line").drop("_line")
+    """Applications with their case id, the place in the order (month, line), assigned and written once."""
+    if not tables.exists(spark, s.path("cases")):
+        rows = tables.read_csv(spark, s.path("applications"), tables.applications_schema(s.numeric))
+        lined = cut_lineage(rows.withColumn("_line", F.monotonically_increasing_id()))
+        tables.write(tables.with_case_id(lined, "_line").drop("_line"), s.path("cases"))
+    return spark.read.parquet(s.path("cases"))
 
 
 def score_applications(spark: SparkSession, s: Settings) -> None:
     """Search and fit the alert scorer, store model, properties and the scored deployment months."""
     if tables.exists(spark, s.path("scored")):
         return
-    rows = load_applications(spark, s).persist()
-    try:
-        ready = learning.with_features(rows, s.domains, s.features)
-        validation = ready.filter(scalars.in_span(config.TIMESTAMP, *config.MODEL_SPANS["validation"]))
-        measure = learning.TprAtFpr()
-        trials, _ = learning.search(
-            ready.filter(scalars.in_span(config.TIMESTAMP, *config.MODEL_SPANS["train"])),
-            validation,
-            learning.draw_params(s.alert_space, s.n_trials(s.alert_space), s.seed),
-            lambda df, p: learning.boosted_trees(p, config.LABEL).fit(df),
-            lambda scored: -measure.evaluate(learning.positive_probability(scored)),
-        )
-        registry.append_trials(trials.withColumn("study", F.lit("alert")), s.path("trials/alert"))
-        best = trials.orderBy("loss", "trial").first().asDict()
-        model = learning.fit_alert_scorer(rows, best, s.domains, s.features)
-        registry.save_model(model, s.path("models/alert"))
-        tables.write(learning.score_deployment(rows, model), s.path("scored"))
-    finally:
-        rows.unpersist()
+    rows = load_applications(spark, s)
+    ready = learning.with_features(rows, s.domains, s.features)
+    measure = learning.TprAtFpr()
+    trials, _ = learning.search(
+        ready.filter(scalars.in_span(config.TIMESTAMP, *config.MODEL_SPANS["train"])),
+        ready.filter(scalars.in_span(config.TIMESTAMP, *config.MODEL_SPANS["validation"])),
+        learning.draw_params(s.alert_space, s.n_trials(s.alert_space), s.seed),
+        lambda df, p: learning.boosted_trees(p, config.LABEL).fit(df),
+        lambda scored: -measure.evaluate(learning.positive_probability(scored)),
+    )
+    registry.append_trials(trials.withColumn("study", F.lit("alert")), s.path("trials/alert"))
+    best = trials.orderBy("loss", "trial").first().asDict()
+    model = learning.fit_alert_scorer(rows, best, s.domains, s.features)
+    registry.save_model(model, s.path("models/alert"))
+    tables.write(learning.score_deployment(rows, model), s.path("scored"))
     _alert_properties(spark, s)
 
 
@@ -188,13 +187,14 @@ def run_deferral(spark: SparkSession, s: Settings) -> None:
     if tables.exists(spark, s.path("assignments")):
         return
     pattern = s.path("testbed/*/*/")
-    batches = _split_grid(testbed.read_batches(spark, pattern + "batches.csv", grid=True))
-    caps = _split_grid(testbed.read_capacity(spark, pattern + "capacity.csv", list(s.humans), grid=True))
+    batches = cut_lineage(_split_grid(testbed.read_batches(spark, pattern + "batches.csv", grid=True)))
+    caps = cut_lineage(_split_grid(testbed.read_capacity(spark, pattern + "capacity.csv", list(s.humans), grid=True)))
     keys = [*GRID, "env"]
     stored = tables.read_probabilities(spark, s.path("probabilities"))
     parts = []
     for rule, method in (("optimal", "joint"), ("greedy", "one_vs_all")):
         p = stored.filter(F.col("method") == method).drop("method")
+        joins.require_keys(batches.select(*GRID, "case_id"), p, [*GRID, "case_id"])
         pred = batches.join(p, [*GRID, "case_id"])
         parts.append(policies.run_policies(batches, pred, caps, keys, joins.MODEL, [rule]))
     parts.append(policies.run_policies(batches, stored, caps, keys, joins.MODEL, policies.UNSEEDED, s.seed))
