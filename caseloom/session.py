@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,5 +43,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that tasks find it without an installation."""
+    sc = spark.sparkContext
+    if any("/caseloom-package" in f for f in sc.listFiles):
+        return
+    home = Path(__file__).resolve().parent
+    _SCRATCH.append(tempfile.TemporaryDirectory(prefix="caseloom-package-", ignore_cleanup_errors=True))
+    ignore = shutil.ignore_patterns("__pycache__")
+    shutil.copytree(home, f"{_SCRATCH[-1].name}/in/{home.name}", ignore=ignore)
+    sc.addPyFile(shutil.make_archive(f"{_SCRATCH[-1].name}/caseloom-package", "zip", f"{_SCRATCH[-1].name}/in"))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
