@@ -3,8 +3,9 @@
 A classifier fitted on the labelled table gives every document a posterior over the domains.  Rates x solve
 ``min |sum_i x_i t_i p_i - b|`` over x >= 0, with t_i the tokens and p_i the posterior of document i and b the target
 tokens of the domains.  A step moves x_i by p_i . v in the metric of the documents' sizes, with
-v = G^-1 (b - sum x t p) and G = sum t p p', and cuts at zero; each step is one sum over all documents, and only
-numbers per domain reach the driver.  All work on rows is done by built-in expressions.
+v = G^-1 (b - sum x t p) and G = sum t p p' over the documents that are not at zero (over all of them if the last
+step did not come nearer), and cuts at zero; each step is one sum over all documents, and only numbers per
+domain reach the driver.  All work on rows is done by built-in expressions.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ TARGETS = {"clean": 0.9, "poor": 0.08, "toxic": 0.02}
 LABELLED_ROWS = 20_000
 #: Words the classifier keeps, and slots of the table that holds them; both fixed bounds.
 FEATURES, SLOTS = 4_000, 1 << 14
+#: Likelihood-ratio evidence a word must give in all labelled documents to be kept.
+LEAST_GAIN = 10.0
 #: Words of a document that count as evidence at full weight.
 EVIDENCE = 40
 STEPS, TOLERANCE = 60, 1e-6
@@ -56,9 +59,9 @@ def fit_classifier(docs: DataFrame, labels: DataFrame) -> dict:
     share = {d: (F.col(d) + 1.0) / (n[d] + 2.0) for d in DOMAINS}
     mean = sum(F.col(d) for d in DOMAINS) + 1.0
     weight = {d: F.log(share[d] / (mean / (total + 2.0))) for d in DOMAINS}
-    gain = sum(F.col(d) / max(n[d], 1) * F.abs(weight[d]) for d in DOMAINS)
+    gain = sum(F.col(d) * weight[d] for d in DOMAINS)
     best = counts.select("h", *[F.round(weight[d], 4).alias(d) for d in DOMAINS], F.round(gain, 9).alias("gain"))
-    best = best.orderBy(F.desc("gain"), "h").limit(FEATURES).collect()
+    best = best.filter(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "h").limit(FEATURES).collect()
     hashes = [None] * SLOTS
     table = {d: [0.0] * SLOTS for d in DOMAINS}
     for r in reversed(best):  # on one slot the more telling word stays
@@ -95,30 +98,39 @@ def posteriors(docs: DataFrame, model: dict) -> DataFrame:
 def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | None = None) -> Column:
     """Rate of each row of ``doc_id, tokens, p_*`` as an expression.
 
-    ``budget`` is the number of tokens to reach; by default the most telling one that asks of the first domain
-    just what it has, so its documents stay whole.
+    ``budget`` is the number of tokens to reach; by default the one that asks of the first domain just what it
+    has, so its documents stay whole.
     """
     p = [F.col(f"p_{d}") for d in DOMAINS]
     t = F.coalesce("tokens", F.lit(0))
     pairs = [(i, j) for i in range(len(p)) for j in range(i, len(p))]
-    first = members.agg(*[F.sum(t * p[i] * p[j]).alias(f"g{i}{j}") for i, j in pairs], *[F.sum(t * q).alias(f"m{i}") for i, q in enumerate(p)]).first()
-    gram = np.zeros((len(p), len(p)))
-    for i, j in pairs:
-        gram[i, j] = gram[j, i] = first[f"g{i}{j}"] or 0.0
-    mass = np.array([first[f"m{i}"] or 0.0 for i in range(len(p))])
+
+    def measure(rate: Column) -> tuple[np.ndarray, np.ndarray]:
+        """Token total of each domain under the rates, and the matrix G of the documents not at zero."""
+        open_ = t * (rate > 0).cast("double")
+        sums = [F.sum(open_ * p[i] * p[j]).alias(f"g{i}{j}") for i, j in pairs]
+        got = members.agg(*[F.sum(t * rate * q).alias(f"m{i}") for i, q in enumerate(p)], *sums).first()
+        gram = np.zeros((len(p), len(p)))
+        for i, j in pairs:
+            gram[i, j] = gram[j, i] = got[f"g{i}{j}"] or 0.0
+        return np.array([got[f"m{i}"] or 0.0 for i in range(len(p))]), gram
+
+    rate = F.lit(1.0)
+    mass, whole = measure(rate)
+    gram, last = whole, np.inf
     share = np.array([targets[d] for d in DOMAINS], dtype=float)
     share = share / share.sum()
     total = budget if budget is not None else mass[0] / share[0] if share[0] > 0 else mass.sum()
-    want, inverse = share * total, np.linalg.pinv(gram)
-    rate = F.lit(1.0)
+    want = share * total
     for _ in range(STEPS):
         gap = want - mass
         if np.abs(gap).max() <= TOLERANCE * max(total, 1.0):
             break
-        v = inverse @ gap
+        nearer = np.abs(gap).max() < last
+        v = np.linalg.pinv(gram if nearer else whole) @ gap
+        last = np.abs(gap).max()
         rate = F.greatest(F.lit(0.0), rate + sum(q * float(x) for q, x in zip(p, v)))
-        got = members.agg(*[F.sum(t * rate * q).alias(f"m{i}") for i, q in enumerate(p)]).first()
-        mass = np.array([got[i] or 0.0 for i in range(len(p))])
+        mass, gram = measure(rate)
     return rate
 
 
