@@ -108,31 +108,29 @@ def _induce_names(t: list, s: list, seeds: list, k: int) -> list:
         c = t[i]
         sa[tail[c]] = i
         tail[c] -= 1
+    # Bucket of the left neighbour where it is L or S; the entry behind the end answers for empty places (-1).
+    left_large = [-1] + [-1 if small else c for c, small in zip(t[:-1], s)] + [-1]
+    left_small = [-1] + [c if small else -1 for c, small in zip(t[:-1], s)] + [-1]
     head = (ends - sizes).tolist()
     c = t[n - 1]
     sa[head[c]] = n - 1
     head[c] += 1
-    for i in sa_scan(sa):
-        if i > 0 and not s[i - 1]:
-            c = t[i - 1]
-            sa[head[c]] = i - 1
-            head[c] += 1
+    for i in sa:  # entries set on the way are met when reached
+        c = left_large[i]
+        if c >= 0:
+            at = head[c]
+            sa[at] = i - 1
+            head[c] = at + 1
     tail = (ends - 1).tolist()
-    for p in range(n - 1, -1, -1):
-        i = sa[p]
-        if i > 0 and s[i - 1]:
-            c = t[i - 1]
-            sa[tail[c]] = i - 1
-            tail[c] -= 1
+    for i in reversed(sa):
+        c = left_small[i]
+        if c >= 0:
+            at = tail[c]
+            sa[at] = i - 1
+            tail[c] = at - 1
     return sa
 
 
-def sa_scan(sa: list):
-    """Entries from the front, as they are when reached."""
-    for p in range(len(sa)):
-        yield sa[p]
-
-
 def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     """Places of all suffixes of ``t`` (values below k) in order."""
     t = np.asarray(t)

@@ -2,10 +2,10 @@
 
 1. Anchors: in each window of 100 bytes the 32-byte run of the smallest hash is marked, so equal 100-byte strings
    mark the same place.  An anchor's context is all bytes that a 100-byte string around it can reach.
-2. Anchors are dealt by their hash.  An occurrence whose whole context stood earlier is removed at once; if a hash
+2. Anchors are dealt by their hash, after a look for equal contexts in each run of documents.  An occurrence whose whole context stood earlier is removed at once; if a hash
    has several contexts, the first occurrence of each goes on.  Copies and passages shared by many documents are
    one context, however many.
-3. These contexts, dealt by anchor hash, are put together to shards of about a megabyte.  Each shard gets its suffix
+3. These contexts, dealt by anchor hash, are put together to shards of about two megabytes.  Each shard gets its suffix
    array by induced sorting and its permuted common prefixes; in a run of suffixes with common prefixes of 100
    bytes or more all but the earliest are removed.
 4. An anchor with more contexts than ``HOT_CONTEXTS`` is not put in one shard: its strings are grouped by Spark.
@@ -27,7 +27,7 @@ from caseloom.session import cut_lineage
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM
 #: Bytes of contexts in one suffix array, and contexts of one anchor that may share one.
-SHARD_BYTES, HOT_CONTEXTS = 1 << 20, 20_000
+SHARD_BYTES, HOT_CONTEXTS = 2 << 20, 20_000
 #: Never part of UTF-8 text: stands between contexts.
 BETWEEN = 255
 
@@ -72,16 +72,23 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in shared.pieces(batch.column(1), limit=(1 << 20) - 64):
             text, place, h, c, left, right = anchors(data, offsets)
+            doc = np.asarray(batch.column(0).slice(lo, hi - lo))[text]
+            # Of equal contexts met together only the earliest needs comparing; the others are spread evenly.
+            by = np.lexsort((place, doc, c, h))
+            sure = np.zeros(len(by), dtype=bool)
+            sure[by[1:]] = (h[by[1:]] == h[by[:-1]]) & (c[by[1:]] == c[by[:-1]])
+            h = np.where(sure, shared.mix(doc.astype(np.uint64) * np.uint64(1 << 32) + place.astype(np.uint64)), h.view(np.uint64))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(h.view(np.int64)),
                     pa.array(c.view(np.int64)),
-                    batch.column(0).slice(lo, hi - lo).take(pa.array(text)),
+                    pa.array(doc, pa.int64()),
                     pa.array(place, pa.int32()),
                     pa.array(left, pa.int16()),
                     pa.array(right, pa.int16()),
+                    pa.array(sure, pa.bool_()),
                 ],
-                names=["h", "c", "doc", "at", "l", "r"],
+                names=["h", "c", "doc", "at", "l", "r", "sure"],
             )
 
 
@@ -155,12 +162,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``doc, lo, hi``: byte ranges to remove; they may overlap."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     texts = texts.filter(F.col("doc").isNotNull() & (F.octet_length("text") >= LENGTH))
-    marked = texts.mapInArrow(_mark, "h long, c long, doc long, at int, l short, r short")
+    marked = texts.mapInArrow(_mark, "h long, c long, doc long, at int, l short, r short, sure boolean")
     spec = "(PARTITION BY h ORDER BY c, doc, at"
     every = f"{spec} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
     seen = marked.select(
         "*",
-        F.expr(f"coalesce(lag(c) OVER {spec}) <> c, true)").alias("first"),
+        F.expr(f"NOT sure AND coalesce(lag(c) OVER {spec}) <> c, true)").alias("first"),
         F.expr(f"first_value(c) OVER {every} <> last_value(c) OVER {every}").alias("several"),
     )
     # Copies of a single context need nothing more than their own row; the others are kept with their place.
