@@ -4,8 +4,8 @@ Shingles are ordered by rarity (a class of a corpus count, then hash); a prefix
 sets share ``1 + size // 64`` prefix shingles at least.
 
 1. Documents of equal sets are collapsed to the smallest id.
-2. Of those, documents with identical prefixes and size form a group.  Group prefixes are joined to the first
-   group that holds the shingle, under the length and positional filters and the number of shared prefix
+2. Of those, documents with identical prefixes and size form a group.  Group prefixes are joined to the group
+   that holds the shingle and shares most shingles with others, under the length and positional filters and the number of shared prefix
    shingles; groups are expanded and each member verified against the first document.  Families of copies become one
    component here with one comparison a member.
 3. Prefix rows are reduced to one per (shingle, component, size, place).  Pairs of different components under the
@@ -30,6 +30,9 @@ from caseloom.session import cut_lineage, shuffle_width
 LEAST_SLOTS, MOST_SLOTS, PER_SLOT = 1 << 16, 1 << 24, 512
 CANDIDATE_BITS = 1 << 21
 SHARED_EVERY = 64
+#: 64-bit parts of the parity signature: each shingle in one set but not the other flips at most one of its bits.
+PARTS = 8
+SIGNATURE = [f"s{k}" for k in range(PARTS)]
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,6 +112,9 @@ def _sketch(k: int, percent: int, classes):
                 if len(full):
                     sums[0, full] = np.add.reduceat(h, first[full])
                     sums[1, full] = np.add.reduceat(shared.mix(h + np.uint64(77)), first[full])
+                bit = doc * (64 * PARTS) + (h >> np.uint64(64 - (64 * PARTS - 1).bit_length())).astype(np.int64)
+                odd = (np.bincount(bit, minlength=m * 64 * PARTS) & 1).astype(np.uint8)
+                signature = np.packbits(odd).reshape(m, 8 * PARTS).view(np.int64)
                 by = np.lexsort((h, table[(h & np.uint64(len(table) - 1)).astype(np.int64)], doc))
                 h = h[by]
                 rank = np.arange(len(h)) - first[doc]
@@ -124,8 +130,9 @@ def _sketch(k: int, percent: int, classes):
                         pa.array(sums[0].view(np.int64), pa.int64()),
                         pa.array(sums[1].view(np.int64), pa.int64()),
                         pa.array(prefix, pa.binary()),
+                        *[pa.array(np.ascontiguousarray(signature[:, k]), pa.int64()) for k in range(PARTS)],
                     ],
-                    names=["doc", "n", "k1", "k2", "prefix"],
+                    names=["doc", "n", "k1", "k2", "prefix", *SIGNATURE],
                 )
 
     return run
@@ -163,6 +170,12 @@ def _may_match(a: str, b: str, percent: int) -> Column:
     )
 
 
+def _near(x: str, y: str, percent: int) -> Column:
+    """The signatures of two documents allow as many shared shingles as similar sets of their sizes have."""
+    flips = " + ".join(f"bit_count({x}.{s} ^ {y}.{s})" for s in SIGNATURE)
+    return F.expr(f"{flips} <= {x}.n + {y}.n - 2 * ceil({percent} * ({x}.n + {y}.n) / {100 + percent})")
+
+
 def _enough(pairs: DataFrame) -> DataFrame:
     """Pairs that share as many prefix shingles as similar sets must."""
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("least_n").alias("m"))
@@ -220,23 +233,23 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     classes = spark.sparkContext.broadcast(rarity(texts, k).tobytes())
-    schema = "doc long, n long, k1 long, k2 long, prefix binary"
+    schema = "doc long, n long, k1 long, k2 long, prefix binary, " + ", ".join(f"{x} long" for x in SIGNATURE)
     sketch = cut_lineage(texts.mapInArrow(_sketch(k, percent, classes), schema))
     full = sketch.filter("n > 0 AND doc IS NOT NULL")
     equal = cut_lineage(full.groupBy("n", "k1", "k2").agg(F.min("doc").alias("rep")))
     reps = full.join(equal.select("n", "k1", "k2", F.col("rep").alias("doc")), ["n", "k1", "k2", "doc"], "left_semi")
     reps = reps.dropDuplicates(["doc"]).withColumn("p", F.xxhash64("prefix"))
-    reps = cut_lineage(reps.select("doc", "n", "prefix", "p"))
+    reps = cut_lineage(reps.select("doc", "n", "prefix", "p", *SIGNATURE))
 
     groups = reps.groupBy("n", "p").agg(F.min("doc").alias("g"))
     members = cut_lineage(reps.select("doc", "n", "p").join(groups, ["n", "p"]).select("doc", "g"))
     heads = reps.join(members.filter("doc = g").select("doc"), "doc", "left_semi").select("doc", "n", "prefix")
     rows = heads.mapInArrow(_prefix_rows, "t long, i int, n int, g long")
-    rows = rows.withColumn("first", F.expr("min(struct(g, n, i)) OVER (PARTITION BY t)"))
-    rows = rows.withColumn("many", F.expr("count(*) OVER (PARTITION BY t)")).filter("many > 1").drop("many")
-    rows = cut_lineage(rows)
-
-    led = rows.filter("g <> first.g").alias("b").filter(_may_match("b", "first", percent))
+    rows = cut_lineage(rows.withColumn("many", F.expr("count(*) OVER (PARTITION BY t)")).filter("many > 1"))
+    # The text that copies were made from shares more shingles than any copy does: it leads.
+    hubs = rows.groupBy("g").agg(F.sum("many").alias("hub"))
+    led = rows.join(hubs, "g").withColumn("first", F.expr("min(struct(-hub AS hub, g, n, i)) OVER (PARTITION BY t)"))
+    led = led.filter("g <> first.g").alias("b").filter(_may_match("b", "first", percent))
     led = led.select(F.col("first.g").alias("a"), F.col("g").alias("b"), F.expr("least(n, first.n) AS least_n"))
     led = _enough(led)
     expanded = led.join(members.withColumnRenamed("g", "b"), "b").select("a", F.col("doc").alias("b"))
@@ -247,21 +260,19 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
     # Members of a group have equal prefixes, so each prefix row stands for all of them.
     member = members.join(labels.withColumnRenamed("v", "doc"), "doc", "left").select("doc", "g", F.coalesce("c", "doc").alias("c"))
-    member = cut_lineage(member)
-    # Only groups that are not alone in all their shingles take part.
-    own = rows.select("t", "i", "n", "g").join(member, "g")
+    member = cut_lineage(member.join(reps.select("doc", "n", *SIGNATURE), "doc"))
+    own = rows.select("t", "i", "g").join(member, "g")
     kinds = cut_lineage(own.select("t", "i", "n", "c").distinct())
     left, right = kinds.alias("a"), kinds.alias("b")
     met = left.join(right, F.expr("a.t = b.t AND a.c < b.c") & _may_match("a", "b", percent))
-    met = met.select(
-        F.expr("a.c AS c1"), F.expr("a.n AS n1"), F.expr("b.c AS c2"), F.expr("b.n AS n2"), "a.t", F.expr("a.i AS i1"), F.expr("b.i AS i2")
-    )
-    one = own.select(F.col("t"), F.col("c").alias("c1"), F.col("n").alias("n1"), F.col("i").alias("i1"), F.col("doc").alias("a"))
-    two = own.select(F.col("t"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("doc").alias("b"))
-    cross = met.join(one, ["t", "c1", "n1", "i1"]).join(two, ["t", "c2", "n2", "i2"])
-    cross = _enough(cross.select("a", "b", F.least("n1", "n2").alias("least_n")))
-    # Different members of one group that the first document did not link.
-    mixed = member.alias("x").join(member.alias("y"), F.expr("x.g = y.g AND x.c < y.c"))
+    met = met.select(*[F.col(f"a.{x}").alias(f"{x}") for x in "tcni"], *[F.col(f"b.{x}").alias(f"{x}2") for x in "cni"])
+    one = met.join(own.drop("g"), ["t", "c", "n", "i"]).alias("x")
+    two = own.drop("g").alias("y")
+    same = F.expr("x.t = y.t AND x.c2 = y.c AND x.n2 = y.n AND x.i2 = y.i")
+    cross = one.join(two, same & _near("x", "y", percent))
+    cross = _enough(cross.select(F.expr("x.doc AS a"), F.expr("y.doc AS b"), F.expr("least(x.n, y.n) AS least_n")))
+    # Different members of one group that its first document did not link.
+    mixed = member.alias("x").join(member.alias("y"), F.expr("x.g = y.g AND x.c < y.c") & _near("x", "y", percent))
     cross = cross.union(mixed.select(F.expr("x.doc AS a"), F.expr("y.doc AS b")))
     pairs = cut_lineage(cross.distinct())
     if not pairs.isEmpty():
