@@ -5,7 +5,7 @@ the words of either.  A line goes if any earlier line (smaller doc_id, or the sa
 matches it; matches are judged on the input.  Words are ordered by rarity (a class of corpus count, then hash).
 
 1. Lines with equal sets are collapsed to the first of them, so a line repeated everywhere is one row.
-2. Leaders: lines of equal size that share a prefix word are compared with the first of them.  Families
+2. Leaders: lines of equal size that share one of their rarest words are compared with the first of them.  Families
    of variants end here with one comparison a member.
 3. Lines still standing meet all earlier lines that share a prefix word, under the length filter, the positional
    filter and a bound from a 64-bit parity signature (each differing word flips at most one bit).
@@ -24,25 +24,27 @@ PERCENT = 80
 #: Slots of the rarity table and bits of the candidate table, both fixed bounds of what tasks are sent.
 RARITY_SLOTS = 1 << 18
 CANDIDATE_BITS = 1 << 20
+#: Rarest words of a line by which leaders are sought.
+LEADING = 3
 
 
 def _lines(docs: DataFrame, id_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     rows = rows.filter(F.col("doc").isNotNull())
-    rows = rows.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    return rows.withColumn("words", shared.words_expr(F.col("words"))).filter(F.size("words") > 0)
+    return rows.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "l"))
 
 
 def _rarity(docs: DataFrame) -> bytes:
     words = docs.select(F.explode(shared.words_expr(F.col("text").cast("string"))).alias("w"))
-    counts = words.select(F.xxhash64("w").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
-    return shared.log_classes(counts, "h", "n", RARITY_SLOTS)
+    return shared.log_classes(words.select(F.xxhash64("w").alias("h")), "h", RARITY_SLOTS)
 
 
 def _sets(docs: DataFrame, id_col: str, percent: int) -> DataFrame:
     """First line of each distinct set: ``doc, line, n, sig`` and the prefix words in order of rarity."""
     rarity = F.lit(bytearray(_rarity(docs)))
-    rows = _lines(docs, id_col).withColumn("h", F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))).drop("words")
+    words = shared.words_expr(F.col("l"))
+    rows = _lines(docs, id_col).select("doc", "line", F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))).alias("h"))
+    rows = rows.filter(F.size("h") > 0)
 
     def ranked(h: Column) -> Column:
         place = h.bitwiseAND(RARITY_SLOTS - 1).cast("int") + 1
@@ -52,11 +54,11 @@ def _sets(docs: DataFrame, id_col: str, percent: int) -> DataFrame:
         "doc",
         "line",
         F.size("h").alias("n"),
-        F.aggregate("h", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(h)).alias("all"),
         F.expr("aggregate(h, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("sig"),
         F.sort_array(F.transform("h", ranked)).alias("s"),
     )
     rows = rows.withColumn("prefix", F.expr(f"transform(slice(s, 1, n - cast(ceil({percent} * n / 100) as int) + 1), x -> x.h)"))
+    rows = rows.withColumn("all", F.xxhash64("s")).drop("s")
     return rows.groupBy("n", "sig", "all", "prefix").agg(F.min(F.struct("doc", "line")).alias("at")).select("at.*", "n", "sig", "prefix")
 
 
@@ -76,10 +78,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, percent: int) -> D
     ends = ends.withColumn("h", F.xxhash64("doc", "line"))
     bits = shared.bit_table(ends, "h", CANDIDATE_BITS)
     texts = _lines(docs, id_col).withColumn("h", F.xxhash64("doc", "line")).filter(shared.maybe_in(bits, "h"))
-    # A row repeated in the input has equal lines.
-    texts = texts.select("doc", "line", F.array_distinct("words").alias("words"))
     texts = texts.join(ends.select("doc", "line").distinct(), ["doc", "line"], "left_semi").dropDuplicates(["doc", "line"])
-    texts = cut_lineage(texts)
+    texts = cut_lineage(texts.select("doc", "line", F.array_distinct(shared.words_expr(F.col("l"))).alias("words")))
     earlier = texts.select(F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.col("words").alias("words0"))
     both = pairs.join(texts, ["doc", "line"]).join(earlier, ["doc0", "line0"])
     common = F.size(F.array_intersect("words", "words0"))
@@ -89,25 +89,28 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, percent: int) -> D
 def surviving_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id") -> DataFrame:
     """``doc, line`` of every line with a word that no earlier line matches."""
     sets = cut_lineage(_sets(docs, id_col, percent))
-    # Sets of under three words, or of equal and too small size, have no unequal match.
-    rows = sets.select("doc", "line", "n", "sig", F.posexplode("prefix").alias("i", "t")).withColumn("i", F.col("i") + 1)
-    same_size = rows.filter(F.expr(f"i <= n - ceil({2 * percent} * n / {100 + percent}) + 1"))
-    led = same_size.withColumn(
-        "first", F.expr("min(struct(doc, line, n, i, sig)) OVER (PARTITION BY t, n)")
-    ).filter((F.col("first.doc") != F.col("doc")) | (F.col("first.line") != F.col("line")))
+    # Leaders among the rarest words only: what they miss is met below.
+    ranked = F.posexplode(F.slice("prefix", 1, LEADING)).alias("i", "t")
+    led = sets.select("doc", "line", "n", "sig", ranked).withColumn("i", F.col("i") + 1)
+    led = led.withColumn("first", F.expr("min(struct(doc, line, n, i, sig)) OVER (PARTITION BY t, n)"))
+    led = led.filter((F.col("first.doc") != F.col("doc")) | (F.col("first.line") != F.col("line")))
     led = led.alias("b").filter(_may_match("b", "first", percent))
     led = led.select("doc", "line", F.col("first.doc").alias("doc0"), F.col("first.line").alias("line0"))
     led = cut_lineage(led.distinct())
     gone = cut_lineage(_verified(led, docs, id_col, percent).distinct())
 
+    open_ = sets.join(gone.withColumn("open", F.lit(0)), ["doc", "line"], "left").withColumn("open", F.coalesce("open", F.lit(1)))
+    rows = open_.select("doc", "line", "n", "sig", "open", F.posexplode("prefix").alias("i", "t")).withColumn("i", F.col("i") + 1)
     dealt = rows.repartition("t")
-    later = dealt.join(gone, ["doc", "line"], "left_anti").alias("b")
+    # The shorter of two sets needs a shorter prefix; equal sizes need it on both sides.
     short = f"ceil({2 * percent} * {{0}}.n / {100 + percent})"
     either = F.expr(
         f"(a.n <= b.n AND a.i <= a.n - {short.format('a')} + 1) OR (b.n <= a.n AND b.i <= b.n - {short.format('b')} + 1)"
     )
     order = F.expr("a.doc < b.doc OR (a.doc = b.doc AND a.line < b.line)")
-    pairs = dealt.alias("a").join(later, F.expr("a.t = b.t") & order & either & _may_match("a", "b", percent))
+    # A predicate of both sides, so that one dealing of the rows serves both.
+    standing = F.expr("b.open * a.i > 0")
+    pairs = dealt.alias("a").join(dealt.alias("b"), F.expr("a.t = b.t") & standing & order & either & _may_match("a", "b", percent))
     pairs = pairs.select("b.doc", "b.line", F.expr("a.doc AS doc0"), F.expr("a.line AS line0"))
     pairs = cut_lineage(pairs.distinct())
     gone = gone.unionByName(_verified(pairs, docs, id_col, percent)).distinct()

@@ -137,17 +137,15 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return combine([h[j : j + m] for j in range(n)])
 
 
-def log_classes(counts: DataFrame, hash_col: str, n_col: str, slots: int) -> bytes:
-    """One byte per slot of the low hash bits: the doubled base-2 logarithm of the largest count there.
+def log_classes(hashes: DataFrame, hash_col: str, slots: int) -> bytes:
+    """One byte per slot of the low hash bits: eight times the base-2 logarithm of the number of rows there.
 
     ``slots`` (a power of two, at least 65,536) bounds what reaches the driver, whatever the size of the table.
     """
+    rows = hashes.select(F.col(hash_col).bitwiseAND(slots - 1).cast("int").alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
     rows = (
-        counts.select((F.col(hash_col).bitwiseAND(slots - 1)).alias("slot"), (2 * F.log2(n_col)).cast("int").alias("c"))
-        .groupBy("slot")
-        .agg(F.max("c").alias("c"))
-        .groupBy((F.col("slot") / 256).cast("int").alias("block"))
-        .agg(F.map_from_entries(F.collect_list(F.struct((F.col("slot") % 256).cast("int"), F.col("c")))).alias("m"))
+        rows.groupBy((F.col("slot") / 256).cast("int").alias("block"))
+        .agg(F.map_from_entries(F.collect_list(F.struct(F.col("slot") % 256, (8 * F.log2("n")).cast("int")))).alias("m"))
         .select("block", F.expr("transform(sequence(0, 255), i -> coalesce(try_element_at(m, i), 0))").alias("v"))
     )
     out = bytearray(slots)
