@@ -108,8 +108,8 @@ def surviving_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
         f"(a.n <= b.n AND a.i <= a.n - {short.format('a')} + 1) OR (b.n <= a.n AND b.i <= b.n - {short.format('b')} + 1)"
     )
     order = F.expr("a.doc < b.doc OR (a.doc = b.doc AND a.line < b.line)")
-    # A predicate of both sides, so that one dealing of the rows serves both.
-    standing = F.expr("b.open * a.i > 0")
+    # A predicate of all columns of both sides, so that one dealing of the rows serves both.
+    standing = F.expr("b.open * (a.i + a.open) > 0")
     pairs = dealt.alias("a").join(dealt.alias("b"), F.expr("a.t = b.t") & standing & order & either & _may_match("a", "b", percent))
     pairs = pairs.select("b.doc", "b.line", F.expr("a.doc AS doc0"), F.expr("a.line AS line0"))
     pairs = cut_lineage(pairs.distinct())
