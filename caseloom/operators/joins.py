@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseloom.operators import ordering
 from caseloom.session import cut_lineage, shuffle_width
 
 MODEL = "model#0"
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 
 
 class MissingKeys(ValueError):
@@ -27,19 +29,20 @@ def attach(
 ) -> DataFrame:
     """Join a table of one row per key to rows whose keys may be very uneven.
 
-    The table is written once and counted.  Up to ``BROADCAST_ROWS`` rows it goes to every task, so
-    the rows are not moved at all.  Above that the key is salted and the table repeated per salt, so
+    The table is written once and measured.  Up to ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` it goes to every
+    task, so the rows are not moved at all.  A null key matches a null key.  Above that the key is salted and the table repeated per salt, so
     a key that holds a third of all rows is spread over many tasks; what is still uneven is
     split by adaptive execution.  ``written`` says that the table has been written already.
     """
     if not written:
         dim = cut_lineage(dim)
-    if dim.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(dim), list(on), how)
+    size = dim.select(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct(*dim.columns))))).first()
+    if size[0] <= BROADCAST_ROWS and (size[1] or 0) <= BROADCAST_BYTES:
+        return ordering.null_safe_join(rows, dim, on, how, hint="broadcast")
     salts = salt_count(rows)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")
+    return ordering.null_safe_join(salted, copies, [*on, "_salt"], how, hint="merge").drop("_salt")
 
 
 def lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], strict: bool = True) -> DataFrame:

@@ -179,7 +179,8 @@ def roc_curve(
         ordering.BUCKET,
         F.lead("_head").over(over.orderBy(F.col(ordering.BUCKET).desc())).alias("_next_head"),
     )
-    t = t.withColumn("_next", F.lead(step).over(inside)).join(heads, [*keys, ordering.BUCKET])
+    t = t.withColumn("_next", F.lead(step).over(inside))
+    t = ordering.null_safe_join(t, heads, [*keys, ordering.BUCKET])
     after = F.coalesce(F.col("_next"), F.col("_next_head"))
     is_first = (F.col("neg_before") == 0) & (F.col("pos_before") == 0)
     if drop_collinear:

@@ -11,6 +11,8 @@ Group keys must not be null.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -45,10 +47,18 @@ def with_bucket(df: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
     return cut.withColumn(BUCKET, F.coalesce(F.col(BUCKET).cast("int"), F.lit(-1))).drop("_as_double")
 
 
+def null_safe_join(rows: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "inner", hint: str | None = None) -> DataFrame:
+    """Join by keys of which null equals null; the key columns of ``rows`` stay."""
+    other = dim.select(*[F.col(k).alias(f"_key_{k}") for k in on], *[c for c in dim.columns if c not in on])
+    other = other.hint(hint) if hint else other
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in on])
+    return rows.join(other, same, how).drop(*[f"_key_{k}" for k in on])
+
+
 def fits_plain_window(df: DataFrame, keys: Sequence[str]) -> bool:
     """Whether every group is small enough for one task; a count combined before the shuffle."""
     if not keys:
-        return df.limit(PLAIN_ROWS + 1).count() <= PLAIN_ROWS
+        return df.count() <= PLAIN_ROWS
     largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
     return (largest or 0) <= PLAIN_ROWS
 
@@ -92,7 +102,7 @@ def running_totals(
         *[F.sum(n).over(group).alias(f"{n}_all") for n in sums],
     )
     out = per_value.select("*", *[F.sum(n).over(inside).alias(f"_in_{n}") for n in sums])
-    out = out.join(offsets, [*keys, BUCKET])
+    out = null_safe_join(out, offsets, [*keys, BUCKET])
     return out.select(
         *keys,
         value,
@@ -149,7 +159,7 @@ def numbered(
         *keys, *outer, BUCKET, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off")
     )
     rows = rows.withColumn("_in", F.row_number().over(inside) - 1)
-    rows = rows.join(offsets, [*keys, *outer, BUCKET])
+    rows = null_safe_join(rows, offsets, [*keys, *outer, BUCKET])
     return rows.withColumn(out, (F.col("_off") + F.col("_in")).cast("long")).drop("_off", "_in", BUCKET)
 
 

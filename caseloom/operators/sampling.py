@@ -74,7 +74,8 @@ def draws(groups: DataFrame, n: str, out: str = "draw") -> DataFrame:
     """Rows 0..n-1 for every group, built in chunks so that no task holds a long array."""
     chunks = F.ceil(F.col(n) / DRAWS_PER_CHUNK).cast("long")
     cut = groups.filter(F.col(n) > 0).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    cut = cut.repartition(F.col("_chunk"))
+    # Dealt by group and chunk: many small groups and one large group both spread.
+    cut = cut.repartition(*groups.columns, "_chunk")
     first = F.col("_chunk") * DRAWS_PER_CHUNK
     last = F.least(first + DRAWS_PER_CHUNK, F.col(n).cast("long")) - 1
     return cut.withColumn(out, F.explode(F.sequence(first, last))).drop("_chunk")

@@ -60,8 +60,9 @@ def write(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str
 
 
 def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a write to this folder has finished; a folder left by a failed write does not count."""
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    target = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from caseloom.operators import ordering
+from caseloom.operators import ordering, sampling
 
 
 @pytest.fixture(autouse=True, params=[1_000_000, 0], ids=["plain", "bucketed"])
@@ -61,3 +61,18 @@ def test_single_value_and_single_row(spark):
     totals = ordering.running_totals(df, ["g"], "v", {"n": F.lit(1)})
     got = {r["g"]: r["edges"] for r in ordering.quantile_points(totals, ["g"], "v", "n", [0.0, 0.5, 1.0]).collect()}
     assert got == {"a": [1.0] * 3, "b": [3.0] * 3}
+
+
+def test_null_keys_stay_at_any_size(spark):
+    rows = spark.createDataFrame([(None, 1.0), (None, 2.0), ("a", 3.0)], "k string, v double")
+    got = ordering.numbered(rows, ["k"], "v", "place").collect()
+    assert sorted((r["k"] or "", r["v"], r["place"]) for r in got) == [("", 1.0, 0), ("", 2.0, 1), ("a", 3.0, 0)]
+    assert ordering.running_totals(rows, ["k"], "v", {"n": F.lit(1)}).count() == 3
+    outer = ordering.numbered(rows, [], "v", "place", outer=["k"]).collect()
+    assert sorted(r["place"] for r in outer) == [0, 1, 2]
+
+
+def test_draws_spread_over_partitions(spark):
+    groups = spark.range(5000).select(F.col("id").alias("k"), F.lit(3).alias("n"))
+    parts = sampling.draws(groups, "n").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert sum(r["count"] for r in parts) == 15000 and len(parts) > 1
