@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from caseloom.session import ship_package
+
 BUDGET, HISTORY, STRETCH = 512, 128, 256
 #: Tokens that the marks of a turn take.
 MARKS = 4
@@ -104,6 +106,7 @@ def format_chats(
     own.  Null roles and texts are empty, a null turn number comes first, a null conversation is one conversation.  An
     empty table gives none; other columns are left behind.
     """
+    ship_package(turns.sparkSession)
     rows = turns.select(
         "conv_id",
         F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"),

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm import shared
-from caseloom.session import cut_lineage
+from caseloom.session import cut_lineage, ship_package
 
 #: Item words sent to every task at once; a larger benchmark is joined in blocks of items of about this size.
 BLOCK_WORDS = 1_000_000
@@ -189,6 +189,7 @@ def contaminated(
     are left behind.  Item ids are read as strings; a repeated item id counts once.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string"))

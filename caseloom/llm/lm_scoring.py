@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm import shared
-from caseloom.session import cut_lineage, use_checkpoint_dir
+from caseloom.session import cut_lineage, ship_package, use_checkpoint_dir
 
 END = np.uint64(0xE0D5E0D5E0D5E0D5)
 BEGIN = np.uint64(0xB0E6B0E6B0E6B0E6)
@@ -277,6 +277,7 @@ class Model:
 def fit(texts: DataFrame, order: int = 2, shard_tokens: int = SHARD_TOKENS) -> Model:
     """Model of a text column; its arrays go to a new folder below the shared checkpoint folder."""
     spark = texts.sparkSession
+    ship_package(spark)
     folder = Folder(f"{use_checkpoint_dir(spark)}/lm-{uuid.uuid4().hex}")
     chars = texts.select(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, int(chars / 6 / shard_tokens) + 1)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from caseloom.llm import shared
 from caseloom.llm.components import components
-from caseloom.session import cut_lineage, shuffle_width
+from caseloom.session import cut_lineage, ship_package, shuffle_width
 
 #: Bounds of the rarity table (a byte a slot, sent to every task) and shingles per slot between them.
 LEAST_SLOTS, MOST_SLOTS, PER_SLOT = 1 << 16, 1 << 24, 512
@@ -231,6 +231,7 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     columns are left behind.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     classes = spark.sparkContext.broadcast(rarity(texts, k).tobytes())
     schema = "doc long, n long, k1 long, k2 long, prefix binary, " + ", ".join(f"{x} long" for x in SIGNATURE)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm.shared import WORD, words_expr
+from caseloom.session import cut_lineage
 
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -110,5 +111,10 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    return quality(docs.withColumn("_row", F.struct("*")), rules).filter("kept").select("_row.*")
+    """The documents that pass, with their own columns.
+
+    The judged rows are written before they are filtered: over a filter the optimizer derives constraints from
+    every combination of the columns in the projection, which takes it forever.
+    """
+    judged = quality(docs.select(F.struct("*").alias("_row"), "text"), rules)
+    return cut_lineage(judged.select("_row", "kept")).filter("kept").select("_row.*")

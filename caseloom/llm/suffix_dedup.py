@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from caseloom.llm import shared
 from caseloom.llm.suffix_arrays import permuted_prefixes, suffix_array
-from caseloom.session import cut_lineage
+from caseloom.session import cut_lineage, ship_package
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM
@@ -231,6 +231,7 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     integers and name one document each: rows repeated with one id and text are taken for one document and
     all get its cuts.  An empty table gives none; other columns are left behind.
     """
+    ship_package(docs.sparkSession)
     spans = repeated_spans(docs, id_col)
     cuts = spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts"))
     kind = docs.schema[id_col].dataType.simpleString()

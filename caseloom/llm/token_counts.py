@@ -18,6 +18,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseloom.session import ship_package
+
 MARK = "▁"  # stands for a space
 UNKNOWN_PENALTY = 10.0
 #: Units whose counts a worker remembers; the memory is emptied when full.
@@ -151,6 +153,7 @@ def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id") -> Da
     an empty table gives none, other columns are left behind.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     spark.sparkContext.addFile(model_file)
     name = model_file.rsplit("/", 1)[-1]
     kind = docs.schema[id_col].dataType
