@@ -132,6 +132,23 @@ def test_chat_windows_read_back(spark):
         assert learnt.get(conv, []) == [t for r, t in want if r == "assistant"]
 
 
+def test_mixing_comes_near_targets_out_of_reach(spark):
+    """Posteriors that are all mixed cannot meet the targets; the steps go most of the way to the least distance."""
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([8, 2, 2], 60)
+    t = rng.integers(1, 200, 60)
+    rows = [(i, int(n), *map(float, q)) for i, (n, q) in enumerate(zip(t, p))]
+    members = spark.createDataFrame(rows, "doc_id long, tokens long, p_clean double, p_poor double, p_toxic double").coalesce(1)
+    got = np.array([r[0] for r in members.select(mixing.fit_rates(members, {"clean": 0.99, "poor": 0.01, "toxic": 0.0}, 5000.0)).collect()])
+    want, x = np.array([4950.0, 50.0, 0.0]), np.ones(60)
+    for _ in range(100_000):
+        x = np.maximum(0, x + p @ (want - (x * t) @ p) / np.linalg.eigvalsh((p.T * t) @ p)[-1])
+    least = np.linalg.norm((x * t) @ p - want)
+    start = np.linalg.norm(t @ p - want)
+    assert (got >= 0).all() and least > 100
+    assert np.linalg.norm((got * t) @ p - want) - least <= 0.2 * (start - least)
+
+
 def test_mixing_reaches_the_targets(spark):
     rows = [(i, " ".join(["idiot", "trash"] * 5 if i % 3 == 0 else ["| |"] * 9 if i % 3 == 1 else ["calm", "prose"] * 8)) for i in range(300)]
     labels = spark.createDataFrame([(i, int(i % 3 == 2), int(i % 3 == 0)) for i in range(0, 300, 2)], "doc_id long, quality int, toxic int")
