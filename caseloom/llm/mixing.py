@@ -2,11 +2,11 @@
 
 A classifier fitted on the labelled table gives every document a posterior over the domains.  Rates x solve
 ``min |sum_i x_i t_i p_i - b|`` over x >= 0, with t_i the tokens and p_i the posterior of document i and b the target
-tokens of the domains.  A step moves x_i by p_i . (b - sum y t p) / L from the point y ahead of it and cuts at zero: the
-gradient in the metric of the documents' sizes, L being the largest eigenvalue of sum t p p', which makes every plain
-step come nearer.  y runs ahead of x by accelerated momentum, which starts again when a step leads away.  Each step is
-one sum over all documents, and only numbers per domain reach the driver.  All work on rows is done by built-in
-expressions.
+tokens of the domains; among the rates that do, those nearest to 1 are taken, through a small term ``t_i (x_i - 1)^2``.
+The gradient moves x_i by p_i . (b - sum x t p).  Its steps are added up before they are cut at zero (lazy projection),
+so the rates are max(0, 1 + p_i . moved) with one number per domain, whatever the number of steps.  A step is scaled by
+the inverse of sum t p p' over the documents not at zero, and shortened if it leads away.  Each step is one sum over
+all documents, and only numbers per domain reach the driver.  All work on rows is done by built-in expressions.
 """
 
 from __future__ import annotations
@@ -26,12 +26,16 @@ TARGETS = {"clean": 0.9, "poor": 0.08, "toxic": 0.02}
 #: Labelled documents the classifier learns from, at most: those of the smallest hashed ids.
 LABELLED_ROWS = 20_000
 #: Words the classifier keeps, and slots of the table that holds them; both fixed bounds.
-FEATURES, SLOTS = 4_000, 1 << 14
+FEATURES, SLOTS = 256, 1 << 12
 #: Likelihood-ratio evidence a word must give in all labelled documents to be kept.
 LEAST_GAIN = 10.0
+#: A word is kept if its share in some domain is at least twice that in all: weaker ones tell of length and language only.
+LEAST_WEIGHT = math.log(2)
 #: Words of a document that count as evidence at full weight.
 EVIDENCE = 40
 STEPS, TOLERANCE = 60, 1e-6
+#: Weight of the nearness to 1 against the distance from the targets.
+NEAR = 1e-6
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -47,7 +51,7 @@ def _features(text: Column) -> Column:
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame) -> dict:
-    """Naive Bayes on the presence of words: log weights of the most telling words, log priors of the domains."""
+    """Naive Bayes on the most telling words: log weight of a word's presence, log score of a domain where all are absent."""
     chosen = domain_of(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)
     seen = docs.select(F.col("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("domain", _features(F.col("text")).alias("h"))
     seen = cut_lineage(seen)
@@ -58,20 +62,19 @@ def fit_classifier(docs: DataFrame, labels: DataFrame) -> dict:
     counts = counts.agg(*[F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS])
     # Smoothed share of documents with the word in each domain against the share in all.
     share = {d: (F.col(d) + 1.0) / (n[d] + 2.0) for d in DOMAINS}
-    mean = sum(F.col(d) for d in DOMAINS) + 1.0
-    weight = {d: F.log(share[d] / (mean / (total + 2.0))) for d in DOMAINS}
+    mean = (sum(F.col(d) for d in DOMAINS) + 1.0) / (total + 2.0)
+    weight = {d: F.log(share[d] / mean) for d in DOMAINS}
     gain = sum(F.col(d) * weight[d] for d in DOMAINS)
-    best = counts.select("h", *[F.round(weight[d], 4).alias(d) for d in DOMAINS], F.round(gain, 9).alias("gain"))
-    best = best.filter(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "h").limit(FEATURES).collect()
-    hashes = [None] * SLOTS
-    table = {d: [0.0] * SLOTS for d in DOMAINS}
-    for r in reversed(best):  # on one slot the more telling word stays
-        slot = r["h"] & (SLOTS - 1)
-        hashes[slot] = r["h"]
-        for d in DOMAINS:
-            table[d][slot] = r[d]
+    absent = {d: F.log(1.0 - share[d]) for d in DOMAINS}
+    values = [F.round(v, 6).alias(name) for d in DOMAINS for name, v in ((d, weight[d] - absent[d]), (f"no_{d}", absent[d]))]
+    best = counts.select("h", *values, F.round(gain, 9).alias("gain"), F.greatest(*weight.values()).alias("most"))
+    best = best.filter((F.col("gain") >= LEAST_GAIN) & (F.col("most") >= LEAST_WEIGHT)).orderBy(F.desc("gain"), "h").limit(FEATURES).collect()
+    kept = {r["h"] & (SLOTS - 1): r for r in reversed(best)}  # on one slot the more telling word stays
+    hashes = [kept[k]["h"] if k in kept else None for k in range(SLOTS)]
+    table = {d: [kept[k][d] if k in kept else 0.0 for k in range(SLOTS)] for d in DOMAINS}
     priors = {d: math.log((n[d] + 1.0) / (total + len(DOMAINS))) for d in DOMAINS}
-    return {"hashes": hashes, "weights": table, "priors": priors}
+    bases = {d: priors[d] + math.fsum(r[f"no_{d}"] for r in kept.values()) for d in DOMAINS}
+    return {"hashes": hashes, "weights": table, "bases": bases}
 
 
 def posteriors(docs: DataFrame, model: dict) -> DataFrame:
@@ -88,7 +91,7 @@ def posteriors(docs: DataFrame, model: dict) -> DataFrame:
     for d in DOMAINS:
         table = F.from_json(F.lit(json.dumps(model["weights"][d])), "array<double>")
         total = F.aggregate("h", F.lit(0.0), lambda a, h: a + F.get(table, place(h)))
-        scores[f"s_{d}"] = F.coalesce(total, F.lit(0.0)) * F.coalesce(scale, F.lit(1.0)) + model["priors"][d]
+        scores[f"s_{d}"] = F.coalesce(total, F.lit(0.0)) * F.coalesce(scale, F.lit(1.0)) + model["bases"][d]
     rows = rows.withColumns(scores)
     top = F.greatest(*[F.col(f"s_{d}") for d in DOMAINS])
     rows = rows.withColumns({f"e_{d}": F.exp(F.col(f"s_{d}") - top) for d in DOMAINS})
@@ -99,69 +102,58 @@ def posteriors(docs: DataFrame, model: dict) -> DataFrame:
 def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | None = None) -> Column:
     """Rate of each row of ``doc_id, tokens, p_*`` as an expression.
 
-    ``budget`` is the number of tokens to reach; by default the one that asks of the first domain just what it
-    has, so its documents stay whole.
+    ``budget`` is the number of tokens to reach.  By default it is the one that asks of the first domain just what it
+    has, and rates are raised together, which keeps all shares, until a document wholly of that domain has 1 at least.
     """
     p = [F.col(f"p_{d}") for d in DOMAINS]
-    t = F.coalesce("tokens", F.lit(0))
+    t = F.coalesce("tokens", F.lit(0)).cast("double")
     pairs = [(i, j) for i in range(len(p)) for j in range(i, len(p))]
-    steps: list[list[float]] = []
-
-    def rate_of() -> Column:
-        """Rate after all steps so far: one fold over a literal array, so the plan stays as small as at first."""
-        if not steps:
-            return F.lit(1.0)
-
-        def step(s: Column, v: Column) -> Column:
-            x = F.greatest(F.lit(0.0), s["y"] + sum(q * F.get(v, F.lit(i)) for i, q in enumerate(p)))
-            y = x + (x - s["x"]) * F.get(v, F.lit(len(p)))
-            return F.struct(x.alias("x"), y.alias("y"))
-
-        first = F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
-        return F.aggregate(F.from_json(F.lit(json.dumps(steps)), "array<array<double>>"), first, step)["x"]
-
-    def mass_of() -> np.ndarray:
-        """Token total of each domain under the rates."""
-        rows = members.select(t.cast("double").alias("t"), *p, rate_of().alias("rate"))
-        return np.array([x or 0.0 for x in rows.agg(*[F.sum(F.col("t") * F.col("rate") * q) for q in p]).first()])
-
-    gram = np.zeros((len(p), len(p)))
-    sums = members.agg(*[F.sum(t * p[i] * p[j]) for i, j in pairs]).first()
-    for (i, j), x in zip(pairs, sums):
-        gram[i, j] = gram[j, i] = x or 0.0
-    reach = float(np.linalg.eigvalsh(gram)[-1])
-    mass = ahead = mass_of()
+
+    def rate_of(moved: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), F.lit(1.0) + sum(q * float(v) for q, v in zip(p, moved)))
+
+    def totals(moved: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Under the rates: tokens of each domain, sum t p p' over the documents not at zero, and sum t x x."""
+        rows = members.select(t.alias("t"), *p, rate_of(moved).alias("x"))
+        free = F.when(F.col("x") > 0, F.col("t"))
+        sums = [F.sum(F.col("t") * F.col("x") * q) for q in p] + [F.sum(free * p[i] * p[j]) for i, j in pairs]
+        found = [v or 0.0 for v in rows.agg(*sums, F.sum(F.expr("t * x * x"))).first()]
+        gram = np.zeros((len(p), len(p)))
+        for (i, j), v in zip(pairs, found[len(p) :]):
+            gram[i, j] = gram[j, i] = v
+        return np.array(found[: len(p)]), gram, found[-1]
+
+    moved = np.zeros(len(p))
+    mass, gram, size = totals(moved)
+    near = NEAR * float(np.linalg.eigvalsh(gram)[-1])
     share = np.array([targets[d] for d in DOMAINS], dtype=float)
     share = share / share.sum()
     total = budget if budget is not None else mass[0] / share[0] if share[0] > 0 else mass.sum()
     want = share * total
-    pace, nearest, at = 1.0, np.linalg.norm(want - mass), 0
-    while reach > 0 and len(steps) < STEPS and np.abs(want - mass).max() > TOLERANCE * max(total, 1.0):
-        steps.append([*((want - ahead) / reach).tolist(), 0.0])
-        last, mass = mass, mass_of()
-        if np.linalg.norm(want - mass) < nearest:
-            nearest, at = np.linalg.norm(want - mass), len(steps)
-        if np.linalg.norm(want - mass) > np.linalg.norm(want - last):
-            if pace == 1.0:  # a plain step came no nearer: this is as near as rates can come
-                break
-            steps[-1][-1] = 0.0
-            pace, ahead = 1.0, mass
-            continue
-        faster = (1.0 + math.sqrt(1.0 + 4.0 * pace * pace)) / 2.0
-        steps[-1][-1] = (pace - 1.0) / faster
-        ahead = mass + (mass - last) * steps[-1][-1]
-        pace = faster
-    del steps[at:]
-    return rate_of()
+    left, pace = want - mass, 1.0
+    for _ in range(STEPS):
+        if near <= 0 or np.abs(left).max() <= TOLERANCE * max(total, 1.0):
+            break
+        step = pace * np.linalg.solve(gram + near * np.eye(len(p)), left)
+        mass, gram_then, size_then = totals(moved + step)
+        left_then = want - mass - near * (moved + step)
+        gain = want @ step - (size_then - size) / 2 - near * (step @ (moved + step / 2))
+        if gain > 0 or np.linalg.norm(left_then) < np.linalg.norm(left):
+            moved, left, gram, size, pace = moved + step, left_then, gram_then, size_then, min(1.0, 2 * pace)
+        else:
+            pace /= 4
+    whole = 1.0 + float(moved[0])
+    raised = budget is None and share[0] > 0 and 0 < whole < 1
+    return rate_of(moved) / whole if raised else rate_of(moved)
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None) -> DataFrame:
     """Per document ``doc_id, tokens, p_<domain>, rate``.
 
-    Null and empty texts have no tokens and the prior as posterior; their rate follows from it like any other.
+    Null and empty texts have no tokens and the posterior of a text without telling words; their rate follows from it like any other.
     Without labels all domains are equally likely.  Rows are independent and may repeat; an empty table gives none.
-    Targets that no rates can meet (a domain without tokens, posteriors that are all mixed) are approached by ``STEPS``
-    steps at most; the rates of the nearest step are returned.
+    Targets that no rates can meet (a domain without tokens, posteriors that are all mixed) are approached as far as
+    rates can come, in ``STEPS`` steps at most.
     """
     members = cut_lineage(posteriors(docs, fit_classifier(docs, labels)))
     return members.withColumn("rate", fit_rates(members, targets, budget))

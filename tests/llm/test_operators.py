@@ -158,6 +158,23 @@ def test_mixing_reaches_the_targets(spark):
     for d in mixing.DOMAINS:
         assert mass[d] / total == pytest.approx(mixing.TARGETS[d], abs=1e-4)
     assert (got.rate >= 0).all()
+    calm = got[got.doc_id % 3 == 2]
+    assert (calm.p_clean > 0.95).all() and (calm.rate >= 1).all()  # clean documents stay whole, labelled or not
+    assert (got[got.doc_id % 3 == 0].p_toxic > 0.95).all()
+
+
+def test_mixing_takes_the_rates_nearest_to_one(spark):
+    rng = np.random.default_rng(5)
+    p, t = rng.dirichlet([1, 1, 1], 80), rng.integers(1, 200, 80)
+    rows = [(i, int(n), *map(float, q)) for i, (n, q) in enumerate(zip(t, p))]
+    members = spark.createDataFrame(rows, "doc_id long, tokens long, p_clean double, p_poor double, p_toxic double").coalesce(1)
+    want = np.array([0.5, 0.3, 0.2]) * 6000
+    got = np.array([r[0] for r in members.select(mixing.fit_rates(members, {"clean": 0.5, "poor": 0.3, "toxic": 0.2}, 6000.0)).collect()])
+    moved = np.zeros(3)  # plain ascent on the same small problem
+    for _ in range(100_000):
+        moved += (want - (np.maximum(0, 1 + p @ moved) * t) @ p) / np.linalg.eigvalsh((p.T * t) @ p)[-1]
+    assert (got * t) @ p == pytest.approx(want, rel=1e-4)
+    assert got == pytest.approx(np.maximum(0, 1 + p @ moved), abs=1e-3)
 
 
 def test_license_inheritance(spark):
