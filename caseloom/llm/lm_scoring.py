@@ -29,7 +29,7 @@ BEGIN = np.uint64(0xB0E6B0E6B0E6B0E6)
 #: Tokens a task gathers before it merges equal n-grams and sends them on.
 GATHERED = 2_500_000
 #: Tokens per shard, from which the number of shards follows.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 1_000_000
 
 BLOB = "kind string, shard int, data binary"
 
@@ -67,14 +67,18 @@ def merged(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.nd
     return [k[at] for k in keys], [np.add.reduceat(v[by], at) for v in values]
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in the narrowest unsigned type that holds them all."""
+    return counts.astype(np.min_scalar_type(counts.max(initial=0)))
+
+
 def pack(keys: list[np.ndarray], values: list[np.ndarray]) -> bytes:
     out = io.BytesIO()
     np.save(out, np.array([len(keys), len(values)]))
     for k in keys:
         np.save(out, k)
     for v in values:
-        small = np.uint8 if len(v) and v.max() < 256 else np.int64
-        np.save(out, v.astype(small))
+        np.save(out, narrow(v))
     return out.getvalue()
 
 
@@ -177,7 +181,7 @@ def _build(level: int, shards: int, folder: Folder):
         by = np.argsort(h)
         name = f"level{level}-{shard}"
         folder.save(f"{name}-keys", h[by])
-        folder.save(f"{name}-counts", np.stack([count[by], raw[by]]) if level == 1 else count[by].astype(np.uint32 if count.max() < 2**32 else np.int64))
+        folder.save(f"{name}-counts", narrow(np.stack([count[by], raw[by]]) if level == 1 else count[by]))
         tops = np.array([len(h), count.sum(), *((count == k).sum() for k in (1, 2, 3, 4)), raw.sum()])
         out = [
             pa.RecordBatch.from_arrays(
@@ -202,7 +206,7 @@ def _build_contexts(level: int, folder: Folder):
         shard = table.column("shard")[0].as_py()
         (key,), sums = merged(*unpack(b.as_py() for b in table.column("data")))
         folder.save(f"context{level}-{shard}-keys", key)
-        folder.save(f"context{level}-{shard}-counts", np.stack(sums))
+        folder.save(f"context{level}-{shard}-counts", narrow(np.stack(sums)))
         return pa.table({"shard": pa.array([shard], pa.int32())})
 
     return run
@@ -274,7 +278,7 @@ class Model:
         return np.log10(p), raw
 
 
-def fit(texts: DataFrame, order: int = 2, shard_tokens: int = SHARD_TOKENS) -> Model:
+def fit(texts: DataFrame, order: int = 3, shard_tokens: int = SHARD_TOKENS) -> Model:
     """Model of a text column; its arrays go to a new folder below the shared checkpoint folder."""
     spark = texts.sparkSession
     ship_package(spark)

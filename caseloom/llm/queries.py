@@ -26,7 +26,7 @@ from caseloom.llm.shared import table
 
 #: Vocabulary file of the token counts.
 TOKENIZER = os.environ.get("CASELOOM_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
-LM_ORDER = 2
+LM_ORDER = 3
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Plain Python versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -128,3 +129,41 @@ def quality(text, window=5):
 
 def held_out(doc):
     return zlib.crc32(str(doc).encode()) % 10 == 0
+
+
+class KneserNey:
+    """Interpolated modified Kneser-Ney model by plain dictionaries."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        self.counts = {order: Counter(g for t in texts for g in self.grams(t))}
+        for k in range(order - 1, 0, -1):
+            self.counts[k] = Counter(g[1:] for g in self.counts[k + 1])
+        self.discount = {k: self.discounts(Counter(c.values())) for k, c in self.counts.items()}
+
+    def grams(self, text):
+        words = ["<s>"] * (self.order - 1) + (text or "").split() + ["</s>"]
+        return [tuple(words[i : i + self.order]) for i in range(len(words) - self.order + 1)]
+
+    @staticmethod
+    def discounts(n):
+        if not all(n[k] for k in (1, 2, 3, 4)):
+            return [0, 0.5, 1, 1.5]
+        y = n[1] / (n[1] + 2 * n[2])
+        return [0] + [min(k, max(0, k - (k + 1) * y * n[k + 1] / n[k])) for k in (1, 2, 3)]
+
+    def probability(self, gram):
+        k = len(gram)
+        if k == 0:
+            return 1 / (len(self.counts[1]) + 1)
+        after = [n for g, n in self.counts[k].items() if g[:-1] == gram[:-1]]
+        lower = self.probability(gram[1:])
+        if not after:
+            return lower
+        d = self.discount[k]
+        n = self.counts[k][gram]
+        direct = max(n - d[min(n, 3)], 0)
+        return (direct + sum(d[min(a, 3)] for a in after) * lower) / sum(after)
+
+    def score(self, text):
+        return sum(math.log10(self.probability(g)) for g in self.grams(text))
