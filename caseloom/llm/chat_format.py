@@ -2,10 +2,11 @@
 
 Turns are written as ``<|role|>``, a line end, the text, ``<|end|>`` and a line end.  Texts and roles are escaped so that no mark of
 this or of bracket templates can occur in them: a backslash is doubled, and ``<`` and ``[`` are followed by one.
-A conversation is dealt into stretches of ``STRETCH`` turn numbers, so a long one is shared by many tasks; inside a
+A conversation is dealt into stretches of ``STRETCH`` turns by rank, so a long one is shared by many tasks; inside a
 stretch prefix sums of turn tokens choose the longest spans of whole turns that fit the budget.  A window repeats the
-system turn that opens the conversation and the last turns before it that fit ``history``; only the assistant
-texts of its own turns are under the mask, so each is learnt once.
+system turn that opens the conversation and the last turns before it that fit ``history``, those of the stretch
+before too: each stretch is handed as many of them as could fit.  A window ends with its stretch.  Only the
+assistant texts of a window's own turns are under the mask, so each is learnt once.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from caseloom.llm import token_counts
 from caseloom.session import ship_package
 
 BUDGET, HISTORY, STRETCH = 512, 128, 256
@@ -60,10 +62,10 @@ def read_turns(formatted: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
-def spans(tokens: np.ndarray, room: int, history: int) -> list[tuple[int, int, int]]:
-    """(first repeated, first own, end) turn of each window; a turn over the budget stands alone."""
+def spans(tokens: np.ndarray, room: int, history: int, start: int = 0) -> list[tuple[int, int, int]]:
+    """(first repeated, first own, end) turn of each window from ``start`` on; a turn over the budget stands alone."""
     sums = np.concatenate([[0], np.cumsum(tokens)])
-    out, start = [], 0
+    out = []
     while start < len(tokens):
         back = int(np.searchsorted(sums, sums[start] - history, "left"))
         end = int(np.searchsorted(sums, sums[back] + room, "right")) - 1
@@ -75,11 +77,14 @@ def spans(tokens: np.ndarray, room: int, history: int) -> list[tuple[int, int, i
     return out
 
 
-def _windows(rows: list[tuple], system: str | None, system_tokens: int, opening: bool, budget: int, history: int) -> Iterator[tuple]:
-    """Windows of the turns (role, text, tokens) of a stretch; the opening one holds the system turn for the first time."""
+def _windows(
+    rows: list[tuple], before: int, system: str | None, system_tokens: int, opening: bool, budget: int, history: int
+) -> Iterator[tuple]:
+    """Windows of the turns (role, text, tokens) of a stretch, the first ``before`` of them being those of the stretch
+    before; the opening one holds the system turn for the first time."""
     tokens = np.array([r[2] for r in rows], dtype=np.int64)
     room = max(1, budget - system_tokens)
-    cuts = spans(tokens, room, min(history, room // 2)) or ([(0, 0, 0)] if opening else [])
+    cuts = spans(tokens, room, min(history, room // 2), before) or ([(0, 0, 0)] if opening else [])
     for number, (back, start, end) in enumerate(cuts):
         text, loss, at, repeated = [], [], 0, start - back
         if system is not None:
@@ -97,55 +102,78 @@ def _windows(rows: list[tuple], system: str | None, system_tokens: int, opening:
 
 
 def format_chats(
-    turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, stretch: int = STRETCH
+    turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, stretch: int = STRETCH, tokenizer: str | None = None
 ) -> DataFrame:
     """Windows of all conversations: ``conv_id, stretch, window, n_turns, n_repeated, n_tokens, formatted, loss``.
 
+    Tokens of a text are those of the vocabulary file ``tokenizer`` (as ``token_counts``), without one its words.
     ``loss`` are spans of ``formatted`` in code points.  The first ``n_repeated`` turns of a window stand in an
     earlier one too.  Rows of equal turn numbers are ordered by role, then text; repeated rows are turns of their
-    own.  Null roles and texts are empty, a null turn number comes first, a null conversation is one conversation.  An
+    own.  Null roles and texts are empty, a null turn number is -1, a null conversation is one conversation.  An
     empty table gives none; other columns are left behind.
     """
     ship_package(turns.sparkSession)
+    if tokenizer is not None:
+        turns.sparkSession.sparkContext.addFile(tokenizer)
+        tokenizer = tokenizer.rsplit("/", 1)[-1]
+    most = history // MARKS  # turns that can fit the history
+    stretch = max(stretch, most + 1)
     rows = turns.select(
         "conv_id",
+        F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"),
+        F.col("conv_id").isNull().alias("none"),
         F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    rows = rows.withColumn("stretch", F.expr(f"turn div {stretch}"))
-    rows = rows.withColumn("tokens", (F.size(F.split(F.trim("text"), r"\s+")) + MARKS).cast("long"))
-    heads = rows.groupBy(F.col("conv_id").alias("_conv")).agg(F.min(F.struct("turn", "role", "text", "tokens")).alias("h"))
-    heads = heads.filter("h.role = 'system'").select("_conv", "h")
-    rows = rows.join(heads, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
-    rows = rows.select(
-        "conv_id", "stretch", "turn", "role", "text", "tokens",
-        F.col("h.text").alias("system"), F.col("h.tokens").alias("system_tokens"), F.col("h.turn").alias("system_turn"),
+    rows = rows.withColumn("group", F.expr(f"floor(turn / {stretch})"))
+    # Rank of a turn: turns of the groups of turn numbers before its own, and its place in its group.
+    said = F.when(F.col("role") == "system", F.col("text")).alias("text")
+    groups = rows.groupBy("conv", "none", "group").agg(F.count("*").alias("n"), F.min(F.struct("turn", "role", said)).alias("h"))
+    by_group = Window.partitionBy("conv", "none").orderBy("group")
+    groups = groups.select(
+        "conv", "none", "group",
+        F.coalesce(F.sum("n").over(by_group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"),
+        F.first("h.text").over(by_group).alias("system"),
     )
+    groups = groups.filter("base > 0 OR system IS NOT NULL")
+    order = Window.partitionBy("conv", "none", "group").orderBy("turn", "role", "text")
+    rows = rows.withColumn("place", F.row_number().over(order) - 1).join(groups, ["conv", "none", "group"], "left")
+    rows = rows.select("conv_id", (F.coalesce("base", F.lit(0)) + F.col("place")).alias("rank"), "role", "text", "system")
+    # The last turns of a stretch go to the next one too.
+    own = F.expr(f"rank div {stretch}")
+    dealt = F.when(F.col("rank") % stretch >= stretch - most, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = rows.select("conv_id", F.explode(dealt).alias("stretch"), "rank", "role", "text", "system")
     kind = turns.schema["conv_id"].dataType.simpleString()
-    dealt = rows.repartition("conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", "turn", "role", "text")
+    dealt = rows.repartition("conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", "rank")
     schema = f"conv_id {kind}, {WINDOW_SCHEMA}"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, head = None, [], None
+        count = token_counts.counter(tokenizer).count if tokenizer is not None else lambda t: ([len(x.split()) for x in t], [])
+        key, held, before, head = None, [], 0, None
 
         def close() -> Iterator[pa.RecordBatch]:
-            system, size, opening = head
-            made = [(*key, *w) for w in _windows(held, system, size, opening, budget, history)]
+            if len(held) == before and not head[2]:
+                return  # nothing but turns of the stretch before
+            made = [(*key, *w) for w in _windows(held, before, *head, budget, history)]
             if made:
                 yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, m)) for m in made], schema=arrow)
 
         for batch in batches:
-            for conv, number, turn, role, text, tokens, system, size, first in zip(*(c.to_pylist() for c in batch.columns)):
+            columns = [c.to_pylist() for c in batch.columns]
+            tokens = count(columns[4])[0]
+            for conv, number, rank, role, text, system, size in zip(*columns, tokens):
                 if key != (conv, number):
                     if key is not None:
                         yield from close()
-                    opening = system is not None and turn == first
-                    key, held, head = (conv, number), [], (system, size or 0, opening)
+                    opening = system is not None and rank == 0
+                    own = 0 if system is None else size if opening else count([system])[0][0]
+                    key, held, before, head = (conv, number), [], 0, (system, own + MARKS if system is not None else 0, opening)
                     if opening:
                         continue
-                held.append((role, text, tokens))
+                held.append((role, text, size + MARKS))
+                before += rank < number * stretch
         if key is not None:
             yield from close()
 

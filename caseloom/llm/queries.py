@@ -121,7 +121,7 @@ def _digest_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows = chat_format.format_chats(conversations(spark, sf_dir))
+    windows = chat_format.format_chats(conversations(spark, sf_dir), tokenizer=TOKENIZER)
     ordered = windows.repartition("conv_id").sortWithinPartitions("conv_id", "stretch", "window")
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return ordered.select("conv_id", "n_repeated", "formatted", "loss").mapInArrow(_digest_windows, schema)

@@ -146,6 +146,13 @@ class Counter:
 _COUNTERS: dict[str, Counter] = {}
 
 
+def counter(name: str) -> Counter:
+    """The worker's counter for a vocabulary file sent with the job."""
+    if name not in _COUNTERS:
+        _COUNTERS[name] = Counter(Viterbi(read_pieces(SparkFiles.get(name))))
+    return _COUNTERS[name]
+
+
 def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id") -> DataFrame:
     """``id_col, n_tokens, score`` of every row; null and empty texts have no tokens and score 0.
 
@@ -159,11 +166,9 @@ def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id") -> Da
     kind = docs.schema[id_col].dataType
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _COUNTERS:
-            _COUNTERS[name] = Counter(Viterbi(read_pieces(SparkFiles.get(name))))
-        counter = _COUNTERS[name]
+        own = counter(name)
         for batch in batches:
-            tokens, scores = counter.count(batch.column(1).to_pylist())
+            tokens, scores = own.count(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(tokens, pa.int64()), pa.array(scores, pa.float64())],
                 names=["id", "n_tokens", "score"],

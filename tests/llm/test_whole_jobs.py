@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from caseloom.llm import queries
+from caseloom.llm import chat_format, queries
 from tests.llm import brute
 
 
@@ -21,3 +21,32 @@ def test_scores_weigh_two_words_of_context(spark, tmp_path):
     for d, t in rows:
         assert got[d][:2] == (brute.held_out(d), sum(len((t or "").split()) + 1 for t in train))
         assert got[d][2] == pytest.approx(model.score(t))
+
+
+@pytest.mark.parametrize("step", [1, 1000])
+def test_windows_repeat_history_across_stretches(spark, step):
+    said = {k: f"turn {k} " + "x " * (k % 7) for k in range(600)}
+    rows = [(c, k * step, "user", said[k]) for c in (1, None) for k in range(600)]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    for tokenizer in (None, queries.TOKENIZER):
+        if tokenizer is None:
+            size = {said[k]: len(said[k].split()) + 4 for k in said}
+        else:
+            from caseloom.llm.token_counts import Counter, Viterbi, read_pieces
+
+            size = dict(zip(said.values(), [n + 4 for n in Counter(Viterbi(read_pieces(tokenizer))).count(list(said.values()))[0]]))
+        windows = chat_format.format_chats(table, tokenizer=tokenizer).collect()
+        for conv in (1, None):
+            seen = []
+            for w in sorted((w for w in windows if w["conv_id"] == conv), key=lambda w: (w["stretch"], w["window"])):
+                texts = [t for _, t, _, _ in chat_format.read_turns(w["formatted"])]
+                repeated, total = 0, 0
+                while repeated < len(seen) and total + size[seen[-1 - repeated]] <= chat_format.HISTORY:
+                    total += size[seen[-1 - repeated]]
+                    repeated += 1
+                assert w["n_repeated"] == repeated
+                assert texts[:repeated] == seen[len(seen) - repeated :]
+                assert w["n_tokens"] == sum(size[t] for t in texts) <= chat_format.BUDGET
+                seen += texts[repeated:]
+            assert seen == list(said.values())
+            assert {w["stretch"] for w in windows} == {0, 1, 2}
