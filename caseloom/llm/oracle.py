@@ -1,3 +1,79 @@
 """DuckDB SQL of the text queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+#: Null conversations are told apart by ``IS NOT DISTINCT FROM``; states are 0 start, 1 system, 2 user, 3 assistant.
+TURN_REPAIR = r"""
+WITH RECURSIVE
+crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+                          lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i) x),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s
+  FROM conversations),
+marked AS (
+  SELECT conv_id, turn, role, text,
+         xor(4294967295, list_reduce(
+           [4294967295] || list_transform(range(1, length(s) + 1), lambda i: CAST(ascii(substr(s, CAST(i AS INT), 1)) AS BIGINT)),
+           lambda c, b: xor(t[CAST((xor(c, b) & 255) + 1 AS INT)], c >> 8))) % 20 AS k
+  FROM named, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM marked WHERE k <> 0) x),
+lined AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM damaged),
+judged AS (
+  SELECT *,
+         NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut,
+         lag(substr(role, 1, 1)) OVER w || substr(role, 1, 1) AS pair
+  FROM lined
+  WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+rows_ AS (
+  SELECT *, substr(role, 1, 1) AS initial, blank OR again AS gone, cut AND NOT blank AND NOT again AS trunc FROM judged),
+counts AS (
+  SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+         count(*) FILTER (trunc) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows_ GROUP BY conv_id),
+inserts(a, b, n, added) AS (VALUES
+  (0, 0, 0, ''), (0, 2, 1, chr(10) || 'user:'), (0, 3, 2, chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (1, 1, 0, ''), (1, 2, 1, chr(10) || 'user:'), (1, 3, 2, chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (2, 2, 0, ''), (2, 3, 1, chr(10) || 'assistant:'), (2, 2, 2, chr(10) || 'assistant:' || chr(10) || 'user:'),
+  (3, 3, 0, ''), (3, 2, 1, chr(10) || 'user:'), (3, 3, 2, chr(10) || 'user:' || chr(10) || 'assistant:')),
+edits(edit, a, b, initial, named, paid) AS (VALUES
+  ('D', 0, 0, NULL, NULL, 2), ('D', 1, 1, NULL, NULL, 2), ('D', 2, 2, NULL, NULL, 2), ('D', 3, 3, NULL, NULL, 2),
+  ('K', 0, 1, 's', NULL, 0), ('K', 0, 2, 'u', NULL, 0), ('K', 1, 2, 'u', NULL, 0), ('K', 2, 3, 'a', NULL, 0), ('K', 3, 2, 'u', NULL, 0),
+  ('R', 0, 2, NULL, 'user', 1), ('R', 1, 2, NULL, 'user', 1), ('R', 2, 3, NULL, 'assistant', 1), ('R', 3, 2, NULL, 'user', 1)),
+paths AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS state, {'cost': CAST(0 AS BIGINT), 'audit': '', 'said': ''} AS best FROM counts
+  UNION ALL
+  SELECT p.conv_id, p.i + 1, e.b,
+         min({'cost': p.best.cost + 5 * s.n + e.paid + CASE WHEN r.trunc AND e.edit <> 'D' THEN 5 ELSE 0 END,
+              'audit': p.best.audit || repeat('I', s.n) || e.edit,
+              'said': p.best.said || s.added || CASE WHEN e.edit = 'D' THEN '' ELSE chr(10) || coalesce(e.named, r.role) || ':' || r.text END})
+  FROM paths p
+  JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1
+  JOIN inserts s ON s.a = p.state
+  JOIN edits e ON e.a = s.b AND (e.edit = 'D' OR NOT r.gone) AND (e.initial IS NULL OR e.initial = r.initial)
+  GROUP BY p.conv_id, p.i, e.b),
+ended AS (
+  SELECT p.conv_id,
+         min({'cost': p.best.cost + 5 * s.n, 'audit': p.best.audit || repeat('I', s.n), 'said': p.best.said || s.added}) AS best
+  FROM paths p
+  JOIN counts c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.n = p.i
+  JOIN inserts s ON s.a = p.state AND s.b IN (0, 3)
+  GROUP BY p.conv_id)
+SELECT d.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate,
+       coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal, coalesce(e.best.cost, 0) AS cost,
+       coalesce(e.best.audit, '') AS audit, sha256(coalesce(substr(e.best.said, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
+SQL: dict[str, str] = {"op13_turn_repair": TURN_REPAIR}

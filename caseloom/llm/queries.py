@@ -22,6 +22,7 @@ from caseloom.llm import (
     suffix_dedup,
     token_counts,
 )
+from caseloom.llm.conversation_queries import op13_turn_repair
 from caseloom.llm.shared import table
 
 #: Vocabulary file of the token counts.
@@ -162,5 +163,6 @@ QUERIES = {
         op8_quality_rules,
         op9_ngram_join,
         op10_license_scan,
+        op13_turn_repair,
     )
 }
