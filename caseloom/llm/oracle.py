@@ -76,4 +76,42 @@ LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id
 LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM d.conv_id
 """
 
-SQL: dict[str, str] = {"op13_turn_repair": TURN_REPAIR}
+
+def _vector_codes(rounds: int = 6) -> str:
+    """Rounds written out one after the other; a quotient is floored also below zero."""
+    nearest = """
+near{k} AS MATERIALIZED (
+  SELECT vec_id, p, any_value(x) AS x,
+         min({{'d': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}}) AS best
+  FROM parts JOIN book{k} USING (p) GROUP BY vec_id, p)"""
+    moved = """
+means{k} AS (
+  SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c
+  FROM (SELECT p, best.e AS e, i, sum(x[i]) AS s, count(*) AS n
+        FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM near{k}) y GROUP BY ALL) z
+  GROUP BY p, e),
+book{n} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN means{k} m ON m.p = b.p AND m.e = b.e)"""
+    steps = "".join(nearest.format(k=k) + "," + moved.format(k=k, n=k + 1) + "," for k in range(rounds))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 4096) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, p, v[p * (len(v) // 8) + 1 : (p + 1) * (len(v) // 8)] AS x FROM kept, (SELECT unnest(range(8)) AS p) q),
+book0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c
+  FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 16)),{steps}
+{nearest.format(k=rounds)},
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM near{rounds} GROUP BY vec_id),
+books AS (
+  SELECT sha256(string_agg(list_aggregate(c, 'string_agg', ','), ',' ORDER BY p, e)) AS digest FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id), books
+"""
+
+
+SQL: dict[str, str] = {"op12_vector_codes": _vector_codes(), "op13_turn_repair": TURN_REPAIR}

@@ -21,6 +21,7 @@ from caseloom.llm import (
     quality_rules,
     suffix_dedup,
     token_counts,
+    vector_codes,
 )
 from caseloom.llm.conversation_queries import op13_turn_repair
 from caseloom.llm.shared import table
@@ -150,6 +151,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(files(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.product_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -163,6 +168,7 @@ QUERIES = {
         op8_quality_rules,
         op9_ngram_join,
         op10_license_scan,
+        op12_vector_codes,
         op13_turn_repair,
     )
 }
