@@ -18,6 +18,7 @@ from caseloom.llm import (
     lm_scoring,
     mixing,
     ngram_join,
+    personal_data,
     quality_rules,
     suffix_dedup,
     token_counts,
@@ -151,6 +152,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(files(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [f"n_{k}" for k in personal_data.BASE_KINDS]
+    base = F.sha2(personal_data.written("base_spans"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, personal_data.written("spans").alias("spans"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.product_codes(table(spark, sf_dir, "embeddings"))
 
@@ -168,6 +176,7 @@ QUERIES = {
         op8_quality_rules,
         op9_ngram_join,
         op10_license_scan,
+        op11_personal_data,
         op12_vector_codes,
         op13_turn_repair,
     )
