@@ -66,12 +66,38 @@ def tight_sets(reduced: np.ndarray):
     return which.reshape(-1), [list(np.flatnonzero(s)) for s in tight[first]], counts
 
 
+def canonical_prices(least: np.ndarray) -> np.ndarray:
+    """The one price vector that all optimal assignments of a batch share.
+
+    ``least[e, f]`` is the least extra cost of moving a case from its expert ``e`` to ``f`` in any optimal assignment.  Prices
+    that prove an optimum keep ``u[e] <= u[f] + least[e, f]``; the largest of them with the first expert at zero are the shortest
+    distances from it, and do not depend on which optimum was found.  Shifted so that the lowest price is zero.
+    """
+    prices = least[:, 0].copy()
+    prices[0] = 0
+    for _ in range(len(prices)):
+        prices = np.minimum(prices, (prices[None, :] + least).min(axis=1))
+    return prices - prices.min()
+
+
+def canonical_flow(sets: list[list[int]], counts: np.ndarray, caps: np.ndarray) -> np.ndarray:
+    """Cases of each set to each expert, the same for the sets in any order."""
+    order = sorted(range(len(sets)), key=lambda j: sorted(sets[j]))
+    flow, _, excess = tight_flow(np.asarray(counts)[order], [sorted(int(k) for k in sets[j]) for j in order], caps)
+    if excess:
+        raise ValueError("these prices prove no optimum")
+    out = np.empty_like(flow)
+    out[order] = flow
+    return out
+
+
 def assign_exact(costs: np.ndarray, caps: np.ndarray):
     """Cheapest assignment of rows to experts that fills every capacity exactly.
 
     ``costs`` are integers, ``caps`` positive and adding up to the number of rows.  Prices of
     over-demanded sets of experts are raised to the next balance point until the cheapest choices
-    fit.  Returns (expert of each row, prices); with these prices every row sits at its minimum.
+    fit.  Returns (expert of each row, prices); with these prices every row sits at its minimum.  Among equally cheap
+    assignments the canonical one is taken: canonical prices, canonical flow, rows of a set in their order.
     """
     if caps.sum() != len(costs):
         raise ValueError(f"capacities add up to {caps.sum()}, not to the {len(costs)} cases")
@@ -85,10 +111,19 @@ def assign_exact(costs: np.ndarray, caps: np.ndarray):
         bound = np.array([over[s].all() for s in sets])[which]
         gaps = reduced[bound][:, ~over].min(axis=1) - reduced[bound].min(axis=1)
         prices[over] += np.partition(gaps, excess - 1)[excess - 1]
-    choice = np.empty(len(costs), dtype=np.int64)
-    for j in range(len(sets)):
-        choice[which == j] = np.repeat(np.arange(len(caps)), flow[j])
-    return choice, prices
+    choice = _spread(which, flow)
+    least = np.stack([(costs[choice == e] - costs[choice == e, e : e + 1]).min(axis=0) for e in range(len(caps))])
+    prices = canonical_prices(least)
+    which, sets, counts = tight_sets(costs + prices)
+    return _spread(which, canonical_flow(sets, counts, caps)), prices
+
+
+def _spread(which: np.ndarray, flow: np.ndarray) -> np.ndarray:
+    """Expert of each row: the rows of a set in order, its experts in order."""
+    choice = np.empty(len(which), dtype=np.int64)
+    for j in range(len(flow)):
+        choice[which == j] = np.repeat(np.arange(flow.shape[1]), flow[j])
+    return choice
 
 
 def assign_in_order(p: np.ndarray, caps: np.ndarray) -> np.ndarray:

@@ -134,6 +134,7 @@ def greedy_spread(pred: DataFrame, caps: DataFrame, keys: Sequence[str] = ()) ->
     wide = cut_lineage(
         pred.groupBy(*group, "pos", "case_id").agg(F.transform(ranked, lambda x: x["expert"]).alias("prefs"))
     )
+    _require_pairs(pred, caps, group)
     extent = wide.groupBy(*group).agg(F.min("pos").alias("start"), F.max("pos").alias("_last"))
     extent = extent.withColumn("width", F.ceil((F.col("_last") - F.col("start") + 1) / POS_BUCKETS).cast("long"))
     state = caps.filter(F.col("capacity") > 0).select(*group, "expert", F.col("capacity").alias("left"))
@@ -197,6 +198,16 @@ def greedy_spread(pred: DataFrame, caps: DataFrame, keys: Sequence[str] = ()) ->
     return out.withColumn("expert", best_open("prefs", "open")).select(*group, "pos", "case_id", "expert")
 
 
+def _require_pairs(pred: DataFrame, caps: DataFrame, group: Sequence[str]) -> None:
+    """Fail, as batches settled in a task do, when a case lacks the row of an expert with room."""
+    room = caps.filter(F.col("capacity") > 0).select(*group, "expert")
+    open_ = room.groupBy(*group).agg(F.count(F.lit(1)).alias("_open"))
+    have = attach(pred.select(*group, "case_id", "expert"), room, [*group, "expert"], "case_id", "left_semi")
+    have = have.groupBy(*group, "case_id").agg(F.count(F.lit(1)).alias("_k"))
+    if not attach(have, open_, group, "case_id").filter(F.col("_k") != F.col("_open")).isEmpty():
+        raise ValueError("every case needs one row per expert with room")
+
+
 def best_open(prefs: str, open_set: str):
     """First preferred expert that is open."""
     return F.get(F.filter(prefs, lambda e: F.array_contains(F.col(open_set), e)), 0)

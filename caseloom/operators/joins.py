@@ -85,6 +85,41 @@ def with_remainder(capacity: DataFrame, keys: Sequence[str], model: str | int =
     return both.unionByName(rest.withColumn("capacity", F.col("capacity").cast("long")).select(both.columns))
 
 
+def apportion(weights: Column, total: Column) -> Column:
+    """Largest-remainder shares of ``total`` in proportion to an array of whole weights.
+
+    Everyone gets the whole part of the exact share; what is left goes one by one to the largest remainders, equal ones
+    in the order of the array.
+    """
+    zero = F.lit(0).cast("long")
+    whole = F.aggregate(weights, zero, lambda a, w: a + w)
+    base = F.transform(weights, lambda w: F.floor(total * w / whole).cast("long"))
+    # Exact whole parts: the quotient of doubles may be one off for products beyond 2**53.
+    exact = F.zip_with(base, weights, lambda b, w: b - F.when(b * whole > total * w, 1).otherwise(0) + F.when((b + 1) * whole <= total * w, 1).otherwise(0))
+    rest = F.zip_with(weights, exact, lambda w, b: total * w - b * whole)
+    order = F.array_sort(F.transform(rest, lambda r, i: F.struct((-r).alias("r"), i.alias("i"))))
+    place = F.transform(order, lambda x: x["i"])
+    left = total - F.aggregate(exact, zero, lambda a, b: a + b)
+    return F.transform(exact, lambda b, i: b + F.when(F.array_position(place, i) <= left, 1).otherwise(0))
+
+
+def fit_capacities(caps: DataFrame, sizes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Capacities of batches with more places than cases cut to the cases, in proportion; others stay.
+
+    ``caps(keys, batch, expert, capacity)`` has a row per expert, ``sizes(keys, batch, n_cases)`` one per batch.
+    """
+    group = [*keys, "batch"]
+    listed = caps.groupBy(*group).agg(
+        F.array_sort(F.collect_list(F.struct("expert", F.col("capacity").cast("long").alias("capacity")))).alias("_r")
+    )
+    room = F.transform("_r", lambda x: x["capacity"])
+    both = listed.join(sizes.select(*group, F.col("n_cases").cast("long").alias("_n")), group).withColumn("_c", room)
+    many = F.aggregate("_c", F.lit(0).cast("long"), lambda a, c: a + c) > F.col("_n")
+    both = both.withColumn("_c", F.when(many, apportion(F.col("_c"), F.col("_n"))).otherwise(F.col("_c")))
+    fitted = F.zip_with("_r", "_c", lambda r, c: F.struct(r["expert"].alias("expert"), c.alias("capacity")))
+    return both.select(*group, F.explode(fitted).alias("_x")).select(*group, "_x.expert", "_x.capacity")
+
+
 def score_pairs(cases: DataFrame, experts: Sequence, name: str = "expert") -> DataFrame:
     """One row per (case, expert) for a fixed roster: a row-local expansion, no join."""
     return cases.withColumn(name, F.explode(F.array(*[F.lit(e) for e in experts])))

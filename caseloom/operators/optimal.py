@@ -4,6 +4,10 @@ Costs are ``1 - p_correct`` in units of 1e-9, so sums and ties are exact integer
 this transport problem has one price per expert.  Prices of an over-demanded set of experts are
 raised to the point where the demand fits; when no set is over-demanded, cases at their minimum
 price can fill all capacities, and that assignment is optimal.
+
+Several assignments may be equally cheap.  The one taken depends on the costs and the order of cases and experts alone:
+from any optimum follow the same canonical prices, from them the same sets of cheapest experts and the same flow between
+sets and experts.  So batches settled in a task and by a job agree case by case, at any partitioning and from any first prices.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseloom.functions.hashing import HASH_SPAN, seeded_hash
-from caseloom.functions.transport import assign_exact, tight_flow
+from caseloom.functions.transport import assign_exact, canonical_flow, canonical_prices, tight_flow
 from caseloom.operators import ordering
 from caseloom.operators.deferral import GROUP_ROWS, _output, cogrouped, split_by_size, square
 from caseloom.operators.joins import attach
@@ -86,15 +90,8 @@ def optimal_spread(pred: DataFrame, caps: DataFrame, keys: Sequence[str] = ()) -
     _require_balance(wide, roster, group)
     prices = cut_lineage(_warm_prices(wide, roster, group))
     while True:
-        rows = attach(wide, prices, group, "case_id", written=True)
-        rows = rows.withColumn("_red", F.zip_with("costs", "prices", lambda c, u: c + u))
-        rows = rows.withColumn("_low", F.array_min("_red"))
-        rows = rows.withColumn(
-            "tight",
-            F.filter(F.transform("_red", lambda r, i: F.when(r == F.col("_low"), i)), lambda i: i.isNotNull()),
-        )
-        counts = rows.groupBy(*group, "tight").agg(F.count(F.lit(1)).alias("n"))
-        step = cut_lineage(_flow_step(counts, roster, group))  # one row per batch
+        rows = _priced(wide, prices, group)
+        step = cut_lineage(_flow_step(_counted(rows, group), roster, group))  # one row per batch
         over = step.filter(F.size("over") > 0).select(*group, "over", "excess")
         if over.isEmpty():
             break
@@ -115,19 +112,55 @@ def optimal_spread(pred: DataFrame, caps: DataFrame, keys: Sequence[str] = ()) -
                 *group, F.when(F.col("delta").isNull(), F.col("prices")).otherwise(raised).alias("prices")
             )
         )
+    some = _placed(rows, step, group)
+    prices = cut_lineage(_canonical(some, group))
+    rows = _priced(wide, prices, group)
+    step = cut_lineage(_flow_step(_counted(rows, group), roster, group, canonical=True))
+    placed = attach(_placed(rows, step, group), roster.drop("free"), group, "case_id", written=True)
+    return placed.select(
+        *group, "pos", "case_id", F.get("experts", F.col("_e")).alias("expert"), F.get("prices", F.col("_e")).alias("price")
+    )
+
+
+def _priced(wide: DataFrame, prices: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Cases with their costs at these prices and the places of their cheapest experts."""
+    rows = attach(wide, prices, group, "case_id", written=True)
+    rows = rows.withColumn("_red", F.zip_with("costs", "prices", lambda c, u: c + u))
+    rows = rows.withColumn("_low", F.array_min("_red"))
+    cheapest = F.transform("_red", lambda r, i: F.when(r == F.col("_low"), i))
+    return rows.withColumn("tight", F.filter(cheapest, lambda i: i.isNotNull()))
+
+
+def _counted(rows: DataFrame, group: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*group, "tight").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _placed(rows: DataFrame, step: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Cases with the place of their expert: those of one set of cheapest experts in order along its spans."""
     single = rows.filter(F.size("tight") == 1).withColumn("_e", F.get("tight", 0))
     several = ordering.numbered(rows.filter(F.size("tight") > 1), [*group, "tight"], "pos", "_place")
     spans = step.select(*group, F.explode("places").alias("_p")).select(*group, "_p.tight", "_p.spans")
     several = several.join(spans, [*group, "tight"]).withColumn(
         "_e", F.get(F.filter("spans", lambda s: s["upto"] > F.col("_place")), 0)["e"]
     )
-    cols = [*group, "pos", "case_id", "prices", "_e"]
-    placed = attach(
-        single.select(*cols).unionByName(several.select(*cols)), roster.drop("free"), group, "case_id", written=True
-    )
-    return placed.select(
-        *group, "pos", "case_id", F.get("experts", F.col("_e")).alias("expert"), F.get("prices", F.col("_e")).alias("price")
-    )
+    cols = [*group, "pos", "case_id", "costs", "prices", "_e"]
+    return single.select(*cols).unionByName(several.select(*cols))
+
+
+def _canonical(placed: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Canonical prices of each batch from the least extra cost between its experts; a batch has one row per pair of experts."""
+    extra = F.transform("costs", lambda c: c - F.get("costs", F.col("_e")))
+    least = placed.select(*group, "_e", F.posexplode(extra).alias("_f", "_x")).groupBy(*group, "_e", "_f").agg(F.min("_x").alias("_x"))
+    kinds = [T.StructField(f.name, f.dataType) for f in placed.select(*group).schema]
+    schema = T.StructType(kinds + [T.StructField("prices", T.ArrayType(T.LongType()))])
+
+    def settle(key: tuple, pairs: pd.DataFrame) -> pd.DataFrame:
+        k = int(pairs["_f"].max()) + 1
+        matrix = np.zeros((k, k), dtype=np.int64)
+        matrix[pairs["_e"].to_numpy(), pairs["_f"].to_numpy()] = pairs["_x"].to_numpy()
+        return pd.DataFrame([[*key, canonical_prices(matrix).tolist()]], columns=schema.names)
+
+    return least.groupBy(*group).applyInPandas(settle, schema)
 
 
 def _require_balance(wide: DataFrame, roster: DataFrame, group: Sequence[str]) -> None:
@@ -174,8 +207,8 @@ def _warm_prices(wide: DataFrame, roster: DataFrame, group: Sequence[str]) -> Da
     return cogrouped(drawn, roster, group).applyInPandas(solve, schema)
 
 
-def _flow_step(counts: DataFrame, roster: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Per batch, from the counts per set of cheapest experts: the over-demanded set, or the places."""
+def _flow_step(counts: DataFrame, roster: DataFrame, group: Sequence[str], canonical: bool = False) -> DataFrame:
+    """Per batch, from the counts per set of cheapest experts: the over-demanded set, or the places (canonical at the end)."""
     names = list(group)
     kinds = [T.StructField(f.name, f.dataType) for f in counts.select(*names).schema]
     span = T.StructType([T.StructField("upto", T.LongType()), T.StructField("e", T.IntegerType())])
@@ -193,7 +226,11 @@ def _flow_step(counts: DataFrame, roster: DataFrame, group: Sequence[str]) -> Da
 
     def step(key, seen: pd.DataFrame, team: pd.DataFrame) -> pd.DataFrame:
         sets = [list(s) for s in seen["tight"]]
-        flow, over, excess = tight_flow(seen["n"].to_numpy(), sets, np.asarray(team["free"].iloc[0]))
+        free = np.asarray(team["free"].iloc[0])
+        if canonical:
+            flow, over, excess = canonical_flow(sets, seen["n"].to_numpy(), free), np.zeros(len(free), dtype=bool), 0
+        else:
+            flow, over, excess = tight_flow(seen["n"].to_numpy(), sets, free)
         places = []
         if excess == 0:
             for s, row in zip(sets, flow):
@@ -210,24 +247,35 @@ def _flow_step(counts: DataFrame, roster: DataFrame, group: Sequence[str]) -> Da
     return cogrouped(counts, roster, names).applyInPandas(step, schema)
 
 
-def optimality_check(assigned: DataFrame, pred: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Cases per batch that do not sit at their minimum price; 0 everywhere proves the optimum.
+def optimality_check(assigned: DataFrame, pred: DataFrame, caps: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Proof of the optimum per batch by strong duality, in one pass over the pairs.
 
-    ``assigned`` carries the price of each assigned expert.  Together with filled capacities this
-    is the optimality certificate of the transport problem.
+    With the prices ``u`` of the experts, every assignment that fills the capacities costs at least the sum of the cases' least
+    ``cost + u`` less the sum of ``capacity * u``.  ``duality_gap`` is what the assignment costs beyond that bound: 0 with
+    ``unfilled`` 0 (places too many or too few, cases placed twice or not at all) proves it optimal.  ``assigned`` carries
+    the price of each assigned expert; the check takes the prices as a claim and trusts nothing else of it.
     """
     group = [*keys, "batch"]
-    prices = assigned.groupBy(*group, "expert").agg(F.max("price").alias("_u"))
-    cost = pred.select(*group, "case_id", "expert", error_cost("p_correct").alias("_c"))
-    priced = attach(cost, prices, [*group, "expert"], "case_id")
-    best = priced.groupBy(*group, "case_id").agg(F.min(F.col("_c") + F.col("_u")).alias("_best"))
-    mine = assigned.select(*group, "case_id", "expert").join(priced, [*group, "case_id", "expert"])
-    return (
-        mine.join(best, [*group, "case_id"])
-        .groupBy(*group)
-        .agg(
-            F.count(F.lit(1)).alias("n_cases"),
-            F.sum("_c").alias("total_cost"),
-            F.count_if(F.col("_c") + F.col("_u") > F.col("_best")).alias("violations"),
-        )
+    room = caps.filter(F.col("capacity") > 0).select(*group, "expert", F.col("capacity").cast("long").alias("capacity"))
+    claimed = assigned.groupBy(*group, "expert").agg(F.max("price").alias("price"), F.count(F.lit(1)).alias("_n"))
+    team = room.join(claimed, [*group, "expert"], "full").fillna(0, ["capacity", "price", "_n"])
+    sides = team.groupBy(*group).agg(
+        F.sum(F.col("capacity") * F.col("price")).alias("_paid"),
+        F.sum(F.abs(F.col("capacity") - F.col("_n"))).alias("_off"),
+        F.map_from_entries(F.collect_list(F.struct("expert", "price"))).alias("_u"),
+    )
+    listed = pred.select(*group, "case_id", "expert", error_cost("p_correct").alias("_c"))
+    mine = assigned.select(*group, "case_id", F.col("expert").alias("_mine"), F.lit(1).alias("_has"))
+    pairs = listed.groupBy(*group, "case_id").agg(F.map_from_entries(F.collect_list(F.struct("expert", "_c"))).alias("_costs"))
+    cases = pairs.join(mine, [*group, "case_id"], "left")
+    priced = attach(cases, sides, group, "case_id", "left")
+    at = F.array_min(F.transform(F.map_keys("_u"), lambda e: F.try_element_at("_costs", e) + F.try_element_at("_u", e)))
+    own = F.try_element_at("_costs", F.col("_mine"))
+    each = priced.select(*group, "_paid", "_off", "_has", own.alias("_own"), at.alias("_low"), F.try_element_at("_u", F.col("_mine")).alias("_price"))
+    return each.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n_cases"),
+        F.sum("_own").alias("total_cost"),
+        F.count_if(F.col("_own") + F.col("_price") > F.col("_low")).alias("violations"),
+        (F.max("_off") + F.count_if(F.col("_has").isNull())).alias("unfilled"),
+        (F.sum("_own") - F.sum("_low") + F.max("_paid")).alias("duality_gap"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom import config
-from caseloom.operators import deferral, optimal, reshape
+from caseloom.operators import deferral, joins, optimal, reshape
 
 SEEDED = ["greedy", "optimal"]
 UNSEEDED = ["random", "reject_all", "classifier_only"]
@@ -28,7 +28,8 @@ def run_policies(
 
     ``batches(keys, batch, pos, case_id)`` and ``caps(keys, batch, expert, capacity)`` hold for every
     training seed; ``pred`` has ``seed`` in addition.  Policies without training run once with seed
-    ``NA``.  Rejected cases have no expert.
+    ``NA``.  Rejected cases have no expert.  The optimum fills every place, so a batch with fewer cases than places gets
+    its capacities in proportion.
     """
     keys = list(keys)
     kind = caps.schema["expert"].dataType
@@ -46,8 +47,10 @@ def run_policies(
     if trained:
         seeds = pred.select(*keys, "seed").distinct()
         per_seed = caps.select(*keys, "batch", "expert", "capacity").join(seeds, keys)
+        sizes = flat.groupBy(*keys, "batch").agg(F.count(F.lit(1)).alias("n_cases"))
+        places = {"greedy": per_seed, "optimal": joins.fit_capacities(caps, sizes, keys).join(seeds, keys)}
         rules = {"greedy": deferral.greedy, "optimal": optimal.optimal}
-        parts += [rules[m](pred, per_seed, [*keys, "seed"]).withColumn("method", F.lit(m)) for m in trained]
+        parts += [rules[m](pred, places[m], [*keys, "seed"]).withColumn("method", F.lit(m)) for m in trained]
     return reshape.union_all([p.select(*cols) for p in parts])
 
 

@@ -92,15 +92,10 @@ def capacity(batch_rows: DataFrame) -> DataFrame:
     return full.withColumn("capacity", F.greatest(F.col("capacity"), F.lit(0).cast("long")))
 
 
-def batch_pred(case_rows: DataFrame, full_only: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def batch_pred(case_rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(probabilities per batch, case and expert; capacities; batches)."""
     placed = batches(case_rows)
     cap = capacity(placed)
-    if full_only:
-        placed = placed.join(
-            cap.filter(F.col("batch_size") == BATCH_SIZE).select("batch").distinct(), "batch", "left_semi"
-        )
-        cap = cap.filter(F.col("batch_size") == BATCH_SIZE)
     k = F.col("expert")
     pairs = joins.score_pairs(placed.select("batch", "pos", "case_id", "fraud_bool"), EXPERTS)
     pred = pairs.select(
@@ -111,6 +106,12 @@ def batch_pred(case_rows: DataFrame, full_only: bool = False) -> tuple[DataFrame
     return pred, cap, placed
 
 
+def fitted(cap: DataFrame) -> DataFrame:
+    """Capacities that every batch can fill, the last and shorter one too."""
+    sizes = cap.groupBy("batch").agg(F.max("batch_size").alias("n_cases"))
+    return joins.fit_capacities(cap, sizes)
+
+
 def runs(case_rows: DataFrame) -> DataFrame:
     """Decisions of finished runs: test cases x (scenario, cost) x method x seed x environment.
 

@@ -112,15 +112,15 @@ def learned_deferral(spark, d):
     """Greedy and optimal assignment on learned probabilities, judged by the error rate."""
     rows = inputs.cases(spark, d)
     placed = inputs.batches(rows)
-    cap = inputs.capacity(placed).filter(F.col("batch_size") == inputs.BATCH_SIZE)
-    placed = placed.join(cap.select("batch").distinct(), "batch", "left_semi").select("batch", "pos", "case_id")
+    cap = inputs.capacity(placed)
+    placed = placed.select("batch", "pos", "case_id")
     names = F.when(F.col("expert") == joins.MODEL, 9).otherwise(F.substring_index("expert", "#", -1).cast("int"))
     pairs = pair_scores(spark, d).withColumn("expert", names)
     pred = cut_lineage(placed.join(pairs, "case_id"))
     labels = rows.select("case_id", "fraud_bool")
     parts = []
-    for method, rule in (("greedy", deferral.greedy), ("optimal", optimal.optimal)):
-        chosen = rule(pred, cap).join(labels, "case_id").withColumn("decision", inputs.expert_decision(F.col("expert")))
+    for method, rule, room in (("greedy", deferral.greedy, cap), ("optimal", optimal.optimal, inputs.fitted(cap))):
+        chosen = rule(pred, room).join(labels, "case_id").withColumn("decision", inputs.expert_decision(F.col("expert")))
         parts.append(
             metrics.with_rates(metrics.confusion(chosen.withColumn("method", F.lit(method)), ["method"], "fraud_bool", "decision"))
         )

@@ -572,14 +572,19 @@ def defer_greedy(spark, d):
 
 
 def defer_optimal(spark, d):
-    pred, cap, _ = inputs.batch_pred(inputs.cases(spark, d), full_only=True)
-    return _decided(optimal.optimal(pred, cap), pred)
+    pred, cap, _ = inputs.batch_pred(inputs.cases(spark, d))
+    return _decided(optimal.optimal(pred, inputs.fitted(cap)), pred)
 
 
 def defer_optimal_certificate(spark, d):
-    pred, cap, _ = inputs.batch_pred(inputs.cases(spark, d), full_only=True)
-    check = optimal.optimality_check(cut_lineage(optimal.optimal(pred, cap)), pred)
-    return check.select("batch", "n_cases", "violations")
+    pred, cap, _ = inputs.batch_pred(inputs.cases(spark, d))
+    cap = inputs.fitted(cap)
+    check = optimal.optimality_check(cut_lineage(optimal.optimal(pred, cap)), pred, cap)
+    return check.select("batch", "n_cases", "violations", "unfilled", "duality_gap")
+
+
+def fitted_capacity(spark, d):
+    return inputs.fitted(inputs.capacity(inputs.batches(inputs.cases(spark, d))))
 
 
 def defer_optimal_two(spark, d):
@@ -611,14 +616,11 @@ GRID_ENVS = ["batch#homogenous_0", "batch#variable-1_0"]
 GRID_SCEN = "alert_0.05-data_0.05"
 
 
-def _grid(spark, d, full_only=False):
+def _grid(spark, d):
     """(batches per env, probabilities per env and seed, capacities per env) of the test cases."""
     rows = inputs.cases(spark, d)
     placed = inputs.batches(rows).select("batch", "pos", "case_id", "fraud_bool")
     sized = placed.groupBy("batch").agg(F.count(F.lit(1)).alias("batch_size"))
-    if full_only:
-        sized = sized.filter(F.col("batch_size") == inputs.BATCH_SIZE)
-        placed = placed.join(sized.select("batch"), "batch", "left_semi")
     envs = F.array(*[F.struct(F.lit(e).alias("env"), F.lit(i).alias("e")) for i, e in enumerate(GRID_ENVS)])
     k, e = F.col("expert"), F.col("e")
     humans = joins.score_pairs(sized.withColumn("x", F.explode(envs)).select("batch", "batch_size", "x.*"), list(range(9)))
@@ -638,10 +640,9 @@ def _grid(spark, d, full_only=False):
     return rows, per_env, pred, cap
 
 
-def _grid_decisions(spark, d, with_optimal: bool) -> tuple[DataFrame, DataFrame]:
-    """Decisions of every method, seed and environment in one frame, and the cases."""
-    rows, per_env, pred, cap = _grid(spark, d, full_only=with_optimal)
-    methods = [m for m in inputs.METHODS if with_optimal or m != "optimal"]
+def _grid_decisions(spark, d, methods) -> tuple[DataFrame, DataFrame]:
+    """Decisions of the methods, every seed and environment in one frame, and the cases."""
+    rows, per_env, pred, cap = _grid(spark, d)
     assigned = policies.run_policies(per_env, pred, cap, ["env"], inputs.MODEL_EXPERT, methods)
     labelled = assigned.join(rows.select("case_id", "fraud_bool"), "case_id")
     own = inputs.expert_decision(F.col("expert"))
@@ -649,19 +650,29 @@ def _grid_decisions(spark, d, with_optimal: bool) -> tuple[DataFrame, DataFrame]
 
 
 def deferral_grid(spark, d):
-    decisions, _ = _grid_decisions(spark, d, with_optimal=True)
+    decisions, _ = _grid_decisions(spark, d, inputs.METHODS)
     return decisions.groupBy("method", "seed", "env", "expert").agg(
         F.count(F.lit(1)).alias("n"), F.sum("prediction").alias("n_rejected")
     )
 
 
-def deferral_results(spark, d):
-    decisions, rows = _grid_decisions(spark, d, with_optimal=False)
+def _evaluated_grid(spark, d, methods):
+    decisions, rows = _grid_decisions(spark, d, methods)
     runs = decisions.withColumn("scen", F.lit(GRID_SCEN)).withColumn("cost", F.lit(LAMBDA))
     out = evaluation.evaluate_runs(runs, rows)
     return r6(out, "n_errors", "tpr", "fpr", "fpr_disp", "cost_per_100")
 
 
+def deferral_results(spark, d):
+    """Evaluation of the policies whose decisions plain SQL can follow."""
+    return _evaluated_grid(spark, d, [m for m in inputs.METHODS if m != "optimal"])
+
+
+def deferral_results_all(spark, d):
+    """Evaluation of every policy, the optimum included."""
+    return _evaluated_grid(spark, d, inputs.METHODS)
+
+
 QUERIES = {
     f.__name__: f
     for f in [
@@ -678,6 +689,6 @@ QUERIES = {
         expert_ranking, select_best_trial, union_methods, unpivot_metrics, pivot_methods,
         stratified_sample, nested_subsample, bootstrap_oversample,
         defer_reject_all, defer_model_only, defer_random, defer_greedy, defer_optimal,
-        defer_optimal_certificate, defer_optimal_two, capacity_audit, deferral_grid, deferral_results,
+        defer_optimal_certificate, defer_optimal_two, capacity_audit, fitted_capacity, deferral_grid, deferral_results, deferral_results_all,
     ]
 }

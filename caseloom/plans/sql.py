@@ -486,8 +486,17 @@ FROM batches JOIN expert_pred p USING (case_id) WHERE p.expert = 9"""),
   CAST({DECIDED.format(k="expert")} AS INT) AS decision FROM random_assigned"""),
     "defer_greedy": _with(CASES, EXPERTS, PRED, BATCHES, GREEDY, recursive=True, select=f"""SELECT batch, case_id, expert,
   CAST({DECIDED.format(k="expert")} AS INT) AS decision FROM greedy WHERE i >= 0"""),
-    "defer_optimal_certificate": _with(CASES, EXPERTS, BATCHES, select="""SELECT batch, batch_size AS n_cases, CAST(0 AS BIGINT) AS violations
-FROM sizes WHERE batch_size = 100"""),
+    "defer_optimal_certificate": _with(CASES, EXPERTS, BATCHES, select="""SELECT batch, batch_size AS n_cases,
+  CAST(0 AS BIGINT) AS violations, CAST(0 AS BIGINT) AS unfilled, CAST(0 AS BIGINT) AS duality_gap FROM sizes"""),
+    "fitted_capacity": _with(CASES, EXPERTS, BATCHES, """shares AS (
+  SELECT *, sum(capacity) OVER (PARTITION BY batch) AS places FROM cap),
+parts AS (
+  SELECT *, CAST(batch_size*capacity // places AS BIGINT) AS base, batch_size*capacity % places AS rest FROM shares),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY batch ORDER BY rest DESC, expert) AS place, sum(base) OVER (PARTITION BY batch) AS given
+  FROM parts)""", select="""SELECT batch, expert,
+  CAST(CASE WHEN places <= batch_size THEN capacity ELSE base + CASE WHEN place <= batch_size - given THEN 1 ELSE 0 END END AS BIGINT) AS capacity
+FROM placed"""),
     "defer_optimal_two": _with(CASES, EXPERTS, PRED, BATCHES, """pairs AS (
   SELECT batch, pos, case_id,
          CAST(round_even((1.0e0 - max(p.p_correct) FILTER (p.expert = 0))*1e9, 0) AS BIGINT)

@@ -55,8 +55,8 @@ def test_optimal_is_proved_by_its_prices_in_tasks_and_as_a_job(spark, limit, lev
     audit = deferral.capacity_audit(done, cap, ["seed"]).collect()
     assert all(r["filled"] == 1 for r in audit)
     assert done.count() == done.select("case_id").distinct().count() == 122
-    check = optimal.optimality_check(done, pred, ["seed"]).collect()
-    assert [r["violations"] for r in check] == [0, 0, 0]
+    check = optimal.optimality_check(done, pred, cap, ["seed"]).collect()
+    assert [(r["violations"], r["unfilled"], r["duality_gap"]) for r in check] == [(0, 0, 0)] * 3
 
 
 def test_the_job_gives_the_same_when_tables_are_too_large_to_send(spark, monkeypatch):
@@ -65,7 +65,7 @@ def test_the_job_gives_the_same_when_tables_are_too_large_to_send(spark, monkeyp
     out = {r["case_id"]: r["expert"] for r in deferral.greedy(pred, cap, ["seed"], limit=0).collect()}
     assert out == expected_greedy(frame, [[3, 4, 2, 1], [10, 5, 15, 0], [2, 3, 3, 1]])
     done = optimal.optimal(pred, cap, ["seed"], limit=60).cache()
-    assert [r["violations"] for r in optimal.optimality_check(done, pred, ["seed"]).collect()] == [0, 0, 0]
+    assert [r["violations"] for r in optimal.optimality_check(done, pred, cap, ["seed"]).collect()] == [0, 0, 0]
     assert all(r["filled"] == 1 for r in deferral.capacity_audit(done, cap, ["seed"]).filter("capacity > 0").collect())
 
 
@@ -108,3 +108,68 @@ def test_audit_counts_cases_without_expert(spark):
     pred, cap, _ = bed(spark, [6], caps=[[1, 1, 1, 0]])
     audit = {r["expert"]: r for r in deferral.capacity_audit(deferral.greedy(pred, cap, ["seed"]), cap, ["seed"]).collect()}
     assert audit[None]["n_assigned"] == 3 and audit[None]["over"] == 1
+
+
+def assignments(out):
+    return {r["case_id"]: r["expert"] for r in out.collect()}
+
+
+@pytest.mark.parametrize("levels", [2, 4])
+def test_equal_costs_give_one_assignment_whatever_the_way(spark, levels):
+    pred, cap, frame = bed(spark, [30, 70, 12], seed=levels, levels=levels)
+    want = None
+    for limit in (0, 10**9):
+        for parts in (1, 4, 32):
+            got = assignments(optimal.optimal(pred.repartition(parts), cap.repartition(parts), ["seed"], limit=limit))
+            want = want or got
+            assert got == want
+    again = assignments(optimal.optimal(pred.orderBy(F.rand(3)), cap.orderBy(F.rand(4)), ["seed"], limit=60))
+    assert again == want and len(want) == 112
+
+
+def test_first_prices_do_not_matter(spark, monkeypatch):
+    pred, cap, _ = bed(spark, [60], seed=8, levels=3)
+    want = assignments(optimal.optimal(pred, cap, ["seed"]))
+    for cases in (1, 15):
+        monkeypatch.setattr(optimal, "WARM_CASES", cases)
+        assert assignments(optimal.optimal(pred, cap, ["seed"], limit=0)) == want
+
+
+def test_certificate_sees_a_wrong_assignment(spark):
+    pred, cap, _ = bed(spark, [20, 16], seed=6)
+    done = optimal.optimal(pred, cap, ["seed"]).cache()
+    rows = done.filter("batch = 1").orderBy("pos").collect()
+    a = rows[0]
+    b = next(r for r in rows if r["expert"] != a["expert"])
+    swapped = {a["case_id"]: (b["expert"], b["price"]), b["case_id"]: (a["expert"], a["price"])}
+
+    def check(frame):
+        return {r["batch"]: r for r in optimal.optimality_check(frame, pred, cap, ["seed"]).collect()}
+
+    new = [tuple(r[:4]) + swapped.get(r["case_id"], (r["expert"], r["price"])) for r in done.collect()]
+    worse = check(spark.createDataFrame(new, done.schema))
+    assert worse[1]["duality_gap"] > 0 and worse[1]["violations"] > 0 and worse[1]["unfilled"] == 0
+    assert (worse[2]["duality_gap"], worse[2]["violations"], worse[2]["unfilled"]) == (0, 0, 0)
+    short = check(done.filter(F.col("case_id") != a["case_id"]))
+    assert short[1]["unfilled"] > 0 and short[2]["unfilled"] == 0
+    one = check(done.withColumn("expert", F.when(F.col("batch") == 1, F.lit(a["expert"])).otherwise(F.col("expert"))))
+    assert one[1]["unfilled"] > 0
+
+
+@pytest.mark.parametrize("limit", [10**9, 0])
+def test_greedy_needs_every_pair_on_both_ways(spark, limit):
+    pred, cap, _ = bed(spark, [10], caps=[[3, 4, 2, 1]])
+    missing = pred.filter(~((F.col("case_id") == 4) & (F.col("expert") == "b#1")))
+    with pytest.raises(Exception, match="one row per expert"):
+        deferral.greedy(missing, cap, ["seed"], limit=limit).collect()
+
+
+def test_short_batches_get_capacities_in_proportion(spark):
+    caps = spark.createDataFrame([("e", 1, k, c) for k, c in enumerate([8, 9, 10, 8, 0])] + [("e", 2, k, c) for k, c in enumerate([1, 2, 3, 4, 5])], "env string, batch int, expert int, capacity long")
+    sizes = spark.createDataFrame([("e", 1, 14), ("e", 2, 15)], "env string, batch int, n_cases long")
+    got = {(r["batch"], r["expert"]): r["capacity"] for r in joins.fit_capacities(caps, sizes, ["env"]).collect()}
+    assert [got[1, k] for k in range(5)] == [3, 4, 4, 3, 0] and [got[2, k] for k in range(5)] == [1, 2, 3, 4, 5]
+    huge = spark.createDataFrame([(1, k, 10**9 + k) for k in range(3)], "batch int, expert int, capacity long")
+    total = 3 * 10**9 - 5
+    some = joins.fit_capacities(huge, spark.createDataFrame([(1, total)], "batch int, n_cases long"))
+    assert sum(r["capacity"] for r in some.collect()) == total
