@@ -6,8 +6,11 @@ experts, several at a time, as MLlib's own tuning does.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 import random
+import threading
 import uuid
 from collections.abc import Callable, Sequence
 from multiprocessing.pool import ThreadPool
@@ -111,6 +114,23 @@ def boosted_trees(params: dict, label: str, weight: str | None = None, validatio
     return tool
 
 
+class BestSoFar:
+    """Holds the model of the lowest loss (the first of equals) among those offered by several threads."""
+
+    def __init__(self):
+        self._lock, self.place, self.model = threading.Lock(), (math.inf, math.inf), None
+
+    def offer(self, loss: float, trial: int, model: Transformer | None) -> None:
+        with self._lock:
+            if (loss, trial) < self.place or self.model is None and (loss, trial) == self.place:
+                self.place, self.model = (loss, trial), model
+
+
+def trial_key(params: dict) -> str:
+    """Name of a setting, the same in every run."""
+    return hashlib.md5(json.dumps(params, sort_keys=True).encode()).hexdigest()
+
+
 def search(
     train: DataFrame,
     validation: DataFrame,
@@ -118,24 +138,39 @@ def search(
     fit: Callable[[DataFrame, dict], Transformer],
     loss: Callable[[DataFrame], float],
     width: int = 4,
+    log=None,
 ) -> tuple[DataFrame, Transformer]:
     """Fit every setting, score it on the validation rows, keep the lowest loss (the first of equals).
 
-    Returns the trial log and the best model.
+    Returns the trial log and the best model.  Models are dropped as soon as a better one is known, so the driver holds one besides the
+    ``width`` being fitted.  With a ``log`` (:class:`caseloom.sources.registry.TrialLog`) every trial is written when it ends, and a search
+    that was stopped goes on with the settings not in it; if the best is one of the earlier run, it is fitted once more.
+    A loss that is no number is the worst.
     """
-
-    def job(params: dict):
+    known = log.finished() if log is not None else {}
+    best = BestSoFar()
+
+    def job(trial: int, params: dict) -> float:
+        key = trial_key(params)
+        if key in known:
+            best.offer(known[key], trial, None)
+            return known[key]
         model = fit(train, params)
-        return float(loss(model.transform(validation))), model
-
-    done = in_parallel(train.sparkSession, [lambda p=p: job(p) for p in settings], width)
-    rows = [(i, value, *[float(v) for v in p.values()]) for i, ((value, _), p) in enumerate(zip(done, settings))]
+        value = float(loss(model.transform(validation)))
+        value = math.inf if math.isnan(value) else value
+        best.offer(value, trial, model)
+        if log is not None:
+            log.append(key, trial, value, params)
+        return value
+
+    done = in_parallel(train.sparkSession, [lambda i=i, p=p: job(i, p) for i, p in enumerate(settings)], width)
+    rows = [(i, value, *[float(v) for v in p.values()]) for i, (value, p) in enumerate(zip(done, settings))]
     schema = T.StructType(
         [T.StructField("trial", T.IntegerType()), T.StructField("loss", T.DoubleType())]
         + [T.StructField(n, T.DoubleType()) for n in settings[0]]
     )
-    best = min(range(len(done)), key=lambda i: (done[i][0], i))
-    return train.sparkSession.createDataFrame(rows, schema), done[best][1]
+    model = best.model if best.model is not None else fit(train, settings[int(best.place[1])])
+    return train.sparkSession.createDataFrame(rows, schema), model
 
 
 class TprAtFpr(Evaluator):
@@ -286,6 +321,7 @@ def sweep_classifier(
     offsets: int = config.OFFSET_STEPS,
     seed: int = 42,
     width: int = 4,
+    log=None,
 ) -> tuple[DataFrame, OffsetTrees]:
     """Studies over search spaces x starting offsets, each a random search by weighted log loss.
 
@@ -311,6 +347,7 @@ def sweep_classifier(
             lambda df, p: fit_offset_trees(df, config.LABEL, WEIGHT, p["init_score"], p, seed),
             weighted_loss(config.LABEL),
             width,
+            log,
         )
     finally:
         train.unpersist()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from caseloom import config
 from caseloom.functions import scalars
-from caseloom.functions.hashing import seeded_hash
-from caseloom.operators import ordering, sampling
+from caseloom.functions.hashing import HASH_SPAN, seeded_hash
+from caseloom.operators import ordering
 from caseloom.operators.joins import attach
+from caseloom.session import cut_lineage
 
 COUNTS = ["tn", "fp", "fn", "tp"]
 
@@ -150,7 +152,10 @@ def roc_auc(rows: DataFrame, keys: Sequence[str], label: str, score: str, weight
 
     ``weight`` names an integer multiplicity, so resampled rows need not be written out.
     """
-    t = _class_totals(rows, keys, label, score, False, weight)
+    return _area(_class_totals(rows, keys, label, score, False, weight), keys)
+
+
+def _area(t: DataFrame, keys: Sequence[str]) -> DataFrame:
     pairs = F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / F.lit(2.0))
     return t.groupBy(*keys).agg(
         (
@@ -207,7 +212,10 @@ def calibration_curve(
     keys = list(keys)
     w = F.lit(1).cast("long") if weight is None else F.col(weight)
     sums = {"n": w.cast("long"), "hit": (F.col(outcome) * w).cast("long")}
-    t = ordering.running_totals(rows, keys, p, sums)
+    return _binned(ordering.running_totals(rows, keys, p, sums), keys, p, "hit", bins)
+
+
+def _binned(t: DataFrame, keys: Sequence[str], p: str, hit: str, bins: int) -> DataFrame:
     edges = ordering.quantile_points(t, keys, p, "n", [i / bins for i in range(bins + 1)])
     joined = attach(t, edges, keys, p) if keys else t.withColumn("edges", edges.select("edges").scalar())
     inner = F.slice("edges", 1, bins)
@@ -217,12 +225,28 @@ def calibration_curve(
         .groupBy(*keys, "bin")
         .agg(
             F.sum("n").alias("n"),
-            (F.sum("hit") / F.sum("n")).alias("mean_outcome"),
+            (F.sum(hit) / F.sum("n")).alias("mean_outcome"),
             (F.sum(F.col(p) * F.col("n")) / F.sum("n")).alias("mean_probability"),
         )
     )
 
 
+def probability_quality(
+    rows: DataFrame, keys: Sequence[str], outcome: str, p: str, weight: str | None = None, bins: int = 10
+) -> DataFrame:
+    """``(keys, auc, ece)`` of probabilities of an outcome, from one ordered pass over the totals per probability.
+
+    Same values as :func:`roc_auc` and :func:`calibration_error`; ``weight`` names the copies of a resampled row.  Null keys are a
+    group; rows without probability are left out, the AUC of a single outcome is null.
+    """
+    keys = list(keys)
+    w = (F.lit(1) if weight is None else F.col(weight)).cast("long")
+    hit = F.col(outcome).cast("long") * w
+    totals = cut_lineage(ordering.running_totals(rows.filter(w > 0), keys, p, {"neg": w - hit, "pos": hit, "n": w}))
+    error = calibration_error(_binned(totals, keys, p, "pos", bins), keys)
+    return ordering.null_safe_join(_area(totals, keys), error, keys)
+
+
 def calibration_error(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Unweighted mean over bins of the distance between outcome and probability."""
     gap = F.abs(F.col("mean_outcome") - F.col("mean_probability"))
@@ -309,32 +333,52 @@ def win_rate(
     return per_seed.groupBy("alert_rate", "cost", "baseline").agg(F.avg("_won").alias("win_rate"))
 
 
+def poisson_steps() -> list[int]:
+    """Bounds in the range of the seeded hash below which a Poisson(1) count is 0, 1, 2 ..., from its distribution function."""
+    steps, term, total, k = [], math.exp(-1.0), 0.0, 0
+    while True:
+        total += term
+        k += 1
+        term /= k
+        if term * HASH_SPAN < 1:
+            return steps
+        steps.append(int(total * HASH_SPAN))
+
+
+def poisson_count(h: Column) -> Column:
+    """How often a resample takes a row, from its hash."""
+    steps = poisson_steps()
+    count = F.when(h < steps[0], 0)
+    for k, bound in enumerate(steps[1:], start=1):
+        count = count.when(h < bound, k)
+    return count.otherwise(len(steps))
+
+
 def bootstrap_ci(
-    rows: DataFrame, keys: Sequence[str], value: str, row_key: str, replicates: int = 200, seed=config.SAMPLE_SEED
+    rows: DataFrame, keys: Sequence[str], values: Sequence[str], row_key: Sequence[str], replicates: int = 200, seed=config.SAMPLE_SEED
 ) -> DataFrame:
-    """Mean and 95% interval of the mean over resamples of each group's rows.
+    """``(keys, measure, mean, ci_low, ci_high)``: mean and 95% interval of the mean of each measure over resamples.
 
-    Every replicate draws as many rows as the group has, with replacement.  The draws of a group
-    are spread over tasks and joined to its rows by place, so no group is held together.
+    Each replicate takes a row Poisson(1) times, by a hash of the row's key and the replicate: rows are resampled where they lie, in
+    one pass, and all measures share the draws.  What is moved is one row of sums per group, task and replicate.  A replicate
+    without any row of a measure has no mean and is left out.  Null values are left out; null keys are a group.
     """
-    keys = list(keys)
-    placed = ordering.numbered(
-        rows.select(*keys, F.col(value).alias("_v"), F.col(row_key).alias("_k")), keys, "_k", "_slot"
-    )
-    sized = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("_v").alias("mean"))
-    todo = sized.withColumn("_total", F.col("_n") * replicates)
-    drawn = sampling.draws(todo, "_total", "_draw").select(
-        *keys,
-        F.floor(F.col("_draw") / F.col("_n")).alias("_rep"),
-        F.pmod(seeded_hash(seed, "_draw"), F.col("_n")).alias("_slot"),
-    )
-    times = drawn.groupBy(*keys, "_rep", "_slot").agg(F.count(F.lit(1)).alias("_m"))
-    per_rep = (
-        times.join(placed, [*keys, "_slot"])
-        .groupBy(*keys, "_rep")
-        .agg((F.sum(F.col("_v") * F.col("_m")) / F.sum("_m")).alias("_mean"))
-    )
-    limits = per_rep.groupBy(*keys).agg(F.percentile("_mean", [0.025, 0.975]).alias("_q"))
-    return sized.join(limits, keys).select(
-        *keys, "mean", F.element_at("_q", 1).alias("ci_low"), F.element_at("_q", 2).alias("ci_high")
+    keys, row_key = list(keys), list(row_key)
+    rep = F.col("_rep")
+    drawn = rows.select(*keys, *[F.col(v).cast("double").alias(f"_v_{v}") for v in values], *[F.col(k).alias(f"_k_{k}") for k in row_key])
+    # Replicate -1 is the sample itself.
+    times = F.when(rep < 0, 1).otherwise(poisson_count(seeded_hash(seed, *[f"_k_{k}" for k in row_key], rep)))
+    drawn = drawn.withColumn("_rep", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1)))).withColumn("_m", times).filter("_m > 0")
+    sums = {}
+    for v in values:
+        value = F.col(f"_v_{v}")
+        sums[v] = (F.sum(value * F.col("_m")) / F.sum(F.when(value.isNotNull(), F.col("_m")))).alias(f"_v_{v}")
+    per_rep = drawn.groupBy(*keys, "_rep").agg(*sums.values())
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("measure"), F.col(f"_v_{v}").alias("x")) for v in values]))
+    long = per_rep.select(*keys, "_rep", each.alias("_e")).select(*keys, "_rep", "_e.measure", "_e.x")
+    out = long.groupBy(*keys, "measure").agg(
+        F.max(F.when(rep < 0, F.col("x"))).alias("mean"),
+        F.percentile(F.when(rep >= 0, F.col("x")), F.array(F.lit(0.025), F.lit(0.975))).alias("_q"),
     )
+    return out.select(*keys, "measure", "mean", F.get("_q", 0).alias("ci_low"), F.get("_q", 1).alias("ci_high"))
+

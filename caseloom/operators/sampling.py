@@ -93,7 +93,7 @@ def oversample_positives(
     negatives = rows.filter(F.col(label) == 0).withColumn("copies", F.lit(1).cast("long"))
     positives = ordering.numbered(rows.filter(F.col(label) == 1), keys, key, "_slot")
     have = positives.groupBy(*keys).agg(F.count(F.lit(1)).alias("_have"))
-    asked = have.join(n_pos, keys) if keys else have.withColumn("n_pos", n_pos.select("n_pos").scalar())
+    asked = ordering.null_safe_join(have, n_pos, keys) if keys else have.withColumn("n_pos", n_pos.select("n_pos").scalar())
     slot = F.pmod(seeded_hash(seed, "draw"), F.col("_have"))
     drawn = (
         draws(asked, "n_pos")
@@ -101,7 +101,7 @@ def oversample_positives(
         .groupBy(*keys, "_slot")
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-    return negatives.unionByName(positives.join(drawn, [*keys, "_slot"]).drop("_slot"))
+    return negatives.unionByName(ordering.null_safe_join(positives, drawn, [*keys, "_slot"]).drop("_slot"))
 
 
 def expand_copies(rows: DataFrame) -> DataFrame:

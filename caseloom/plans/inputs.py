@@ -112,6 +112,28 @@ def fitted(cap: DataFrame) -> DataFrame:
     return joins.fit_capacities(cap, sizes)
 
 
+CORRECTNESS_METHODS = ["joint", "separate"]
+CORRECTNESS_SEEDS = [1, 2]
+CORRECTNESS_SCEN = "alert_0.05-data_0.05"
+
+
+def probability_store(case_rows: DataFrame) -> DataFrame:
+    """Stored probabilities of being right: one row per run (scen, cost, seed, method) and test case, an array over the experts."""
+    runs_ = [
+        (cost, seed, method, 977 * seed + 401 * m)
+        for cost in config.COSTS
+        for seed in CORRECTNESS_SEEDS
+        for m, method in enumerate(CORRECTNESS_METHODS)
+    ]
+    listed = ", ".join(
+        f"named_struct('scen', '{CORRECTNESS_SCEN}', 'cost', {cost}D, 'seed', {seed}, 'method', '{method}', 'shift', {shift})"
+        for cost, seed, method, shift in runs_
+    )
+    test = case_rows.filter(F.col("month") == 7).select("case_id", F.explode(F.expr(f"array({listed})")).alias("r"))
+    p = [((F.col("case_id") * (2 * k + 5) * 3571 + k * 131 + F.col("r.shift")) % 9973).cast("double") / 9973.0 for k in EXPERTS]
+    return test.select("case_id", "r.scen", "r.cost", "r.seed", "r.method", F.array(*p).alias("p"))
+
+
 def runs(case_rows: DataFrame) -> DataFrame:
     """Decisions of finished runs: test cases x (scenario, cost) x method x seed x environment.
 

@@ -449,14 +449,31 @@ BOOTSTRAP_REPLICATES = 200
 
 
 def bootstrap_ci(spark, d):
-    res = _results_table(spark, d).filter(F.col("method") == "greedy")
-    res = res.withColumn("_run", hashing.seeded_hash("run", "scen", "seed", "env"))
+    """Intervals of every method and measure."""
     out = metrics.bootstrap_ci(
-        res, ["alert_rate", "cost"], "cost_per_100", "_run", replicates=BOOTSTRAP_REPLICATES
+        _results(spark, d),
+        ["alert_rate", "cost", "method"],
+        evaluation.METRICS,
+        ["scen", "seed", "env"],
+        replicates=BOOTSTRAP_REPLICATES,
     )
     return r6(out, "mean", "ci_low", "ci_high")
 
 
+def correctness_quality(spark, d):
+    """AUC and calibration error of every run's and expert's probabilities on the cost-balanced resample.
+
+    The probabilities come one row per run and case, the resample as copies per case and cost: they meet before a row
+    becomes one per expert.
+    """
+    drawn = bootstrap_oversample(spark, d).select("cost", "case_id", "fraud_bool", "copies")
+    wide = inputs.probability_store(inputs.cases(spark, d))
+    pairs = wide.join(drawn, ["cost", "case_id"]).select("*", F.posexplode("p").alias("expert", "p_correct"))
+    pairs = pairs.withColumn("decision", inputs.expert_decision(F.col("expert")))
+    out = metrics.probability_quality(_correct(pairs), ["scen", "cost", "seed", "method", "expert"], "correct", "p_correct", "copies")
+    return r6(out, "auc", "ece")
+
+
 def iso_cost_line(spark, d):
     base = _with_baseline(spark, d).withColumn("mean_cost", metrics.misclassification_cost(LAMBDA))
     base = metrics.with_rates(base).withColumn("cost", F.lit(LAMBDA))
@@ -685,7 +702,7 @@ QUERIES = {
         confusion_by_expert, rates_by_expert, misclass_cost, cost_with_baseline, weighted_prevalence,
         fpr_disparity, train_outcome_shares, group_mean_nullkeys, mean_ci, weighted_log_loss, roc_auc,
         roc_curve, calibration_curve, ece, tpr_at_fpr, fpr_threshold, pct_improvement, sub_ablation,
-        bootstrap_ci, iso_cost_line,
+        bootstrap_ci, correctness_quality, iso_cost_line,
         expert_ranking, select_best_trial, union_methods, unpivot_metrics, pivot_methods,
         stratified_sample, nested_subsample, bootstrap_oversample,
         defer_reject_all, defer_model_only, defer_random, defer_greedy, defer_optimal,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from caseloom import config
+from caseloom.operators import metrics
 from caseloom.plans import inputs, queries
 
 LAM = "0.057e0"
@@ -150,6 +151,23 @@ ratios AS (
          (SELECT count(*) FROM cases WHERE month = 7 AND fraud_bool = 0) AS n_neg
   FROM balance),
 rebalanced AS (SELECT *, CAST(floor(n_neg*r1/r0) AS BIGINT) AS n_pos FROM ratios)"""
+OVERSAMPLED = f"""positives AS (
+  SELECT case_id, row_number() OVER (ORDER BY case_id) - 1 AS slot, count(*) OVER () AS have
+  FROM cases WHERE month = 7 AND fraud_bool = 1),
+draws AS (
+  SELECT cost, {HASH.format(text="'42|' || draw")} % (SELECT max(have) FROM positives) AS slot
+  FROM (SELECT cost, unnest(generate_series(0, n_pos - 1)) AS draw FROM rebalanced) x),
+oversampled AS (
+  SELECT case_id, fraud_bool, cost, CAST(1 AS BIGINT) AS copies FROM cases CROSS JOIN costs WHERE month = 7 AND fraud_bool = 0
+  UNION ALL SELECT case_id, 1, cost, count(*) FROM draws JOIN positives USING (slot) GROUP BY case_id, cost)"""
+
+
+def _poisson() -> str:
+    """Counts of a resampled row by the bounds of its hash."""
+    steps = metrics.poisson_steps()
+    return " ".join(f"WHEN h < {b} THEN {k}" for k, b in enumerate(steps)) + f" ELSE {len(steps)}"
+
+
 
 RANDOM = f"""lined AS (
   SELECT batch, expert, capacity, CAST(sum(capacity) OVER (PARTITION BY batch ORDER BY expert) AS BIGINT) AS upto FROM cap),
@@ -430,19 +448,45 @@ WHERE a.method = 'optimal' AND b.method = 'greedy'"""),
     "sub_ablation": _with(*RESULTS, select=f"""SELECT scen, alert_rate, cost, method, distribution, distribution_seed, seed, sub,
   round(avg(tpr), 6) AS tpr, round(avg(fpr), 6) AS fpr, round(avg(cost_per_100), 6) AS cost_per_100
 FROM results WHERE cost = {LAM} AND sub IS NOT NULL AND method NOT IN ('reject_all', 'random', 'classifier_only') GROUP BY ALL"""),
-    "bootstrap_ci": _with(*RESULTS, f"""picked AS (
-  SELECT alert_rate, cost, cost_per_100 AS v, row_number() OVER (PARTITION BY alert_rate, cost
-           ORDER BY {HASH.format(text="'run|' || scen || '|' || seed || '|' || env")}) - 1 AS slot
-  FROM results WHERE method = 'greedy'),
-sized AS (SELECT alert_rate, cost, count(*) AS n, avg(v) AS mean FROM picked GROUP BY alert_rate, cost),
-drawn AS (
-  SELECT alert_rate, cost, n, draw, {HASH.format(text="'42|' || draw")} % n AS slot
-  FROM (SELECT alert_rate, cost, n, unnest(generate_series(0, n*{queries.BOOTSTRAP_REPLICATES} - 1)) AS draw FROM sized) x),
+    "bootstrap_ci": _with(*RESULTS, f"""drawn AS (
+  SELECT *, {HASH.format(text="concat_ws('|', '42', scen, seed, env, CAST(rep AS VARCHAR))")} AS h
+  FROM results, (SELECT unnest(range(-1, {queries.BOOTSTRAP_REPLICATES})) AS rep) r),
+counted AS (SELECT *, CASE WHEN rep < 0 THEN 1 {_poisson()} END AS m FROM drawn),
+long AS (
+  SELECT alert_rate, cost, method, rep, 'tpr' AS measure, tpr AS v, m FROM counted WHERE m > 0
+  UNION ALL SELECT alert_rate, cost, method, rep, 'fpr', fpr, m FROM counted WHERE m > 0
+  UNION ALL SELECT alert_rate, cost, method, rep, 'cost_per_100', cost_per_100, m FROM counted WHERE m > 0),
 reps AS (
-  SELECT alert_rate, cost, draw // n AS rep, avg(v) AS m FROM drawn JOIN picked USING (alert_rate, cost, slot) GROUP BY ALL),
-bounds AS (SELECT alert_rate, cost, quantile_cont(m, [0.025, 0.975]) AS q FROM reps GROUP BY alert_rate, cost)""",
-        select="""SELECT alert_rate, cost, round(mean, 6) AS mean, round(q[1], 6) AS ci_low, round(q[2], 6) AS ci_high
-FROM sized JOIN bounds USING (alert_rate, cost)"""),
+  SELECT alert_rate, cost, method, measure, rep, sum(v*m)/sum(m) AS x FROM long WHERE v IS NOT NULL GROUP BY ALL),
+bounds AS (
+  SELECT alert_rate, cost, method, measure, max(x) FILTER (rep < 0) AS mean, quantile_cont(x, [0.025, 0.975]) FILTER (rep >= 0) AS q
+  FROM reps GROUP BY ALL)""",
+        select="""SELECT alert_rate, cost, method, measure, round(mean, 6) AS mean, round(q[1], 6) AS ci_low, round(q[2], 6) AS ci_high FROM bounds"""),
+    "correctness_quality": _with(CASES, COSTS, EXPERTS, REBALANCED, OVERSAMPLED, f"""pairs AS (
+  SELECT '{inputs.CORRECTNESS_SCEN}' AS scen, cost, seed, method, k AS expert, copies,
+         CASE WHEN {DECIDED.format(k="k")} = fraud_bool THEN 1 ELSE 0 END AS correct,
+         CAST((case_id*(2*k+5)*3571 + k*131 + 977*seed + 401*m) % 9973 AS DOUBLE)/9973.0e0 AS p
+  FROM oversampled CROSS JOIN experts
+  CROSS JOIN (SELECT unnest({inputs.CORRECTNESS_SEEDS}) AS seed) s
+  CROSS JOIN {_values([(m, f"'{n}'") for m, n in enumerate(inputs.CORRECTNESS_METHODS)], ["m", "method"])}),
+levels AS (
+  SELECT scen, cost, seed, method, expert, p, sum(copies*correct) AS pos, sum(copies*(1-correct)) AS neg FROM pairs GROUP BY ALL),
+ranked AS (
+  SELECT *, coalesce(sum(neg) OVER (PARTITION BY scen, cost, seed, method, expert ORDER BY p
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM levels),
+areas AS (
+  SELECT scen, cost, seed, method, expert, sum(pos*(below + neg/2.0e0))/(sum(pos)*CAST(sum(neg) AS DOUBLE)) AS auc FROM ranked GROUP BY ALL),
+expanded AS (SELECT *, unnest(range(copies)) AS copy FROM pairs),
+edges AS (
+  SELECT scen, cost, seed, method, expert, quantile_cont(p, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e
+  FROM expanded GROUP BY ALL),
+binned AS (
+  SELECT scen, cost, seed, method, expert, len(list_filter(e, lambda x: x <= p)) AS bin,
+         sum(copies*correct)/CAST(sum(copies) AS DOUBLE) AS hit, sum(copies*p)/sum(copies) AS said
+  FROM pairs JOIN edges USING (scen, cost, seed, method, expert) GROUP BY ALL),
+errors AS (SELECT scen, cost, seed, method, expert, avg(abs(hit - said)) AS ece FROM binned GROUP BY ALL)""",
+        select="""SELECT scen, cost, seed, method, expert, round(auc, 6) AS auc, round(ece, 6) AS ece
+FROM areas JOIN errors USING (scen, cost, seed, method, expert)"""),
     "iso_cost_line": _with(CASES, EXPERTS, PRED, BY_EXPERT, SPLIT_CASES, BASELINE, f"""lines AS (
   SELECT split, expert, mean_cost, CAST(fn+tp AS DOUBLE)/(tn+fp+fn+tp) AS prev FROM costed)""",
         select=f"""SELECT split, expert, round(-prev/({LAM}*(1.0e0-prev)), 6) AS slope,
@@ -471,14 +515,7 @@ UNION ALL SELECT scen, cost, method, seed, env, 'cost_per_100', round(cost_per_1
 shares AS (SELECT * FROM (VALUES (1.0e0, ''), (0.5e0, '-sub_0.50'), (0.25e0, '-sub_0.25')) t(sub, tag))""",
         select="""SELECT 'alert_' || format('{:.2f}', alert_rate) || '-data_0.05' || tag AS scen, alert_rate, sub, month, case_id
 FROM nested CROSS JOIN shares WHERE sub = 1.0e0 OR month = 7 OR place2 < floor(size*sub)"""),
-    "bootstrap_oversample": _with(CASES, COSTS, REBALANCED, f"""positives AS (
-  SELECT case_id, row_number() OVER (ORDER BY case_id) - 1 AS slot, count(*) OVER () AS have
-  FROM cases WHERE month = 7 AND fraud_bool = 1),
-drawn AS (
-  SELECT cost, {HASH.format(text="'42|' || draw")} % (SELECT max(have) FROM positives) AS slot
-  FROM (SELECT cost, unnest(generate_series(0, n_pos - 1)) AS draw FROM rebalanced) x)""",
-        select="""SELECT case_id, fraud_bool, cost, CAST(1 AS BIGINT) AS copies FROM cases CROSS JOIN costs WHERE month = 7 AND fraud_bool = 0
-UNION ALL SELECT case_id, 1, cost, count(*) FROM drawn JOIN positives USING (slot) GROUP BY case_id, cost"""),
+    "bootstrap_oversample": _with(CASES, COSTS, REBALANCED, OVERSAMPLED, select="SELECT case_id, fraud_bool, cost, copies FROM oversampled"),
     "defer_reject_all": _with(CASES, EXPERTS, BATCHES, select="SELECT batch, case_id, 'auto-reject' AS assignment, 1 AS prediction FROM batches"),
     "defer_model_only": _with(CASES, EXPERTS, PRED, BATCHES, select="""SELECT batch, case_id, p.expert, p.decision
 FROM batches JOIN expert_pred p USING (case_id) WHERE p.expert = 9"""),

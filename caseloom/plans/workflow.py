@@ -77,8 +77,8 @@ def score_applications(spark: SparkSession, s: Settings) -> None:
         learning.draw_params(s.alert_space, s.n_trials(s.alert_space), s.seed),
         lambda df, p: learning.boosted_trees(p, config.LABEL).fit(df),
         lambda scored: -measure.evaluate(learning.positive_probability(scored)),
+        log=registry.TrialLog(spark, s.path("trials/alert"), {"study": "alert"}),
     )
-    registry.append_trials(trials.withColumn("study", F.lit("alert")), s.path("trials/alert"))
     best = trials.orderBy("loss", "trial").first().asDict()
     model = learning.fit_alert_scorer(rows, best, s.domains, s.features)
     registry.save_model(model, s.path("models/alert"))
@@ -123,8 +123,8 @@ def train_classifiers(spark: SparkSession, s: Settings) -> None:
         rows = spark.read.parquet(s.path("alerts")).filter(F.col("scen") == scen)
         ready = learning.with_features(rows, s.domains, s.features)
         counts = [s.n_trials(space) for space in s.classifier_spaces]
-        trials, model = learning.sweep_classifier(ready, cost, s.classifier_spaces, counts, s.offsets, s.seed)
-        registry.append_trials(trials.withColumns({"scen": F.lit(scen), "cost": F.lit(cost)}), s.path("trials/classifier"))
+        log = registry.TrialLog(spark, s.path("trials/classifier"), {"scen": scen, "cost": cost})
+        _, model = learning.sweep_classifier(ready, cost, s.classifier_spaces, counts, s.offsets, s.seed, log=log)
         model.save(s.path(f"models/classifier/{scen}-l_{cost}"), spark)
         scored = model.transform(ready).withColumn("cost", F.lit(cost))
         report = learning.classifier_report(scored, ["scen"], "cost")

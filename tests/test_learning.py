@@ -70,3 +70,38 @@ def test_pair_scores_cover_every_case_and_expert(spark):
     single = lq.ova_correctness(spark, SF)
     for pairs in (joint, single):
         assert pairs.count() == n * 9 and pairs.filter("p_correct < 0 OR p_correct > 1").isEmpty()
+
+
+def test_stopped_search_goes_on_and_holds_one_model(spark, ready, tmp_path):
+    space = {**config.EXPERT_SPACE, "max_depth": (2, 3, False), "n_estimators": (2, 3, False)}
+    settings = learning.draw_params(space, 5, 1)
+    place = {learning.trial_key(p): i for i, p in enumerate(settings)}
+    losses = [0.5, 0.2, 0.9, 0.2, float("nan")]
+    fitted = []
+
+    class Model:
+        def __init__(self, trial):
+            self.trial = trial
+
+        def transform(self, rows):
+            return self.trial
+
+    def fit(rows, params, stop=None):
+        trial = place[learning.trial_key(params)]
+        if stop is not None and trial >= stop:
+            raise RuntimeError("lost")
+        fitted.append(trial)
+        return Model(trial)
+
+    log = registry.TrialLog(spark, str(tmp_path / "trials"), {"scen": "a"})
+    with pytest.raises(RuntimeError):
+        learning.search(ready, ready, settings, lambda df, p: fit(df, p, 3), lambda t: losses[t], width=1, log=log)
+    assert fitted == [0, 1, 2] and len(log.finished()) == 3
+    trials, best = learning.search(ready, ready, settings, fit, lambda t: losses[t], width=1, log=log)
+    assert fitted == [0, 1, 2, 3, 4, 1] and best.trial == 1
+    assert [r["loss"] for r in trials.orderBy("trial").collect()] == [0.5, 0.2, 0.9, 0.2, math.inf]
+    assert registry.TrialLog(spark, str(tmp_path / "trials"), {"scen": "b"}).finished() == {}
+    held = learning.BestSoFar()
+    for i in (2, 1, 0, 3):
+        held.offer(0.1, i, i)
+    assert held.model == 0 and held.place == (0.1, 0)

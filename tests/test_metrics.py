@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caseloom.functions import scalars
+from caseloom.functions import hashing, scalars
 from caseloom.operators import alerts, evaluation, joins, metrics, ordering, sampling
 
 
@@ -132,3 +132,46 @@ def test_oversample_draws_exactly_the_asked_number(spark):
     out = sampling.oversample_positives(df, ["g"], "y", asked, 42)
     sums = {r["y"]: r["s"] for r in out.groupBy("y").agg(F.sum("copies").alias("s")).collect()}
     assert sums == {0: 30, 1: 25_003}
+
+
+def test_poisson_counts_and_bootstrap_intervals(spark):
+    rng = np.random.default_rng(1)
+    rows = [("a", i, float(x), float(x) * 2 if i % 3 else None) for i, x in enumerate(rng.normal(5, 2, 400))]
+    rows += [(None, 1000, 3.0, None)]
+    df = spark.createDataFrame(rows, "g string, id long, u double, v double").repartition(3)
+    counts = [r[0] for r in spark.range(20_000).select(metrics.poisson_count(hashing.seeded_hash(42, "id")).alias("m")).collect()]
+    assert abs(np.mean(counts) - 1) < 0.03 and abs(np.var(counts) - 1) < 0.06
+    got = {(r["g"], r["measure"]): r for r in metrics.bootstrap_ci(df, ["g"], ["u", "v"], ["id"], replicates=300).collect()}
+    assert set(got) == {("a", "u"), ("a", "v"), (None, "u"), (None, "v")}
+    for name, place in (("u", 2), ("v", 3)):
+        x = np.array([r[place] for r in rows if r[0] == "a" and r[place] is not None])
+        r, half = got["a", name], 1.96 * x.std() / np.sqrt(len(x))
+        assert r["mean"] == pytest.approx(x.mean())
+        assert r["ci_low"] == pytest.approx(x.mean() - half, abs=half / 3) and r["ci_high"] == pytest.approx(x.mean() + half, abs=half / 3)
+    assert tuple(got[None, "u"])[2:] == (3.0, 3.0, 3.0) and got[None, "v"]["mean"] is None
+    same = metrics.bootstrap_ci(df.repartition(11), ["g"], ["u", "v"], ["id"], replicates=300)
+    assert {(r["g"], r["measure"]): r["ci_low"] for r in same.collect()} == pytest.approx({k: r["ci_low"] for k, r in got.items()}, nan_ok=True)
+    plan = same._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_quality_of_weighted_probabilities_equals_expanded_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, int(rng.random() < 0.4), round(float(rng.random()), 2), int(rng.integers(0, 4))) for g in ("a", None) for _ in range(300)]
+    rows += [("one", 1, 0.3, 2)]
+    df = spark.createDataFrame(rows, "g string, y int, p double, w long")
+    got = {r["g"]: (r["auc"], r["ece"]) for r in metrics.probability_quality(df, ["g"], "y", "p", "w").collect()}
+    full = df.filter("w > 0").withColumn("copies", F.col("w"))
+    full = sampling.expand_copies(full)
+    auc = {r["g"]: r["auc"] for r in metrics.roc_auc(full, ["g"], "y", "p").collect()}
+    ece = {r["g"]: r["ece"] for r in metrics.calibration_error(metrics.calibration_curve(full, ["g"], "y", "p"), ["g"]).collect()}
+    assert set(got) == {"a", None, "one"} and got["one"][0] is None
+    for g, (a, e) in got.items():
+        assert a == (None if auc[g] is None else pytest.approx(auc[g])) and e == pytest.approx(ece[g])
+
+
+def test_oversampling_keeps_null_groups(spark):
+    df = spark.createDataFrame([(None, 1, 1), (None, 2, 0), ("a", 3, 1), ("a", 4, 0)], "g string, case_id long, y int")
+    asked = spark.createDataFrame([(None, 3), ("a", 2)], "g string, n_pos long")
+    out = sampling.oversample_positives(df, ["g"], "y", asked, 42).collect()
+    assert {(r["g"], r["case_id"]): r["copies"] for r in out} == {(None, 1): 3, (None, 2): 1, ("a", 3): 2, ("a", 4): 1}
