@@ -7,25 +7,29 @@ Expected inputs under ``root``:
 * ``predictions``                parquet (scen, cost, case_id, expert, p): experts 0/1, classifier a probability
 * ``testbed/<scen>-l_<cost>/<env>/batches.csv`` and ``capacity.csv``
 
-Written: ``cases``, ``scored``, ``alerts``, ``models``, ``trials``, ``model_properties``, ``probabilities``,
-``assignments``, ``results``.
+Written: ``cases``, ``scored``, ``alerts``, ``models``, ``trials``, ``model_properties``, ``probabilities``, and run by run
+``assignments`` and ``results``, each with a manifest of its finished runs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom import config
 from caseloom.functions import scalars
-from caseloom.operators import alerts, evaluation, joins, learning, metrics, policies
+from caseloom.operators import alerts, evaluation, joins, learning, metrics, policies, reshape
 from caseloom.session import cut_lineage
-from caseloom.sources import registry, tables, testbed
+from caseloom.sources import ledger, registry, tables, testbed
 
 GRID = ["scen", "cost"]
+#: Keys of a run, the unit that is done once.
+RUN = [*GRID, "seed", "method", "env"]
+#: Which policy uses the probabilities of which correctness model.
+RULES = {"joint": "optimal", "one_vs_all": "greedy"}
 
 
 @dataclass
@@ -34,7 +38,7 @@ class Settings:
 
     root: str
     humans: Sequence[str]
-    numeric: Sequence[str] = ()  # names of the numeric features; tables.numeric_features lists a file's
+    numeric: Sequence[str] | None = None  # numeric features; None takes every column of the applications without a role
     domains: dict[str, Sequence[str]] = field(default_factory=lambda: config.DOMAINS)
     costs: Sequence[float] = tuple(config.COSTS)
     alert_space: dict = field(default_factory=lambda: config.ALERT_SPACE)
@@ -52,15 +56,21 @@ class Settings:
 
     @property
     def features(self) -> list[str]:
+        if self.numeric is None:
+            raise ValueError("numeric features are not known yet; see complete()")
         return [*self.numeric, config.PROTECTED]
 
 
+def complete(spark: SparkSession, s: Settings) -> Settings:
+    """Settings with the numeric features named; all that pass through unless some were chosen."""
+    return s if s.numeric is not None else replace(s, numeric=tables.numeric_features(spark, s.path("applications")))
+
+
 def load_applications(spark: SparkSession, s: Settings) -> DataFrame:
     """Applications with their case id, the place in the order (month, line), assigned and written once."""
     if not tables.exists(spark, s.path("cases")):
-        rows = tables.read_csv(spark, s.path("applications"), tables.applications_schema(s.numeric))
-        lined = cut_lineage(rows.withColumn("_line", F.monotonically_increasing_id()))
-        tables.write(tables.with_case_id(lined, "_line").drop("_line"), s.path("cases"))
+        rows = tables.read_csv(spark, s.path("applications"), tables.applications_schema(s.numeric), line="_line")
+        tables.write(tables.with_case_id(rows, "_line").drop("_line"), s.path("cases"))
     return spark.read.parquet(s.path("cases"))
 
 
@@ -182,27 +192,42 @@ def _best_expert_params(s: Settings, log: DataFrame, method: str) -> dict | dict
     return {e: best(log.filter(F.col("assignment") == e), s.domains) for e in s.humans}
 
 
+def _ledger(spark: SparkSession, s: Settings, name: str) -> ledger.RunLedger:
+    return ledger.RunLedger(spark, s.path(name), RUN)
+
+
 def run_deferral(spark: SparkSession, s: Settings) -> None:
-    """Assignments of every policy, scenario, cost, seed and environment in one job."""
-    if tables.exists(spark, s.path("assignments")):
-        return
+    """Assignments of every policy, scenario, cost, seed and environment not done yet, in one job."""
     pattern = s.path("testbed/*/*/")
     batches = cut_lineage(_split_grid(testbed.read_batches(spark, pattern + "batches.csv", grid=True)))
     caps = cut_lineage(_split_grid(testbed.read_capacity(spark, pattern + "capacity.csv", list(s.humans), grid=True)))
     keys = [*GRID, "env"]
     stored = tables.read_probabilities(spark, s.path("probabilities"))
+    beds = batches.select(*keys).distinct()
+    rule_of = F.create_map(*[F.lit(x) for pair in RULES.items() for x in pair])
+    trained = stored.select(*GRID, "seed", "method").distinct().withColumn("method", rule_of[F.col("method")])
+    plain = beds.withColumns({"seed": F.lit(policies.NO_SEED), "method": F.explode(F.array(*[F.lit(m) for m in policies.UNSEEDED]))})
+    book = _ledger(spark, s, "assignments")
+    todo = cut_lineage(book.pending(beds.join(trained, GRID).select(*RUN).union(plain.select(*RUN))))
+    if todo.isEmpty():
+        return
     parts = []
-    for rule, method in (("optimal", "joint"), ("greedy", "one_vs_all")):
+    for method, rule in RULES.items():
+        mine = todo.filter(F.col("method") == rule).select(*keys, "seed")
+        if mine.isEmpty():
+            continue
         p = stored.filter(F.col("method") == method).drop("method")
-        joins.require_keys(batches.select(*GRID, "case_id"), p, [*GRID, "case_id"])
-        pred = batches.join(p, [*GRID, "case_id"])
-        parts.append(policies.run_policies(batches, pred, caps, keys, joins.MODEL, [rule]))
-    parts.append(policies.run_policies(batches, stored, caps, keys, joins.MODEL, policies.UNSEEDED, s.seed))
-    assigned = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        here = batches.join(mine.select(*keys).distinct(), keys, "left_semi")
+        joins.require_keys(here.select(*GRID, "case_id"), p, [*GRID, "case_id"])
+        pred = here.join(p, [*GRID, "case_id"]).join(mine, [*keys, "seed"], "left_semi")
+        parts.append(policies.run_policies(here, pred, caps, keys, joins.MODEL, [rule]))
+    mine = todo.filter(F.col("method").isin(policies.UNSEEDED))
+    here = batches.join(mine.select(*keys).distinct(), keys, "left_semi")
+    unseeded = policies.run_policies(here, stored, caps, keys, joins.MODEL, policies.UNSEEDED, s.seed)
+    parts.append(unseeded.join(mine.select(*keys, "method"), [*keys, "method"], "left_semi").select(unseeded.columns))
+    assigned = reshape.union_all(parts)
     decided = spark.read.parquet(s.path("predictions")).withColumn("decision", scalars.binarize("p", 0.5))
-    tables.write(
-        policies.with_predictions(assigned, decided, GRID), s.path("assignments"), partition_by=[*GRID, "method"]
-    )
+    book.commit(policies.with_predictions(assigned, decided, GRID), todo)
 
 
 def _split_grid(df: DataFrame) -> DataFrame:
@@ -214,13 +239,17 @@ def _split_grid(df: DataFrame) -> DataFrame:
 
 
 def report(spark: SparkSession, s: Settings) -> DataFrame:
-    """The evaluation table of all runs, written once."""
-    if not tables.exists(spark, s.path("results")):
-        decisions = spark.read.parquet(s.path("assignments"))
+    """The evaluation table of all finished runs; a run is evaluated once."""
+    book = _ledger(spark, s, "results")
+    decisions = _ledger(spark, s, "assignments").read().withColumn("seed", F.col("seed").cast("string"))
+    todo = cut_lineage(book.pending(decisions.select(*RUN)))
+    if not todo.isEmpty():
         labels = spark.read.parquet(s.path("alerts")).filter(F.col(config.TIMESTAMP) == 7)
         labels = labels.groupBy("case_id").agg(*[F.max(c).alias(c) for c in (config.LABEL, config.PROTECTED)])
-        tables.write(evaluation.evaluate_runs(decisions, labels), s.path("results"))
-    return spark.read.parquet(s.path("results"))
+        found = evaluation.evaluate_runs(decisions.join(todo, RUN, "left_semi"), labels)
+        book.commit(found.withColumn("seed", F.coalesce("seed", F.lit(policies.NO_SEED))), todo)
+    out = book.read()
+    return out.withColumn("seed", scalars.na_to_null(F.col("seed").cast("string")))
 
 
 STEPS = {
@@ -234,5 +263,6 @@ STEPS = {
 
 
 def run(spark: SparkSession, settings: Settings, steps: Sequence[str] = tuple(STEPS)) -> None:
+    settings = complete(spark, settings)
     for name in steps:
         STEPS[name](spark, settings)

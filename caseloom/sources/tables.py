@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseloom import config
 from caseloom.operators import joins, ordering
+from caseloom.session import cut_lineage
 
 
 def applications_schema(numeric: Sequence[str] = ()) -> T.StructType:
@@ -22,13 +23,37 @@ def applications_schema(numeric: Sequence[str] = ()) -> T.StructType:
     )
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header line; columns are found by name and cast, whatever their order."""
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, line: str | None = None) -> DataFrame:
+    """CSV with a header line; columns are found by name and cast, whatever their order.
+
+    ``line`` adds a column of that name that grows in the order of files and lines, see :func:`in_file_order`.
+    """
     raw = spark.read.option("header", True).csv(path)
     missing = [n for n in schema.names if n not in raw.columns]
     if missing:
         raise ValueError(f"columns {missing} are not in {path}")
-    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+    cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]
+    return raw.select(*cols) if line is None else in_file_order(raw.select(*cols, *file_position()), line)
+
+
+def file_position() -> list[Column]:
+    """Where a scanned row comes from: its file, the start of its block, and a number that grows inside the block."""
+    where = F.col("_metadata")
+    return [where["file_path"].alias("_file"), where["file_block_start"].alias("_block"), F.monotonically_increasing_id().alias("_row")]
+
+
+def in_file_order(scanned: DataFrame, out: str) -> DataFrame:
+    """Replace :func:`file_position` by one number in the order of (file name, block, line).
+
+    It orders rows the same however the scan cuts files into blocks and packs blocks into tasks.  Only one row per block
+    is sorted in one place.
+    """
+    rows = cut_lineage(scanned)
+    blocks = rows.select("_file", "_block").distinct()
+    blocks = blocks.withColumn("_place", F.row_number().over(Window.orderBy("_file", "_block")).cast("long"))
+    placed = joins.attach(rows, blocks, ["_file", "_block"], "_row")
+    inside = F.col("_row").bitwiseAND((1 << 33) - 1)
+    return placed.withColumn(out, F.shiftleft("_place", 33) + inside).drop("_file", "_block", "_row", "_place")
 
 
 def numeric_features(spark: SparkSession, path: str) -> list[str]:

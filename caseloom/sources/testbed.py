@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.operators import joins, ordering
+from caseloom.sources import tables
 
 
 def path_part(place: int) -> Column:
@@ -25,17 +26,16 @@ def read_batches(spark: SparkSession, pattern: str, grid: bool = False) -> DataF
 
     ``grid`` adds the name of the folder above the environment.
 
-    The place of a line decides the order of cases.  Blocks of a file are scanned in order, so the
-    row id of the scan grows along each file; ``pos`` is its rank inside the batch.
+    The place of a line in its file decides the order of cases, however the scan cuts the file; ``pos`` is its rank inside the batch.
     """
     where = _place(grid)
     placed = spark.read.option("header", True).csv(pattern).select(
         *[c.alias(n) for n, c in where.items()],
         F.col("batch").cast("int").alias("batch"),
         F.col("case_id").cast("long").alias("case_id"),
-        F.monotonically_increasing_id().alias("_line"),
+        *tables.file_position(),
     )
-    return ordering.numbered(placed, [*where, "batch"], "_line", "pos").drop("_line")
+    return ordering.numbered(tables.in_file_order(placed, "_line"), [*where, "batch"], "_line", "pos").drop("_line")
 
 
 def read_capacity(spark: SparkSession, pattern: str, humans: Sequence[str], grid: bool = False) -> DataFrame:

@@ -1,10 +1,13 @@
+import os
+
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseloom import config
 from caseloom.operators import joins
-from caseloom.sources import registry, tables, testbed
+from caseloom.sources import ledger, registry, tables, testbed
 
 
 def test_csv_to_case_ids(spark, tmp_path):
@@ -86,3 +89,41 @@ def test_strict_lookup(spark):
 
 def test_grid_has_the_configured_size():
     assert len(config.scenario_costs()) == 10 and len(config.scenarios()) == 6
+
+
+@pytest.mark.parametrize("split", [64 << 20, 200])
+def test_lines_keep_their_order_however_files_are_cut(spark, tmp_path, split):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        for env, n in (("a", 30), ("b", 90)):
+            os.makedirs(tmp_path / "bed" / env)
+            lines = "".join(f"{(i * 37) % n + 1000},{i // 20 + 1}\n" for i in range(n))
+            (tmp_path / "bed" / env / "batches.csv").write_text("case_id,batch\n" + lines)
+        got = testbed.read_batches(spark, f"{tmp_path}/bed/*/batches.csv").collect()
+        assert {(r["env"], r["batch"], r["pos"]): r["case_id"] for r in got} == {
+            (env, i // 20 + 1, i % 20): (i * 37) % n + 1000 for env, n in (("a", 30), ("b", 90)) for i in range(n)
+        }
+        os.makedirs(tmp_path / "apps")
+        for name, start, n in (("1.csv", 0, 20), ("0.csv", 100, 120)):
+            (tmp_path / "apps" / name).write_text("month,x\n" + "".join(f"{i % 2},{start + i}\n" for i in range(n)))
+        schema = T.StructType([T.StructField("month", T.IntegerType()), T.StructField("x", T.IntegerType())])
+        rows = tables.read_csv(spark, f"{tmp_path}/apps", schema, line="_line")
+        order = [r["x"] for r in tables.with_case_id(rows, "_line").orderBy("case_id").collect()]
+        lined = [100 + i for i in range(120)] + list(range(20))
+        assert order == [x for x in lined if x % 2 == 0] + [x for x in lined if x % 2 == 1]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_ledger_reads_finished_runs_and_replaces_torn_ones(spark, tmp_path):
+    book = ledger.RunLedger(spark, str(tmp_path / "t"), ["run", "env"])
+    grid = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (1, "a")], "run int, env string")
+    assert book.pending(grid).count() == 3
+    rows = grid.distinct().withColumn("v", F.lit(1))
+    book.commit(rows.filter("run = 1"), spark.createDataFrame([(1, "a"), (1, "b")], grid.schema))
+    rows.filter("run = 2").withColumn("v", F.lit(9)).write.mode("append").partitionBy("run", "env").parquet(book.path)
+    assert {tuple(r) for r in book.pending(grid).collect()} == {(2, "a")} and book.read().count() == 2
+    todo = spark.createDataFrame([(2, "a")], grid.schema)
+    book.commit(rows.filter("run = 2"), todo)
+    assert book.pending(grid).isEmpty() and {r["v"] for r in book.read().collect()} == {1}

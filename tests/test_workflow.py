@@ -1,6 +1,8 @@
 """The whole workflow on tables derived from the given ones, then again with nothing left to do."""
 
+import glob
 import os
+import shutil
 
 from pyspark.sql import functions as F
 
@@ -81,3 +83,18 @@ def test_workflow(spark, tmp_path):
     workflow.run(spark, s)
     assert spark.read.parquet(f"{root}/probabilities").count() == before
     assert spark.read.parquet(f"{root}/trials/alert").count() == 1
+    assert workflow.complete(spark, workflow.Settings(root, HUMANS)).numeric == ["f1", "f2"]
+
+    # A new environment adds its runs only; a run torn before it was entered is done again.
+    old = {p: os.path.getmtime(p) for p in glob.glob(f"{root}/assignments/**/*.parquet", recursive=True)}
+    shutil.copytree(f"{root}/testbed/{scen}-l_0.057/batch#homogenous_0", f"{root}/testbed/{scen}-l_0.057/batch#variable-9_0")
+    torn = spark.createDataFrame([(1, 77, None, 1)], "batch int, case_id long, expert string, prediction int").withColumns(
+        {"scen": F.lit(scen), "cost": F.lit(0.057), "seed": F.lit("NA"), "method": F.lit("random"), "env": F.lit("batch#variable-9_0")}
+    )
+    torn.write.mode("append").partitionBy(*workflow.RUN).parquet(f"{root}/assignments")
+    workflow.run(spark, s, ["deferral", "report"])
+    assert all(os.path.getmtime(p) == t for p, t in old.items())
+    more = {(r["method"], r["env"], r["seed"]): r for r in workflow.report(spark, s).collect()}
+    assert len(more) == 15 and all(tuple(more[k]) == tuple(got[k]) for k in got)
+    assert all(r["tp"] + r["fp"] + r["fn"] + r["tn"] == n for r in more.values())
+    assert spark.read.parquet(f"{root}/assignments_finished").count() == 15
