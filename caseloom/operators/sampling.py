@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom import config
-from caseloom.functions.hashing import seeded_hash, uniform_cuts
+from caseloom.functions.hashing import HASH_SPAN, seeded_hash, uniform_cuts
 from caseloom.operators import ordering
 from caseloom.operators.joins import attach
-from caseloom.session import shuffle_width
+from caseloom.session import cut_lineage, shuffle_width
 
 DRAWS_PER_CHUNK = 10_000
+#: Standard deviations by which a cut of the hash range keeps more rows than asked for.
+HEADROOM = 6.0
 
 
 def hash_rank(rows: DataFrame, keys: Sequence[str], seed, key: str, out: str) -> DataFrame:
@@ -23,25 +25,43 @@ def hash_rank(rows: DataFrame, keys: Sequence[str], seed, key: str, out: str) ->
     return ordering.numbered(hashed, keys, "_h", out, ties=[key], cuts=uniform_cuts(n)).drop("_h")
 
 
+def smallest(rows: DataFrame, group: Sequence[str], asked: DataFrame, seed, key: str) -> DataFrame:
+    """The ``n_take`` rows of least hash of each group, with ``asked(group, n_take, _have)`` naming every group to take from.
+
+    A cut of the hash range keeps little more than is asked for, so only that is ordered.  Groups in which the cut kept too few are
+    taken whole and ordered again: the rows are the same as those of an order of everything.
+    """
+    group = list(group)
+    asked = cut_lineage(asked.select(*group, "n_take", "_have"))
+    want = F.col("n_take") + F.lit(HEADROOM) * F.sqrt(F.col("n_take").cast("double")) + HEADROOM
+    share = F.least(want / F.greatest(F.col("_have"), F.lit(1)), F.lit(1.0))
+    hashed = attach(rows.withColumn("_h", seeded_hash(seed, key)), asked, group, key, written=True)
+    near = cut_lineage(hashed.filter(F.col("_h") <= F.ceil(share * HASH_SPAN)))
+    got = near.groupBy(*group).agg(F.count(F.lit(1)).alias("_got"))
+    short = ordering.null_safe_join(asked, got, group, "left").filter(F.coalesce("_got", F.lit(0)) < F.col("n_take"))
+    if not short.isEmpty():
+        short = cut_lineage(short.select(*group))
+        kept = ordering.null_safe_join(near, short, group, "left_anti")
+        near = kept.unionByName(attach(hashed, short, group, key, "left_semi", written=True))
+    n = min(ordering.MAX_BUCKETS, 2 * shuffle_width(rows.sparkSession))
+    ranked = ordering.numbered(near, group, "_h", "_rank", ties=[key], cuts=uniform_cuts(n))
+    return ranked.filter(F.col("_rank") < F.col("n_take")).drop("_rank", "_h", "n_take", "_have")
+
+
 def stratified_sample(
     rows: DataFrame, keys: Sequence[str], stratum: str, sizes: DataFrame, seed, key: str = "case_id"
 ) -> DataFrame:
     """Exactly ``n_take`` rows per (keys, stratum); fails when a stratum has fewer.
 
-    ``sizes`` has one row per stratum.  Strata missing from it are left out.
+    ``sizes`` has one row per stratum.  Strata missing from it are left out.  ``rows`` should be a written table: they are read
+    once for the counts and once for the cut.
     """
-    keys = list(keys)
-    ranked = hash_rank(rows, [*keys, stratum], seed, key, "_rank")
-    sized = ranked.groupBy(*keys, stratum).agg(F.count(F.lit(1)).alias("_have")).join(sizes, stratum)
-    short = F.concat(F.lit("stratum too small: "), F.to_json(F.struct(*keys, stratum, "_have", "n_take")))
-    sized = sized.withColumn(
-        "n_take", F.when(F.col("_have") >= F.col("n_take"), F.col("n_take")).otherwise(F.raise_error(short).cast("long"))
-    )
-    return (
-        attach(ranked, sized.drop("_have"), [*keys, stratum], key)
-        .filter(F.col("_rank") < F.col("n_take"))
-        .drop("_rank", "n_take")
-    )
+    group = [*keys, stratum]
+    sized = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_have"))
+    sized = ordering.null_safe_join(sized, sizes, [stratum])
+    short = F.concat(F.lit("stratum too small: "), F.to_json(F.struct(*group, "_have", "n_take")))
+    enough = F.when(F.col("_have") >= F.col("n_take"), F.col("n_take")).otherwise(F.raise_error(short).cast("long"))
+    return smallest(rows, group, sized.withColumn("n_take", enough), seed, key)
 
 
 def nested_subsample(
@@ -59,7 +79,7 @@ def nested_subsample(
     """
     keys = list(keys)
     ranked = hash_rank(rows, [*keys, stratum], f"{seed}-sub", key, "_rank")
-    sized = ranked.groupBy(*keys, stratum).agg(F.count(F.lit(1)).alias("_size"))
+    sized = rows.groupBy(*keys, stratum).agg(F.count(F.lit(1)).alias("_size"))
     listed = F.array(*[F.lit(1.0), *[F.lit(float(s)) for s in shares]])
     in_share = F.filter(
         listed,

@@ -532,7 +532,7 @@ def _monthly_sizes(rows: DataFrame) -> DataFrame:
 
 
 def stratified_sample(spark, d):
-    rows = _alerts(spark, d)
+    rows = cut_lineage(_alerts(spark, d))
     out = sampling.stratified_sample(
         rows.filter(F.col("alert_rate") == 0.15), ["alert_rate"], "month", _monthly_sizes(rows), config.SAMPLE_SEED
     )

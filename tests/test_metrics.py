@@ -175,3 +175,14 @@ def test_oversampling_keeps_null_groups(spark):
     asked = spark.createDataFrame([(None, 3), ("a", 2)], "g string, n_pos long")
     out = sampling.oversample_positives(df, ["g"], "y", asked, 42).collect()
     assert {(r["g"], r["case_id"]): r["copies"] for r in out} == {(None, 1): 3, (None, 2): 1, ("a", 3): 2, ("a", 4): 1}
+
+
+@pytest.mark.parametrize("headroom", [6.0, -2.0])
+def test_cut_sample_equals_an_order_of_everything(spark, monkeypatch, headroom):
+    monkeypatch.setattr(sampling, "HEADROOM", headroom)
+    rows = [(k, m, i) for k in ("a", None) for m in (1, 2) for i in range(400 if k else 40)]
+    df = spark.createDataFrame([(k, m, j) for j, (k, m, _) in enumerate(rows)], "k string, month int, case_id long")
+    sizes = spark.createDataFrame([(1, 30), (2, 0)], "month int, n_take long")
+    got = {r["case_id"] for r in sampling.stratified_sample(df, ["k"], "month", sizes, 42).collect()}
+    ranked = sampling.hash_rank(df.filter("month = 1"), ["k", "month"], 42, "case_id", "r").filter("r < 30")
+    assert got == {r["case_id"] for r in ranked.collect()} and len(got) == 60
