@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm import shared
@@ -174,24 +174,19 @@ def _count(broadcast):
     return run
 
 
-def contaminated(
-    docs: DataFrame,
-    items: DataFrame,
-    window: int = 10,
-    shingle: int = 5,
-    id_col: str = "doc_id",
-    block_words: int = BLOCK_WORDS,
-) -> DataFrame:
-    """Per document ``id_col, n_words, n_hit, spans`` (hit words, first to before last) and ``items`` (sorted ids).
+def _row_key(id_: Column, text: Column) -> Column:
+    """Name of a row by its text and id; equal for equal rows only, null apart from empty."""
+    return F.concat(
+        F.when(text.isNull(), "n").otherwise(F.md5(text.cast("binary"))), F.lit("|"), F.when(id_.isNull(), "n").otherwise(F.concat(F.lit("i"), id_.cast("string")))
+    )
 
-    Null texts have no words.  An item without words has no window.  Repeated document rows give a row each; with
-    several blocks of items, rows of one id are merged.  An empty table on either side gives no hits.  Other columns
-    are left behind.  Item ids are read as strings; a repeated item id counts once.
-    """
+
+def _hits(docs: DataFrame, items: DataFrame, window: int, shingle: int, id_col: str, block_words: int) -> DataFrame:
+    """``key, n_words, spans, items`` of every row; equal rows give equal results and stay as many as they were."""
     spark = docs.sparkSession
     ship_package(spark)
-    texts = docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
+    text = F.col("text").cast("string")
+    texts = docs.select(_row_key(F.col(id_col), text).alias("id"), text.alias("text"))
     named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string"))
     size = named.select(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
     blocks = int(size // block_words) + 1
@@ -207,21 +202,42 @@ def contaminated(
         sent.unpersist()
         windows.order(counts)
         sent = spark.sparkContext.broadcast(pickle.dumps(windows))
-        schema = f"id {kind}, n_words long, spans array<struct<first:long,last:long>>, items array<string>"
-        found.append(texts.mapInArrow(_match(sent, kind), schema))
-    out = found[0]
-    if blocks > 1:
-        # Spans of different blocks may overlap: words are marked once per document.
-        out = cut_lineage(found[0].unionByName(found[1]) if blocks == 2 else _union(found))
-        out = out.groupBy("id").agg(
-            F.max("n_words").alias("n_words"),
-            F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-            F.flatten(F.collect_list("items")).alias("items"),
-        )
-        out = out.withColumn("spans", _merged("spans"))
+        schema = "id string, n_words long, spans array<struct<first:long,last:long>>, items array<string>"
+        found.append(texts.mapInArrow(_match(sent, "string"), schema))
+    if blocks == 1:
+        return found[0].withColumnRenamed("id", "key")
+    # Spans of different blocks may overlap: words are marked once per row.  Each block has every row once.
+    out = cut_lineage(_union([f.withColumn("first_block", F.lit(b == 0)) for b, f in enumerate(found)]))
+    out = out.groupBy("id").agg(
+        F.max("n_words").alias("n_words"),
+        F.array_distinct(F.array_sort(F.flatten(F.collect_set("spans")))).alias("spans"),
+        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
+        F.count_if("first_block").alias("copies"),
+    )
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return out.select(F.col("id").alias("key"), "n_words", _merged("spans").alias("spans"), "items")
+
+
+def contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    window: int = 10,
+    shingle: int = 5,
+    id_col: str = "doc_id",
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """Per document ``id_col, n_words, n_hit, spans`` (hit words, first to before last) and ``items`` (sorted ids).
+
+    Null texts have no words.  An item without words has no window.  Every document row gives a row, also where ids repeat or are
+    null, at any number of item blocks.  An empty table on either side gives no hits.  Other columns
+    are left behind, whatever their names.  Item ids are read as strings; a repeated item id counts once.
+    """
+    out = _hits(docs, items, window, shingle, id_col, block_words)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"])
+    tail = F.substring("key", F.instr("key", "|") + 1, F.length("key"))
+    own = F.when(tail.startswith("i"), F.substring(tail, F.lit(2), F.length(tail))).cast(docs.schema[id_col].dataType)
     return out.select(
-        F.col("id").alias(id_col),
+        own.alias(id_col),
         "n_words",
         hit.alias("n_hit"),
         "spans",
@@ -248,7 +264,18 @@ def _merged(spans: str):
     return F.aggregate(spans, F.array().cast(kind), lambda a, s: F.when(F.size(a) == 0, F.array(s)).otherwise(add(a, s)))
 
 
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that hold no window of any item, with their own columns; a null id is kept if its texts are clean."""
-    bad = contaminated(docs, items, **options).filter("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+def clean(
+    docs: DataFrame,
+    items: DataFrame,
+    window: int = 10,
+    shingle: int = 5,
+    id_col: str = "doc_id",
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """The document rows that hold no window of any item, with their own columns.
+
+    A row is judged by its own text: rows of one id, or of none, do not speak for each other.
+    """
+    found = _hits(docs, items, window, shingle, id_col, block_words).filter(F.size("spans") > 0)
+    bad = found.select(F.col("key").alias("_bad_key")).distinct()
+    return docs.join(bad, _row_key(docs[id_col], docs["text"].cast("string")) == bad["_bad_key"], "left_anti")

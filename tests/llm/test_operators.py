@@ -197,3 +197,22 @@ def test_empty_tables(spark):
     assert line_dedup.dedup_lines(none).count() == 0
     assert decontamination.contaminated(none, items).count() == 0
     assert quality_rules.quality(none).count() == 0
+
+
+@pytest.mark.parametrize("block_words", [1_000_000, 3])
+def test_rows_of_one_id_or_none_are_judged_apart(spark, block_words):
+    rows = [(1, f"a {P}"), (1, "alpha beta"), (1, "alpha beta"), (None, P), (None, "clean text"), (None, None), (2, ""), (2, f"alpha {P} b")]
+    items = [("x", P), ("y", "alpha"), ("z", "seven eight nine")]
+    schema = "doc_id long, text string"
+    table = spark.createDataFrame(items, "item_id string, text string")
+    for cast in ("long", "string"):
+        docs = spark.createDataFrame(rows, schema).withColumns({"doc_id": F.col("doc_id").cast(cast), "_bad_key": F.lit(1), "key": F.lit("k")})
+        got = decontamination.contaminated(docs, table, block_words=block_words)
+        want = [brute.decontaminate([(0, t)], items)[0] for _, t in rows]
+        have = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["items"]) for r in got.collect())
+        assert have == sorted((str(d), *w) for (d, _), w in zip(rows, want)) and got.schema["doc_id"].dataType.simpleString().startswith(cast[:3].replace("lon", "big"))
+        kept = decontamination.clean(docs, table, block_words=block_words)
+        assert kept.columns == docs.columns
+        assert sorted(str((None if r[0] is None else str(r[0]), r[1])) for r in kept.collect()) == sorted(
+            str((None if d is None else str(d), t)) for (d, t), w in zip(rows, want) if w[1] == 0
+        )
