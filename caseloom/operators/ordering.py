@@ -5,7 +5,7 @@ The largest group is counted first; when it is above ``PLAIN_ROWS``, the ordered
 literals.  A window then runs inside (group, bucket), and the totals of the earlier buckets are
 joined back.  A bucket holds about rows / buckets rows whatever the group sizes are.  Where values
 repeat, rows are summed per value first, so a value shared by a third of all rows is one row.
-Group keys must not be null.
+A null group key is a group of its own.
 """
 
 from __future__ import annotations
