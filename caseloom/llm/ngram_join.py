@@ -8,8 +8,10 @@ sets share ``1 + size // 64`` prefix shingles at least.
    that holds the shingle and shares most shingles with others, under the length and positional filters and the number of shared prefix
    shingles; groups are expanded and each member verified against the first document.  Families of copies become one
    component here with one comparison a member.
-3. Prefix rows are reduced to one per (shingle, component, size, place).  Pairs of different components under the
-   same filters are expanded to their members and verified, so no link between components is lost.
+3. Prefix rows are reduced to kinds, one per (shingle, component, size, place), with the bits that all and any of
+   their members have in a folded signature.  Kinds of different components meet under the length filter, the
+   positional filter at the first shared shingles and the least number of different bits; the rest are expanded to their members and
+   verified, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -170,6 +172,26 @@ def _may_match(a: str, b: str, percent: int) -> Column:
     )
 
 
+def _may_start(a: str, b: str, percent: int) -> Column:
+    """The two prefix rows may be among the first ``1 + size // 64`` shared shingles of a similar pair.
+
+    What is shared is at most that many plus the shingles behind.  The first ones of a similar pair all lie in both
+    prefixes and pass, so a count of the passing rows still finds it.
+    """
+    need = f"ceil({percent} * ({a}.n + {b}.n) / {100 + percent})"
+    so_far = f"least({a}.i, {b}.i, 1 + least({a}.n, {b}.n) div {SHARED_EVERY})"
+    return F.expr(
+        f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)"
+        f" AND {so_far} + least({a}.n - {a}.i, {b}.n - {b}.i) >= {need}"
+    )
+
+
+def _differing(percent: int, n: str, n2: str, every: str, some: str, every2: str, some2: str) -> Column:
+    """Bits that all of one side and none of the other have leave room for similar sets of ``n`` and ``n2`` shingles."""
+    bits = f"bit_count(({every} & ~{some2}) | ({every2} & ~{some}))"
+    return F.expr(f"{bits} <= {n} + {n2} - 2 * ceil({percent} * ({n} + {n2}) / {100 + percent})")
+
+
 def _near(x: str, y: str, percent: int) -> Column:
     """The signatures of two documents allow as many shared shingles as similar sets of their sizes have."""
     flips = " + ".join(f"bit_count({x}.{s} ^ {y}.{s})" for s in SIGNATURE)
@@ -262,12 +284,20 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     # Members of a group have equal prefixes, so each prefix row stands for all of them.
     member = members.join(labels.withColumnRenamed("v", "doc"), "doc", "left").select("doc", "g", F.coalesce("c", "doc").alias("c"))
     member = cut_lineage(member.join(reps.select("doc", "n", *SIGNATURE), "doc"))
-    own = rows.select("t", "i", "g").join(member, "g")
-    kinds = cut_lineage(own.select("t", "i", "n", "c").distinct())
+    own = rows.select("t", "i", "g").join(member, "g").withColumn("f", F.expr(" ^ ".join(SIGNATURE)))
+    kinds = own.groupBy("t", "i", "n", "c").agg(F.bit_and("f").alias("every"), F.bit_or("f").alias("some"))
+    kinds = cut_lineage(kinds)
     left, right = kinds.alias("a"), kinds.alias("b")
-    met = left.join(right, F.expr("a.t = b.t AND a.c < b.c") & _may_match("a", "b", percent))
-    met = met.select(*[F.col(f"a.{x}").alias(f"{x}") for x in "tcni"], *[F.col(f"b.{x}").alias(f"{x}2") for x in "cni"])
-    one = met.join(own.drop("g"), ["t", "c", "n", "i"]).alias("x")
+    apart = _differing(percent, "a.n", "b.n", "a.every", "a.some", "b.every", "b.some")
+    met = left.join(right, F.expr("a.t = b.t AND a.c < b.c") & _may_start("a", "b", percent) & apart)
+    met = met.select(
+        *[F.col(f"a.{x}").alias(x) for x in ("t", "c", "n", "i")],
+        *[F.col(f"b.{x}").alias(f"{x}2") for x in ("c", "n", "i", "every", "some")],
+    )
+    m, x = met.alias("m"), own.drop("g").alias("x")
+    member_of = F.expr("m.t = x.t AND m.c = x.c AND m.n = x.n AND m.i = x.i")
+    one = m.join(x, member_of & _differing(percent, "x.n", "m.n2", "x.f", "x.f", "m.every2", "m.some2"))
+    one = one.select("x.*", "m.c2", "m.n2", "m.i2").alias("x")
     two = own.drop("g").alias("y")
     same = F.expr("x.t = y.t AND x.c2 = y.c AND x.n2 = y.n AND x.i2 = y.i")
     cross = one.join(two, same & _near("x", "y", percent))
