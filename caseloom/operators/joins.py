@@ -125,6 +125,24 @@ def score_pairs(cases: DataFrame, experts: Sequence, name: str = "expert") -> Da
     return cases.withColumn(name, F.explode(F.array(*[F.lit(e) for e in experts])))
 
 
+def rosters(rows: DataFrame, keys: Sequence[str], expert: str = "expert", model: str | int = MODEL) -> DataFrame:
+    """(keys, roster): the experts that occur under each key, sorted, without the classifier.
+
+    A key may have an empty roster; null experts are left out, a null key is a key.  A roster is as long as a team,
+    whatever the number of rows.
+    """
+    human = F.when(F.col(expert) != F.lit(model), F.col(expert))
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_set(human)).alias("roster"))
+
+
+def roster_pairs(cases: DataFrame, table: DataFrame, keys: Sequence[str], name: str = "expert") -> DataFrame:
+    """One row per case and expert of the roster of its key, so scenarios with other teams share one job.
+
+    ``table`` is that of :func:`rosters`; cases whose key has no roster or an empty one give no row.
+    """
+    return attach(cases, table, keys, "case_id").withColumn(name, F.explode("roster")).drop("roster")
+
+
 def expand_grid(rows: DataFrame, costs: Sequence[float], sub_costs: Sequence[float], sub: Column | str = "sub") -> DataFrame:
     """Scenario rows times cost ratios; training shares below 1 only under the allowed costs."""
     sub = F.col(sub) if isinstance(sub, str) else sub

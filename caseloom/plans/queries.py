@@ -298,6 +298,22 @@ def join_labels(spark, d):
     return r6(out, "weight")
 
 
+def scenario_rosters(spark, d):
+    """Cases of every segment with the experts seen on that segment in earlier months, all segments in one job."""
+    rows = inputs.cases(spark, d)
+    seen = (F.length("employment_status") + F.col("case_id") % 7) % 10
+    log = rows.filter(F.col("month").between(3, 6)).select("employment_status", seen.cast("int").alias("expert"))
+    team = joins.rosters(log, ["employment_status"], model=inputs.MODEL_EXPERT)
+    pairs = joins.roster_pairs(rows.filter(F.col("month") == 7), team, ["employment_status"])
+    k = F.col("expert")
+    out = pairs.groupBy("employment_status", "expert").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(inputs.expert_decision(k)).alias("n_rejected"),
+        F.avg(inputs.expert_probability(k)).alias("mean_p"),
+    )
+    return r6(out, "mean_p")
+
+
 def complementarity(spark, d):
     test = inputs.cases(spark, d).filter(F.col("month") == 7)
     out = metrics.complementarity(_correct(inputs.expert_pred(test)), [], inputs.EXPERTS)
@@ -698,7 +714,7 @@ QUERIES = {
         expert_correctness, model_confidence, logit_offset, result_filter, na_to_null, recode_labels,
         l2_normalize, round_report, report_cells, rebalance_ratio,
         lookup_join, batch_cases, capacity_remainder, case_expert_cross, decision_lookup, join_labels,
-        complementarity, win_rate,
+        scenario_rosters, complementarity, win_rate,
         confusion_by_expert, rates_by_expert, misclass_cost, cost_with_baseline, weighted_prevalence,
         fpr_disparity, train_outcome_shares, group_mean_nullkeys, mean_ci, weighted_log_loss, roc_auc,
         roc_curve, calibration_curve, ece, tpr_at_fpr, fpr_threshold, pct_improvement, sub_ablation,

@@ -367,6 +367,11 @@ FROM cases c JOIN orders o ON o.o_orderkey = c.case_id"""),
     "join_labels": f"""SELECT lang, source, count(*) AS n, CAST(sum(quality) AS BIGINT) AS n_quality, CAST(sum(toxic) AS BIGINT) AS n_toxic,
   round(sum(CASE WHEN toxic = 0 THEN {LAM} ELSE 1.0e0 END), 6) AS weight
 FROM documents JOIN labels USING (doc_id) GROUP BY lang, source""",
+    "scenario_rosters": _with(CASES, EXPERTS, PRED, """roster AS (
+  SELECT DISTINCT employment_status, (length(employment_status) + case_id % 7) % 10 AS expert FROM cases WHERE month BETWEEN 3 AND 6)""",
+        select="""SELECT r.employment_status, r.expert, count(*) AS n, CAST(sum(p.decision) AS BIGINT) AS n_rejected, round(avg(p.p_correct), 6) AS mean_p
+FROM roster r JOIN cases c ON c.employment_status = r.employment_status JOIN expert_pred p ON p.case_id = c.case_id AND p.expert = r.expert
+WHERE c.month = 7 AND r.expert <> 9 GROUP BY r.employment_status, r.expert"""),
     "complementarity": _with(CASES, EXPERTS, PRED, "t AS (SELECT case_id, expert, correct FROM scored_pred WHERE month = 7)",
         select="""SELECT a.expert, b.expert AS other,
   round(avg(CASE WHEN a.correct = 1 AND b.correct = 0 THEN 1.0e0 ELSE 0.0e0 END), 6) AS share

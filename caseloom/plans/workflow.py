@@ -37,7 +37,7 @@ class Settings:
     """What a run may vary; the defaults are the configured grid."""
 
     root: str
-    humans: Sequence[str]
+    humans: Sequence[str] | None = None  # the team of every scenario; None takes each scenario's own from its logs
     numeric: Sequence[str] | None = None  # numeric features; None takes every column of the applications without a role
     domains: dict[str, Sequence[str]] = field(default_factory=lambda: config.DOMAINS)
     costs: Sequence[float] = tuple(config.COSTS)
@@ -149,18 +149,20 @@ def train_expert_models(spark: SparkSession, s: Settings, methods: Sequence[str]
     grid = spark.read.parquet(s.path("decisions")).select(*GRID, "seed").distinct()
     named = grid.withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
     todo = tables.pending(named.select(*tables.STORE_KEYS), s.path("probabilities"), tables.STORE_KEYS)
+    team = rosters(spark, s)
     for scen, cost, method, seed in sorted(tuple(r) for r in todo.collect()):
         cases = spark.read.parquet(s.path("alerts")).filter(F.col("scen") == scen).drop("scen")
         here = (F.col("scen") == scen) & (F.col("cost") == cost)
         decided = spark.read.parquet(s.path("decisions")).filter(here & (F.col("seed") == seed)).drop(*GRID, "seed")
         log = learning.decision_log(decided.join(cases, "case_id"), cost)
         test = cases.filter(scalars.in_span(config.TIMESTAMP, *config.ALERT_SPANS["test"]))
-        params = _best_expert_params(s, log, method)
+        humans = team[scen, cost]
+        params = _best_expert_params(s, log, method, humans)
         if method == "joint":
-            model = learning.fit_joint(log, params, list(s.humans), s.domains, s.features)
-            pairs = learning.score_joint(test, model, list(s.humans))
+            model = learning.fit_joint(log, params, humans, s.domains, s.features)
+            pairs = learning.score_joint(test, model, humans)
         else:
-            models = learning.fit_one_vs_all(log, params, list(s.humans), s.domains, s.features)
+            models = learning.fit_one_vs_all(log, params, humans, s.domains, s.features)
             pairs = learning.score_one_vs_all(test, models, s.domains, s.features)
         own = spark.read.parquet(s.path("predictions")).filter(here & (F.col("expert") == joins.MODEL))
         pairs = learning.with_classifier(pairs, own.join(test.select("case_id"), "case_id"))
@@ -168,7 +170,13 @@ def train_expert_models(spark: SparkSession, s: Settings, methods: Sequence[str]
         tables.write_probabilities(pairs.withColumns(run), s.path("probabilities"))
 
 
-def _best_expert_params(s: Settings, log: DataFrame, method: str) -> dict | dict[str, dict]:
+def rosters(spark: SparkSession, s: Settings) -> dict[tuple[str, float], list[str]]:
+    """The team of every (scenario, cost): a few names for each scenario of the grid."""
+    found = joins.rosters(spark.read.parquet(s.path("decisions")), GRID, "assignment").collect()
+    return {(r["scen"], r["cost"]): list(r["roster"] if s.humans is None else s.humans) for r in found}
+
+
+def _best_expert_params(s: Settings, log: DataFrame, method: str, humans: Sequence[str]) -> dict | dict[str, dict]:
     """Settings with the lowest weighted log loss on the validation month.
 
     The joint model has one search; one-vs-all has one per expert.
@@ -188,8 +196,8 @@ def _best_expert_params(s: Settings, log: DataFrame, method: str) -> dict | dict
         return trials.orderBy("loss", "trial").first().asDict()
 
     if method == "joint":
-        return best(log, {**s.domains, "assignment": list(s.humans)})
-    return {e: best(log.filter(F.col("assignment") == e), s.domains) for e in s.humans}
+        return best(log, {**s.domains, "assignment": list(humans)})
+    return {e: best(log.filter(F.col("assignment") == e), s.domains) for e in humans}
 
 
 def _ledger(spark: SparkSession, s: Settings, name: str) -> ledger.RunLedger:
@@ -200,7 +208,7 @@ def run_deferral(spark: SparkSession, s: Settings) -> None:
     """Assignments of every policy, scenario, cost, seed and environment not done yet, in one job."""
     pattern = s.path("testbed/*/*/")
     batches = cut_lineage(_split_grid(testbed.read_batches(spark, pattern + "batches.csv", grid=True)))
-    caps = cut_lineage(_split_grid(testbed.read_capacity(spark, pattern + "capacity.csv", list(s.humans), grid=True)))
+    caps = cut_lineage(_split_grid(testbed.read_capacity(spark, pattern + "capacity.csv", s.humans, grid=True)))
     keys = [*GRID, "env"]
     stored = tables.read_probabilities(spark, s.path("probabilities"))
     beds = batches.select(*keys).distinct()

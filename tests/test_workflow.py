@@ -62,7 +62,7 @@ def test_workflow(spark, tmp_path):
     make_inputs(spark, root)
     small = {"max_depth": (2, 3, False), "n_estimators": (2, 2, False), "learning_rate": (0.2, 0.4, False)}
     s = workflow.Settings(
-        root, HUMANS, ["f1", "f2"], costs=[0.057], alert_space=small, classifier_spaces=[small], expert_space=small, trials=1, offsets=1
+        root, None, ["f1", "f2"], costs=[0.057], alert_space=small, classifier_spaces=[small], expert_space=small, trials=1, offsets=1
     )
     workflow.run(spark, s, ["score", "alerts"])
     scen = config.scenario_name(0.05)
