@@ -121,24 +121,26 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id")
     """Documents with matched later lines cut from ``text``, and ``n_removed_lines``; all columns pass through.
 
     Null and empty texts, blank lines and documents without an id stay as they are.  Rows repeated with one
-    id keep the same lines.  An empty table stays empty.
+    id keep the same lines.  An empty table stays empty.  Columns may have any names; one named ``n_removed_lines`` is
+    replaced.
     """
+    doc, bits, cut, stay_ = shared.unused(docs, "_doc", "_kept", "_lines", "_stay")
     kept = (
         surviving_lines(docs, percent, id_col)
         .groupBy("doc", F.expr("cast(line div 64 as int)").alias("block"))
         .agg(F.expr("bit_or(shiftleft(1L, line % 64))").alias("bits"))
-        .groupBy(F.col("doc").alias("_doc"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("block", "bits"))).alias("_kept"))
+        .groupBy(F.col("doc").alias(doc))
+        .agg(F.map_from_entries(F.collect_list(F.struct("block", "bits"))).alias(bits))
     )
-    rows = docs.join(kept, F.col(id_col).cast("long") == F.col("_doc"), "left")
+    rows = docs.join(kept, F.col(id_col).cast("long") == F.col(doc), "left")
     lines = F.split(F.col("text").cast("string"), "\n")
-    rows = rows.withColumn("_lines", lines)
+    rows = rows.withColumn(cut, lines)
     stay = F.expr(
-        "filter(_lines, (l, i) -> not l rlike '[^\\\\x20\\\\x09-\\\\x0D]'"
-        " or (shiftright(coalesce(try_element_at(_kept, cast(i div 64 as int)), 0L), i % 64) & 1L) = 1L)"
+        f"filter({cut}, (l, i) -> not l rlike '[^\\\\x20\\\\x09-\\\\x0D]'"
+        f" or (shiftright(coalesce(try_element_at({bits}, cast(i div 64 as int)), 0L), i % 64) & 1L) = 1L)"
     )
-    rows = rows.withColumn("_stay", F.when(F.col(id_col).isNull(), F.col("_lines")).otherwise(stay))
-    removed = F.coalesce(F.size("_lines") - F.size("_stay"), F.lit(0)).cast("long")
-    text = F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.array_join("_stay", "\n"))
+    rows = rows.withColumn(stay_, F.when(F.col(id_col).isNull(), F.col(cut)).otherwise(stay))
+    removed = F.coalesce(F.size(cut) - F.size(stay_), F.lit(0)).cast("long")
+    text = F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.array_join(stay_, "\n"))
     columns = [text.alias(c) if c == "text" else docs[c] for c in docs.columns if c != "n_removed_lines"]
     return rows.select(*columns, removed.alias("n_removed_lines"))

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.shared import words_expr
+from caseloom.llm.shared import unused, words_expr
 from caseloom.session import cut_lineage
 
 DOMAINS = ("clean", "poor", "toxic")
@@ -166,8 +166,12 @@ def copies(rate: str = "rate", id_col: str = "doc_id") -> Column:
 
 
 def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None) -> DataFrame:
-    """Documents with ``rate`` and ``copies``; those with no copy leave."""
-    rates = mix(docs, labels, targets, budget).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_id"), "rate")
+    """Documents with ``rate`` and ``copies``; those with no copy leave.
+
+    Columns of these two names are replaced, all others stay.
+    """
+    (key,) = unused(docs, "_id")
+    rates = mix(docs, labels, targets, budget).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias(key), "rate")
     own = docs.drop("rate", "copies")
-    out = own.join(rates, own["doc_id"].eqNullSafe(rates["_id"])).drop("_id")
+    out = own.join(rates, own["doc_id"].eqNullSafe(rates[key])).drop(key)
     return out.withColumn("copies", copies()).filter("copies > 0")

@@ -318,7 +318,11 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
-    """The document of the smallest id of each group, with its own columns; documents alone stay."""
+    """The document of the smallest id of each group, with its own columns, whatever their names; documents alone stay.
+
+    Null, empty and repeated rows as in :func:`similar_groups`: those without shingles or id stay, rows of one id stay or go together.
+    """
+    (leaves,) = shared.unused(docs, "_gone")
     groups = similar_groups(docs, k, percent, id_col)
-    gone = groups.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).cast("long").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    gone = groups.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).cast("long").alias(leaves)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(leaves), "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from caseloom.llm import quality_rules
+
 #: Null conversations are told apart by ``IS NOT DISTINCT FROM``; states are 0 start, 1 system, 2 user, 3 assistant.
 TURN_REPAIR = r"""
 WITH RECURSIVE
@@ -114,4 +116,39 @@ FROM coded JOIN kept USING (vec_id), books
 """
 
 
-SQL: dict[str, str] = {"op12_vector_codes": _vector_codes(), "op13_turn_repair": TURN_REPAIR}
+def _quality_rules() -> str:
+    """Base counts and the threshold table; a window is its words with a space between."""
+    word = r"[^\x20\x09-\x0D]"
+    limits = []
+    for r in quality_rules.RULES:
+        top, bottom = r.metric.split(" / ")
+        value = f"CASE WHEN n_words > 0 THEN CAST({top} AS DOUBLE) / {bottom} ELSE 0 END"
+        sides = [f"{value} < {r.low}::DOUBLE"] * (r.low is not None) + [f"{value} > {r.high}::DOUBLE"] * (r.high is not None)
+        limits.append(f"(n_words >= {r.min_words} AND ({' OR '.join(sides)}))")
+    around = quality_rules.AROUND.replace("'", "''")
+    stop = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
+    return f"""
+WITH cut AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '{word}')) AS lines
+  FROM documents),
+grams AS (
+  SELECT r, i, array_to_string(words[i:i + 4], ' ') AS g FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM cut) x),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM grams) x WHERE n > 1),
+hit AS (
+  SELECT r, CAST(sum(least(5, coalesce(i - before, 5))) AS BIGINT) AS n
+  FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM twice) x GROUP BY r),
+counts AS (
+  SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(hit.n, 0) AS n_repeat_words,
+         len(list_filter(words, lambda w: trim(translate(w, '{quality_rules.UPPER}', '{quality_rules.LOWER}'), '{around}') IN ({stop}))) AS n_stop_words
+  FROM cut LEFT JOIN hit USING (r)),
+based AS (SELECT *, {quality_rules.BASE} AS base_failed FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT ({' OR '.join(limits)}) AS kept
+FROM based
+"""
+
+
+SQL: dict[str, str] = {"op8_quality_rules": _quality_rules(), "op12_vector_codes": _vector_codes(), "op13_turn_repair": TURN_REPAIR}

@@ -17,10 +17,16 @@ STOP_WORDS = (
     "der die das und zu den von mit ist nicht ein eine "
     "el los las y del por con para se es"
 ).split()
+#: Letters by case.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What may surround a stop word.
+AROUND = ".,;:!?()[]{}<>\"'`*_-"
 #: The characters counted as symbols.
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -43,8 +49,14 @@ RULES = (
 )
 
 
+def plain(word: Column) -> Column:
+    """A word as the stop words are written: A-Z in lower case, without punctuation around it."""
+    return F.btrim(F.translate(word, UPPER, LOWER), F.lit(AROUND))
+
+
 def measures(docs: DataFrame) -> DataFrame:
-    """Counts of every document beside its columns; existing columns of these names are replaced."""
+    """Counts of every document beside its columns; existing columns of these names are replaced, others stay."""
+    old, docs = docs.columns, docs.select(F.struct("*").alias("_row"), "text")
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumns(
         {
@@ -64,7 +76,7 @@ def measures(docs: DataFrame) -> DataFrame:
             "n_words": F.size("_words").cast("long"),
             "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_stop_words": F.size(F.filter("_words", lambda w: F.array_contains(stop, w))).cast("long"),
+            "n_stop_words": F.size(F.filter("_words", lambda w: F.array_contains(stop, plain(w)))).cast("long"),
             "_windows": windows,
         }
     )
@@ -81,7 +93,8 @@ def measures(docs: DataFrame) -> DataFrame:
     out = out.withColumn("_at", F.sort_array(F.transform(twice, lambda s: s["i"]))).drop("_sorted")
     fresh = F.transform("_at", lambda p, j: F.when(j == 0, WINDOW).otherwise(F.least(F.lit(WINDOW), p - F.get("_at", j - 1))))
     covered = F.aggregate(fresh, F.lit(0), lambda a, x: a + x)
-    return out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_words", "_lines", "_at")
+    out = out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
+    return out.select(*[F.col("_row")[c].alias(c) for c in old if c.lower() not in COUNTS], *COUNTS)
 
 
 def compiled(rules: tuple[Rule, ...]) -> list[Column]:
