@@ -5,14 +5,25 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
+from urllib.parse import urlparse
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
 # Scratch folders of local sessions, removed when the process ends.
 _SCRATCH: list[tempfile.TemporaryDirectory] = []
 
+# Folder of each table that cut lineage, as long as its DataFrame lives.
+_TABLES: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def use_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for checkpoints: the one the cluster names, a scratch one only in local mode.
@@ -33,14 +44,55 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside give back their shuffle files as they end.
+
+    Without it the files stay until the driver happens to collect the plan, so a chain of jobs holds the shuffles of all.
+    """
+    before = spark.conf.get(_RELEASE, "false")
+    spark.conf.set(_RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_RELEASE, before)
+
+
+def cut_lineage(df: DataFrame, *used: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and go on from that table.
 
-    Columnar, so later steps read only their columns, and its measured size guides later joins.
+    Columnar, so later steps read only their columns, and its measured size guides later joins.  Its shuffle files are
+    released with the write: a lost executor costs nothing that the table does not hold.  ``used`` are earlier tables
+    that nothing else reads; they are dropped once the new one is whole.
+    """
+    spark = df.sparkSession
+    path = f"{use_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    with shuffles_released(spark):
+        df.write.parquet(path)
+    drop_tables(*used)
+    out = spark.read.schema(df.schema).parquet(path)
+    _TABLES[out] = path
+    return out
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Remove tables of :func:`cut_lineage` whose last reader has ended; any other DataFrame is left alone.
+
+    A folder that pyarrow cannot reach stays: it costs room, never a result.
     """
-    path = f"{use_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for table in tables:
+        path = _TABLES.pop(table, None)
+        if path is None:
+            continue
+        got = urlparse(path)
+        if got.scheme in ("", "file"):
+            shutil.rmtree(got.path, ignore_errors=True)
+            continue
+        try:
+            store, top = fs.FileSystem.from_uri(path)
+            store.delete_dir(top)
+        except (OSError, pa.ArrowException):
+            pass
 
 
 def ship_package(spark: SparkSession) -> None:
