@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm import shared
-from caseloom.session import cut_lineage
+from caseloom.session import cut_lineage, shuffles_released
 
 PERCENT = 80
 #: Slots of the rarity table and bits of the candidate table, both fixed bounds of what tasks are sent.
@@ -41,7 +41,8 @@ def _rarity(docs: DataFrame) -> bytes:
 
 def _sets(docs: DataFrame, id_col: str, percent: int) -> DataFrame:
     """First line of each distinct set: ``doc, line, n, sig`` and the prefix words in order of rarity."""
-    rarity = F.lit(bytearray(_rarity(docs)))
+    with shuffles_released(docs.sparkSession):
+        rarity = F.lit(bytearray(_rarity(docs)))
     words = shared.words_expr(F.col("l"))
     rows = _lines(docs, id_col).select("doc", "line", F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))).alias("h"))
     rows = rows.filter(F.size("h") > 0)
@@ -73,17 +74,19 @@ def _may_match(a: str, b: str, percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, percent: int) -> DataFrame:
-    """Pairs (doc, line, doc0, line0) whose word sets match; only the lines of pairs are fetched."""
+    """Lines (doc, line) of pairs (doc, line, doc0, line0) whose word sets match; only the lines of pairs are fetched."""
     ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc0").alias("doc"), F.col("line0").alias("line")))
     ends = ends.withColumn("h", F.xxhash64("doc", "line"))
-    bits = shared.bit_table(ends, "h", CANDIDATE_BITS)
+    with shuffles_released(docs.sparkSession):
+        bits = shared.bit_table(ends, "h", CANDIDATE_BITS)
     texts = _lines(docs, id_col).withColumn("h", F.xxhash64("doc", "line")).filter(shared.maybe_in(bits, "h"))
     texts = texts.join(ends.select("doc", "line").distinct(), ["doc", "line"], "left_semi").dropDuplicates(["doc", "line"])
     texts = cut_lineage(texts.select("doc", "line", F.array_distinct(shared.words_expr(F.col("l"))).alias("words")))
     earlier = texts.select(F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.col("words").alias("words0"))
     both = pairs.join(texts, ["doc", "line"]).join(earlier, ["doc0", "line0"])
     common = F.size(F.array_intersect("words", "words0"))
-    return both.filter(100 * common >= percent * (F.size("words") + F.size("words0") - common)).select("doc", "line")
+    matched = both.filter(100 * common >= percent * (F.size("words") + F.size("words0") - common))
+    return cut_lineage(matched.select("doc", "line").distinct(), texts, pairs)
 
 
 def surviving_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id") -> DataFrame:
@@ -96,8 +99,7 @@ def surviving_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     led = led.filter((F.col("first.doc") != F.col("doc")) | (F.col("first.line") != F.col("line")))
     led = led.alias("b").filter(_may_match("b", "first", percent))
     led = led.select("doc", "line", F.col("first.doc").alias("doc0"), F.col("first.line").alias("line0"))
-    led = cut_lineage(led.distinct())
-    gone = cut_lineage(_verified(led, docs, id_col, percent).distinct())
+    gone = _verified(cut_lineage(led.distinct()), docs, id_col, percent)
 
     open_ = sets.join(gone.withColumn("open", F.lit(0)), ["doc", "line"], "left").withColumn("open", F.coalesce("open", F.lit(1)))
     rows = open_.select("doc", "line", "n", "sig", "open", F.posexplode("prefix").alias("i", "t")).withColumn("i", F.col("i") + 1)
@@ -112,9 +114,9 @@ def surviving_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     standing = F.expr("b.open * (a.i + a.open) > 0")
     pairs = dealt.alias("a").join(dealt.alias("b"), F.expr("a.t = b.t") & standing & order & either & _may_match("a", "b", percent))
     pairs = pairs.select("b.doc", "b.line", F.expr("a.doc AS doc0"), F.expr("a.line AS line0"))
-    pairs = cut_lineage(pairs.distinct())
-    gone = gone.unionByName(_verified(pairs, docs, id_col, percent)).distinct()
-    return sets.select("doc", "line").join(gone, ["doc", "line"], "left_anti")
+    more = _verified(cut_lineage(pairs.distinct()), docs, id_col, percent)
+    both = gone.unionByName(more).distinct()
+    return cut_lineage(sets.select("doc", "line").join(both, ["doc", "line"], "left_anti"), sets, gone, more)
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id") -> DataFrame:
