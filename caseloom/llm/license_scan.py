@@ -173,11 +173,11 @@ class Weights:
             self.vectors.append((t.kind, t.license, {w: x / norm for w, x in raw.items()}))
 
     def keys(self, kind: str, threshold: float) -> list[str]:
-        """Words of which a unit needs at least one: the rest of a template cannot reach the threshold."""
+        """Words of which a unit needs at least one: the others of a template, its most frequent ones, cannot reach the threshold."""
         out = set()
         for own, _, vector in self.vectors:
             rest = 0.0
-            for w, x in sorted(vector.items(), key=lambda e: (e[1], e[0])) if own == kind else ():
+            for w, x in sorted(vector.items(), key=lambda e: (self.idf[e[0]], e[0])) if own == kind else ():
                 rest += x * x
                 if math.sqrt(rest) >= threshold - 1e-9:
                     out.add(w)
@@ -241,7 +241,7 @@ def units(files: DataFrame, weights: Weights, threshold: float = THRESHOLD) -> D
 def notices(files: DataFrame, weights: Weights, threshold: float = THRESHOLD) -> DataFrame:
     """Best notice of each file that has one: ``id, license, similarity, line, unit``; of equal ones the first line and template."""
     key = ["id", "kind", "line", "nth"]
-    found = units(files, weights, threshold).withColumn("nth", F.xxhash64("l"))
+    found = cut_lineage(units(files, weights, threshold).withColumn("nth", F.xxhash64("l")))
     words = found.select(*key, F.explode(_words_of(F.col("l"))).alias("w"))
     words = words.groupBy(*key, "w").agg(F.count("*").alias("tf"))
     spark = files.sparkSession
