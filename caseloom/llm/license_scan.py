@@ -206,27 +206,36 @@ def header_of(text: Column) -> Column:
     return F.array_join(F.filter(block, lambda x: ~x.rlike(_COPYRIGHT)), "\n")
 
 
+def _any_of(keys: set[str]) -> str:
+    """Pattern of any of the words, alternatives parted by their first letter so that few are tried at each place."""
+    firsts = sorted({w[0] for w in keys})
+    return "|".join(f"{c}(?:{'|'.join(re.escape(w[1:]) for w in sorted(keys) if w[0] == c)})" for c in firsts)
+
+
 def units(files: DataFrame, weights: Weights, threshold: float = THRESHOLD) -> DataFrame:
     """``id, kind, line, l`` of all units that may reach the threshold; ``line`` is 0 for headers and files."""
 
-    def may(kind: str, text: Column) -> Column:
-        keys = "|".join(re.escape(w) for w in weights.keys(kind, threshold))
-        return F.lower(text).rlike(rf"(?<![a-z0-9])({keys})(?![a-z0-9])") if keys else F.lit(False)
+    def may(kinds: tuple[str, ...], text: Column) -> Column:
+        keys = _any_of({w for k in kinds for w in weights.keys(k, threshold)})
+        return F.lower(text).rlike(rf"(?<![a-z0-9])(?:{keys})(?![a-z0-9])") if keys else F.lit(False)
 
-    found = files.withColumn("may", may("line", F.col("text")))
+    # Most texts hold no key word of any kind and are read by this one pattern only.
+    tagged_text = F.lower("text").contains("spdx-license-identifier")
+    found = files.filter(may(("line", "header", "file"), F.col("text")) | tagged_text)
+    found = found.withColumn("may", may(("line",), F.col("text")))
     body = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~x.rlike(_COPYRIGHT)), "\n")
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     lines = F.when(F.col("may"), F.split("text", "\n")).otherwise(F.array().cast("array<string>"))
-    lines = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("l"))), lambda s: may("line", s["l"]))
+    lines = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("l"))), lambda s: may(("line",), s["l"]))
     tags = F.regexp_extract_all("text", F.lit(_SPDX), F.lit(1))
     tagged = F.transform(tags, lambda x, i: F.struct(F.lit(0).alias("line"), x.alias("l")))
     one = lambda x, keep: F.when(keep, F.array(F.struct(F.lit(0).alias("line"), x.alias("l"))))
     header = header_of(F.col("text"))
     kinds = {
         "line": lines,
-        "spdx": F.when(F.col("text").rlike("(?i)SPDX-License-Identifier"), tagged),
-        "header": one(header, may("header", F.col("text")) & may("header", header)),
-        "file": one(body, name.rlike(LICENSE_FILE) & may("file", F.col("text"))),
+        "spdx": F.when(tagged_text, tagged),
+        "header": one(header, may(("header",), F.col("text")) & may(("header",), header)),
+        "file": one(body, name.rlike(LICENSE_FILE) & may(("file",), F.col("text"))),
     }
     none = F.array().cast("array<struct<kind:string,line:int,l:string>>")
 
