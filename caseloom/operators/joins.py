@@ -152,8 +152,12 @@ def expand_grid(rows: DataFrame, costs: Sequence[float], sub_costs: Sequence[flo
 
 
 def chosen_decision(assigned: DataFrame, predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Decision of the assigned expert: a two-key lookup on (case, expert)."""
-    return assigned.join(predictions, [*keys, "case_id", "expert"], "left")
+    """Decision of the assigned expert: a two-key lookup on (case, expert).
+
+    Pairs may be expanded from few bytes of cases, which the planner would take for a small table and send whole to every
+    task; so both sides are dealt by key.
+    """
+    return assigned.join(predictions.hint("merge"), [*keys, "case_id", "expert"], "left")
 
 
 def pending_work(grid: DataFrame, done: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -173,3 +173,12 @@ def test_short_batches_get_capacities_in_proportion(spark):
     total = 3 * 10**9 - 5
     some = joins.fit_capacities(huge, spark.createDataFrame([(1, total)], "batch int, n_cases long"))
     assert sum(r["capacity"] for r in some.collect()) == total
+
+
+def test_expanded_pairs_are_never_sent_whole_to_the_tasks(spark):
+    cases = spark.range(1000).select(F.col("id").alias("case_id"))
+    pairs = joins.score_pairs(cases, EXPERTS).withColumn("decision", F.lit(1))
+    plan = joins.chosen_decision(deferral.one_expert(cases, EXPERTS[1]), pairs, [])
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in text and "ShuffledHashJoin" not in text
+    assert plan.filter("decision = 1").count() == 1000
