@@ -2,26 +2,31 @@
 
 Long tables: ``pred(keys, batch, pos, case_id, expert, p_correct)`` and
 ``caps(keys, batch, expert, capacity)``.  (keys, batch) is the unit of work.  A batch of ordinary
-size is settled inside one task; a batch above ``limit`` rows is settled by a Spark job over all
+size is settled inside one task, many of them at once; a batch above ``limit`` rows is settled by a Spark job over all
 its rows, with the same result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from caseloom.functions.transport import assign_in_order
 from caseloom.operators import sampling
 from caseloom.operators.joins import attach
-from caseloom.session import cut_lineage
+from caseloom.session import cut_lineage, shuffle_width
 
 GROUP_ROWS = 1_000_000
+#: Rows settled by one call and rows of one task; whole batches only, so a large batch may exceed both.
+CHUNK_ROWS = 20_000
+TASK_ROWS = 500_000
 POS_BUCKETS = 1024
 AUTO_REJECT = "auto-reject"
 
@@ -60,17 +65,13 @@ def random_under_capacity(
 # --- batches settled inside a task --------------------------------------------------------
 
 
-def square(pred: pd.DataFrame, caps: pd.DataFrame, value: str):
-    """(rows of the batch in order, matrix rows x experts, experts, capacities) of experts with room."""
-    caps = caps[caps["capacity"] > 0].sort_values("expert")
-    experts = caps["expert"].to_numpy()
-    pred = pred[pred["expert"].isin(experts)].sort_values(["pos", "expert"], kind="stable")
-    if len(experts) == 0:
-        return pred.iloc[:0], np.empty((0, 0)), experts, np.empty(0, dtype=np.int64)
-    if len(pred) % len(experts) or (pred["expert"].to_numpy().reshape(-1, len(experts)) != experts).any():
+def square(values: np.ndarray, experts: np.ndarray, team: np.ndarray) -> np.ndarray:
+    """Matrix cases x experts of the rows of a batch in order, for the experts with room."""
+    if len(team) == 0:
+        return np.empty((0, 0))
+    if len(experts) % len(team) or (experts.reshape(-1, len(team)) != team).any():
         raise ValueError("every case needs one row per expert with room")
-    rows = pred.iloc[:: len(experts)]
-    return rows, pred[value].to_numpy().reshape(-1, len(experts)), experts, caps["capacity"].to_numpy(dtype=np.int64)
+    return values.reshape(-1, len(team))
 
 
 def _output(pred: DataFrame, keys: Sequence[str], extra: Sequence[T.StructField] = ()) -> T.StructType:
@@ -83,15 +84,89 @@ def cogrouped(cases: DataFrame, side: DataFrame, group: Sequence[str]):
     return cases.groupBy(*group).cogroup(side.toDF(*side.columns).groupBy(*group))
 
 
-def split_by_size(pred: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """(ordinary batches, batches above the limit or None)."""
+def split_by_size(pred: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, int, DataFrame | None]:
+    """(ordinary batches, their number of rows, batches above the limit or None)."""
     group = [*keys, "batch"]
-    large = pred.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).drop("_n")
-    if large.isEmpty():
-        return pred, None
-    large = cut_lineage(large)
-    usual = attach(pred, large, group, "case_id", "left_anti", written=True)
-    return usual, attach(pred, large, group, "case_id", "left_semi", written=True)
+    sized = pred.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    usual = F.when(F.col("_n") <= limit, F.col("_n"))
+    rows, most = sized.agg(F.coalesce(F.sum(usual), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    if most <= limit:
+        return pred, rows, None
+    large = cut_lineage(sized.filter(F.col("_n") > limit).drop("_n"))
+    few = attach(pred, large, group, "case_id", "left_anti", written=True)
+    return few, rows, attach(pred, large, group, "case_id", "left_semi", written=True)
+
+
+def _coded(left: pa.Table, right: pa.Table, name: str) -> tuple[np.ndarray, pa.Array]:
+    """Places of the values of a column of both tables among its sorted distinct values, null last; the values."""
+    both = pa.concat_arrays([*left[name].chunks, *right[name].chunks]).dictionary_encode(null_encoding="encode")
+    order = pc.sort_indices(both.dictionary).to_numpy()
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return place[both.indices.to_numpy()], both.dictionary.take(pa.array(order))
+
+
+def settle_in_tasks(
+    usual: DataFrame, n_rows: int, caps: DataFrame, keys: Sequence[str], value: str, rule: Callable, extra: Sequence[T.StructField] = ()
+) -> DataFrame:
+    """Ordinary batches, dealt to tasks in chunks of whole batches.
+
+    A call settles about ``CHUNK_ROWS`` rows and a task takes about ``TASK_ROWS``, so a larger table gives more tasks, not
+    larger ones.  ``rule(values, room, n_cases)`` returns the place of the expert of each case (-1: none) and the values of
+    ``extra`` per expert; no rows of experts with room mean that nobody gets a case.
+    """
+    group = [*keys, "batch"]
+    schema = _output(usual, keys, extra)
+    chunks = max(1, -(-n_rows // CHUNK_ROWS))
+    tasks = max(min(shuffle_width(usual.sparkSession), chunks), -(-n_rows // TASK_ROWS))
+    # Equal values of other types would be dealt to other chunks.
+    alike = [F.col(c).cast(usual.schema[c].dataType).alias(c) for c in [*group, "expert"]]
+    room = caps.filter(F.col("capacity") > 0).select(*alike, F.col("capacity").cast("long").alias("capacity"))
+    room = room.toDF(*room.columns)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_chunk", F.pmod(F.xxhash64(*group), F.lit(chunks))).repartition(tasks, "_chunk")
+
+    def settle(cases: pa.Table, room: pa.Table) -> pa.Table:
+        n = cases.num_rows
+        batch = np.zeros(n + room.num_rows, dtype=np.int64)
+        for c in group if len(batch) else []:
+            code, values = _coded(cases, room, c)
+            batch = np.unique(batch * len(values) + code, return_inverse=True)[1].reshape(-1)
+        if n == 0:
+            return pa.Table.from_batches([], to_arrow_schema(schema))
+        expert, names = _coded(cases, room, "expert")
+        pos, case_, amount = cases["pos"].to_numpy(), _coded(cases, cases.slice(0, 0), "case_id")[0], cases[value].to_numpy()
+        order = np.lexsort((expert[n:], batch[n:]))
+        team_batch, team, free = batch[n:][order], expert[n:][order], room["capacity"].to_numpy()[order]
+        batch, expert = batch[:n], expert[:n]
+        whole = np.argsort(batch, kind="stable")
+        rows = np.flatnonzero(np.isin(batch * len(names) + expert, team_batch * len(names) + team))
+        rows = rows[np.lexsort((expert[rows], pos[rows], batch[rows]))]
+        ids = np.unique(batch)
+        ends = [(np.searchsorted(x, ids), np.searchsorted(x, ids, "right")) for x in (batch[whole], batch[rows], team_batch)]
+        taken, chosen, added = [], [], [[] for _ in extra]
+        for (a0, a1), (r0, r1), (t0, t1) in zip(*[zip(*e) for e in ends]):
+            mine, experts = rows[r0:r1], team[t0:t1]
+            matrix = square(amount[mine], expert[mine], experts)
+            every = whole[a0:a1]
+            first = every[np.unique(case_[every], return_index=True)[1]]
+            choice, per_expert = rule(matrix, free[t0:t1], len(first))
+            if len(matrix) == 0:
+                taken.append(first)
+                chosen.append(np.full(len(first), -1))
+                continue
+            taken.append(mine[:: len(experts)])
+            chosen.append(np.where(choice >= 0, experts[choice], -1))
+            for into, x in zip(added, per_expert):
+                into.append(x[choice])
+        at, who = np.concatenate(taken), np.concatenate(chosen)
+        out = {c: cases[c].take(pa.array(at)) for c in schema.names if c in cases.column_names}
+        out["expert"] = names.take(pa.array(who, mask=who < 0))
+        out |= {f.name: pa.array(np.concatenate(x)) for f, x in zip(extra, added)}
+        return pa.table({c: out[c] for c in schema.names})
+
+    return dealt(usual).groupBy("_chunk").cogroup(dealt(room).groupBy("_chunk")).applyInArrow(settle, schema)
 
 
 def greedy(pred: DataFrame, caps: DataFrame, keys: Sequence[str] = (), limit: int = GROUP_ROWS) -> DataFrame:
@@ -100,20 +175,8 @@ def greedy(pred: DataFrame, caps: DataFrame, keys: Sequence[str] = (), limit: in
     pred = pred.select(*group, "pos", "case_id", "expert", "p_correct")
     caps = caps.select(*group, "expert", "capacity")
     schema = _output(pred, keys)
-    usual, large = split_by_size(pred, keys, limit)
-
-    def settle(cases: pd.DataFrame, room: pd.DataFrame) -> pd.DataFrame:
-        first = cases.drop_duplicates("case_id").sort_values("pos")
-        rows, p, experts, free = square(cases, room, "p_correct")
-        if len(rows) == 0:
-            return first.assign(expert=None)[schema.names]
-        choice = assign_in_order(p, free)
-        names = pd.Series(experts).reindex(choice).where(choice >= 0)
-        if names.notna().all():
-            names = names.astype(experts.dtype)
-        return rows.assign(expert=names.to_numpy())[schema.names]
-
-    out = cogrouped(usual, caps, group).applyInPandas(settle, schema)
+    usual, n_rows, large = split_by_size(pred, keys, limit)
+    out = settle_in_tasks(usual, n_rows, caps, keys, "p_correct", lambda p, free, _: (assign_in_order(p, free), []))
     if large is None:
         return out
     return out.unionByName(greedy_spread(large, caps, keys).select(*schema.names))

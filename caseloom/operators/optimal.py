@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from caseloom.functions.hashing import HASH_SPAN, seeded_hash
 from caseloom.functions.transport import assign_exact, canonical_flow, canonical_prices, tight_flow
 from caseloom.operators import ordering
-from caseloom.operators.deferral import GROUP_ROWS, _output, cogrouped, split_by_size, square
+from caseloom.operators.deferral import GROUP_ROWS, _output, cogrouped, settle_in_tasks, split_by_size
 from caseloom.operators.joins import attach
 from caseloom.session import cut_lineage
 
@@ -47,18 +47,17 @@ def optimal(pred: DataFrame, caps: DataFrame, keys: Sequence[str] = (), limit: i
     pred = pred.select(*group, "pos", "case_id", "expert", error_cost("p_correct").alias("_cost"))
     caps = caps.select(*group, "expert", "capacity")
     schema = _output(pred, keys, [T.StructField("price", T.LongType())])
-    usual, large = split_by_size(pred, keys, limit)
+    usual, n_rows, large = split_by_size(pred, keys, limit)
 
-    def settle(cases: pd.DataFrame, room: pd.DataFrame) -> pd.DataFrame:
-        if cases.empty:
-            return pd.DataFrame(columns=schema.names)
-        rows, costs, experts, free = square(cases, room, "_cost")
-        if free.sum() != cases["case_id"].nunique():
+    def settle(costs: np.ndarray, free: np.ndarray, n_cases: int):
+        if free.sum() != n_cases:
             raise ValueError(f"capacities add up to {free.sum()}, not to the cases of the batch")
-        choice, prices = assign_exact(costs, free)
-        return rows.assign(expert=experts[choice], price=prices[choice])[schema.names]
+        if np.isnan(costs).any():
+            raise ValueError("every case needs a cost per expert with room")
+        choice, prices = assign_exact(costs.astype(np.int64), free)
+        return choice, [prices]
 
-    out = cogrouped(usual, caps, group).applyInPandas(settle, schema)
+    out = settle_in_tasks(usual, n_rows, caps, keys, "_cost", settle, [T.StructField("price", T.LongType())])
     if large is None:
         return out
     return out.unionByName(optimal_spread(large, caps, keys).select(*schema.names))

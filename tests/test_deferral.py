@@ -182,3 +182,23 @@ def test_expanded_pairs_are_never_sent_whole_to_the_tasks(spark):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in text and "ShuffledHashJoin" not in text
     assert plan.filter("decision = 1").count() == 1000
+
+
+@pytest.mark.parametrize("rows", [(1, 1), (100, 50), (10**6, 10**6)])
+def test_batches_may_be_dealt_in_any_chunks(spark, monkeypatch, rows):
+    monkeypatch.setattr(deferral, "CHUNK_ROWS", rows[0])
+    monkeypatch.setattr(deferral, "TASK_ROWS", rows[1])
+    sizes, caps = [5, 1, 12, 9, 3, 7], [[2, 1, 2, 0], [0, 0, 0, 1], [3, 3, 3, 3], [9, 0, 0, 0], [1, 1, 0, 1], [4, 1, 1, 1]]
+    pred, cap, frame = bed(spark, sizes, seed=4, levels=3, caps=caps)
+    wide = cap.withColumn("batch", F.col("batch").cast("int"))
+    got = deferral.greedy(pred, wide, ["seed"])
+    assert assignments(got) == expected_greedy(frame, caps) and got.rdd.getNumPartitions() >= (37 * 4) // rows[1]
+    # One whose key is null, one without capacities, one whose capacities are all zero.
+    null = pred.withColumn("batch", F.when(F.col("batch") != 3, F.col("batch")).cast("long"))
+    some = pred.filter("batch = 3").withColumn("batch", F.lit(None).cast("long"))
+    room = cap.filter("batch = 3").withColumn("batch", F.lit(None).cast("long"))
+    others = cap.filter("batch NOT IN (3, 5)").withColumn("capacity", F.when(F.col("batch") == 2, 0).otherwise(F.col("capacity")))
+    out = assignments(deferral.greedy(null.filter("batch IS NOT NULL").unionByName(some), others.unionByName(room), ["seed"]))
+    want = expected_greedy(frame, caps)
+    ids = {b: set(frame[frame["batch"] == b]["case_id"]) for b in (2, 5)}
+    assert out == {c: None if c in ids[2] | ids[5] else e for c, e in want.items()}
