@@ -673,26 +673,26 @@ def _grid(spark, d):
     return rows, per_env, pred, cap
 
 
-def _grid_decisions(spark, d, methods) -> tuple[DataFrame, DataFrame]:
-    """Decisions of the methods, every seed and environment in one frame, and the cases."""
+def _grid_decisions(spark, d, methods) -> DataFrame:
+    """Decisions of the methods with the label and age of their case, every seed and environment in one frame."""
     rows, per_env, pred, cap = _grid(spark, d)
     assigned = policies.run_policies(per_env, pred, cap, ["env"], inputs.MODEL_EXPERT, methods)
-    labelled = assigned.join(rows.select("case_id", "fraud_bool"), "case_id")
+    labelled = assigned.join(rows.select("case_id", "fraud_bool", "customer_age").hint("merge"), "case_id")
     own = inputs.expert_decision(F.col("expert"))
-    return labelled.withColumn("prediction", F.when(F.col("method") == "reject_all", 1).otherwise(own)).drop("fraud_bool"), rows
+    return labelled.withColumn("prediction", F.when(F.col("method") == "reject_all", 1).otherwise(own))
 
 
 def deferral_grid(spark, d):
-    decisions, _ = _grid_decisions(spark, d, inputs.METHODS)
+    decisions = _grid_decisions(spark, d, inputs.METHODS)
     return decisions.groupBy("method", "seed", "env", "expert").agg(
         F.count(F.lit(1)).alias("n"), F.sum("prediction").alias("n_rejected")
     )
 
 
 def _evaluated_grid(spark, d, methods):
-    decisions, rows = _grid_decisions(spark, d, methods)
+    decisions = _grid_decisions(spark, d, methods)
     runs = decisions.withColumn("scen", F.lit(GRID_SCEN)).withColumn("cost", F.lit(LAMBDA))
-    out = evaluation.evaluate_runs(runs, rows)
+    out = evaluation.evaluate_runs(runs)
     return r6(out, "n_errors", "tpr", "fpr", "fpr_disp", "cost_per_100")
 
 
