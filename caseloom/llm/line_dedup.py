@@ -9,7 +9,8 @@ matches it; matches are judged on the input.  Words are ordered by rarity (a cla
    of variants end here with one comparison a member.
 3. Lines still standing meet all earlier lines that share a prefix word, under the length filter, the positional
    filter and a bound from a 64-bit parity signature (each differing word flips at most one bit).
-4. Candidates are verified on their words.
+4. Candidates are judged by a parity signature of 256 bits of their words, which long lines need, and what is left is
+   verified on the words.
 """
 
 from __future__ import annotations
@@ -73,6 +74,21 @@ def _may_match(a: str, b: str, percent: int) -> Column:
     )
 
 
+def _close(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose word sets may match by their sizes and parity signatures of 256 bits; no pair that matches is lost.
+
+    64 bits say nothing of sets of a hundred words and more.  Signatures travel with the pairs here, words do not.
+    """
+    h = texts.select("doc", "line", F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    part = "aggregate(h, 0L, (a, x) -> if(((x >> 6) & 3) = {0}, a ^ shiftleft(1L, cast((x >> 8) & 63 as int)), a)) AS s{0}"
+    ends = h.selectExpr("doc", "line", "n", *[part.format(k) for k in range(4)])
+    earlier = ends.toDF(*[f"{c}0" for c in ends.columns])
+    both = pairs.join(ends, ["doc", "line"]).join(earlier, ["doc0", "line0"])
+    apart = " + ".join(f"bit_count(s{k} ^ s{k}0)" for k in range(4))
+    both = both.filter(f"{apart} <= n + n0 - 2 * ceil({percent} * (n + n0) / {100 + percent})")
+    return both.select("doc", "line", "doc0", "line0")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, percent: int) -> DataFrame:
     """Lines (doc, line) of pairs (doc, line, doc0, line0) whose word sets match; only the lines of pairs are fetched."""
     ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc0").alias("doc"), F.col("line0").alias("line")))
@@ -82,6 +98,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, percent: int) -> D
     texts = _lines(docs, id_col).withColumn("h", F.xxhash64("doc", "line")).filter(shared.maybe_in(bits, "h"))
     texts = texts.join(ends.select("doc", "line").distinct(), ["doc", "line"], "left_semi").dropDuplicates(["doc", "line"])
     texts = cut_lineage(texts.select("doc", "line", F.array_distinct(shared.words_expr(F.col("l"))).alias("words")))
+    pairs = cut_lineage(_close(pairs, texts, percent), pairs)
     earlier = texts.select(F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.col("words").alias("words0"))
     both = pairs.join(texts, ["doc", "line"]).join(earlier, ["doc0", "line0"])
     common = F.size(F.array_intersect("words", "words0"))

@@ -50,3 +50,16 @@ def test_windows_repeat_history_across_stretches(spark, step):
                 seen += texts[repeated:]
             assert seen == list(said.values())
             assert {w["stretch"] for w in windows} == {0, 1, 2}
+
+
+def test_long_lines_that_cannot_match_are_told_by_their_signatures(spark):
+    from caseloom.llm import line_dedup
+
+    base = [f"w{i}" for i in range(300)]
+    lines = [base, base[:-30] + [f"x{i}" for i in range(30)], ["w0", *[f"y{i}" for i in range(299)]]]
+    texts = spark.createDataFrame([(1, k, words) for k, words in enumerate(lines)], "doc long, line int, words array<string>")
+    pairs = spark.createDataFrame([(1, 1, 1, 0), (1, 2, 1, 0), (1, 2, 1, 1)], "doc long, line int, doc0 long, line0 int")
+    assert [tuple(r) for r in line_dedup._close(pairs, texts, 80).collect()] == [(1, 1, 1, 0)]
+    docs = spark.createDataFrame([(1, "\n".join(" ".join(x) for x in lines))], "doc_id long, text string")
+    kept = line_dedup.dedup_lines(docs).first()
+    assert kept["n_removed_lines"] == 1 and kept["text"] == "\n".join(" ".join(lines[k]) for k in (0, 2))
