@@ -8,9 +8,9 @@ matches it; matches are judged on the input.  Words are ordered by rarity (a cla
 2. Leaders: lines of equal size that share one of their rarest words are compared with the first of them.  Families
    of variants end here with one comparison a member.
 3. Lines still standing meet all earlier lines that share a prefix word, under the length filter, the positional
-   filter and a bound from a 64-bit parity signature (each differing word flips at most one bit).
-4. Candidates are judged by a parity signature of 256 bits of their words, which long lines need, and what is left is
-   verified on the words.
+   filter and a bound from a parity signature (each differing word flips at most one bit): 64 bits, and 256 for long
+   lines, of which 64 bits say nothing.  All of it is judged where the words meet, so no false candidate is moved.
+4. What is left is verified on the words, the first candidate of a line before its others.
 """
 
 from __future__ import annotations
@@ -22,11 +22,14 @@ from caseloom.llm import shared
 from caseloom.session import cut_lineage, shuffles_released
 
 PERCENT = 80
-#: Slots of the rarity table and bits of the candidate table, both fixed bounds of what tasks are sent.
-RARITY_SLOTS = 1 << 18
+#: Bits of a place in the rarity table and bits of the candidate table, both fixed bounds of what tasks are sent.
+RARITY_BITS = 18
 CANDIDATE_BITS = 1 << 20
 #: Rarest words of a line by which leaders are sought.
 LEADING = 3
+#: Words from which a line carries a signature of 256 bits; shorter ones carry nulls.
+LONG = 48
+WIDE = ["s1", "s2", "s3"]
 
 
 def _lines(docs: DataFrame, id_col: str) -> DataFrame:
@@ -35,58 +38,72 @@ def _lines(docs: DataFrame, id_col: str) -> DataFrame:
     return rows.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "l"))
 
 
-def _rarity(docs: DataFrame) -> bytes:
+def _words(text: Column) -> Column:
+    """Array of the words of a text; only texts with other white space than blanks and line ends pass a pattern."""
+    other = F.lit(False)
+    for c in "\t\n\x0b\x0c\r":
+        other = other | F.contains(text, F.lit(c))
+    return F.when(other, shared.words_expr(text)).otherwise(F.array_remove(F.split(F.coalesce(text, F.lit("")), " "), ""))
+
+
+def _rarity(docs: DataFrame) -> Column:
+    """Array by the top bits of a word's hash: its class of corpus count, crossed with the top byte of the hash."""
     words = docs.select(F.explode(shared.words_expr(F.col("text").cast("string"))).alias("w"))
-    return shared.log_classes(words.select(F.xxhash64("w").alias("h")), "h", RARITY_SLOTS)
+    words = words.select(F.shiftrightunsigned(F.xxhash64("w"), 64 - RARITY_BITS).alias("slot"))
+    classes = shared.log_classes(words, "slot", 1 << RARITY_BITS)
+    # Half of the class: the top bit is the sign, and the most frequent words must come last.
+    crossed = ",".join(str(c >> 1 ^ slot >> (RARITY_BITS - 8)) for slot, c in enumerate(classes))
+    return F.from_json(F.lit(f"[{crossed}]"), "array<bigint>")  # of constants, so it is read once
 
 
 def _sets(docs: DataFrame, id_col: str, percent: int) -> DataFrame:
-    """First line of each distinct set: ``doc, line, n, sig`` and the prefix words in order of rarity."""
+    """First line of each distinct set: ``doc, line, n``, signatures and the prefix words in order of rarity."""
     with shuffles_released(docs.sparkSession):
-        rarity = F.lit(bytearray(_rarity(docs)))
-    words = shared.words_expr(F.col("l"))
-    rows = _lines(docs, id_col).select("doc", "line", F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))).alias("h"))
+        rarity = _rarity(docs)
+    rows = _lines(docs, id_col).select("doc", "line", F.array_distinct(F.transform(_words(F.col("l")), lambda w: F.xxhash64(w))).alias("h"))
     rows = rows.filter(F.size("h") > 0)
 
     def ranked(h: Column) -> Column:
-        place = h.bitwiseAND(RARITY_SLOTS - 1).cast("int") + 1
-        return F.struct(F.substring(rarity, place, F.lit(1)).alias("r"), h.alias("h"))
+        # The class takes the place of the top byte.  Words that differ in nothing else meet as one: more candidates, none lost.
+        slot = F.shiftrightunsigned(h, 64 - RARITY_BITS).cast("int")
+        return h.bitwiseXOR(F.shiftleft(F.coalesce(F.get(rarity, slot), F.lit(0).cast("long")), 56))
 
-    rows = rows.select(
+    part = "if(n < {0}, null, aggregate(h, 0L, (a, x) -> if((x & 192) = {1}, a ^ shiftleft(1L, cast(x & 63 as int)), a))) AS s{2}"
+    rows = rows.withColumn("n", F.size("h")).select(
         "doc",
         "line",
-        F.size("h").alias("n"),
+        "n",
         F.expr("aggregate(h, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("sig"),
-        F.sort_array(F.transform("h", ranked)).alias("s"),
+        *[F.expr(part.format(LONG, 64 * k, k)) for k in (1, 2, 3)],
+        F.sort_array(F.transform("h", ranked)).alias("t"),
     )
-    rows = rows.withColumn("prefix", F.expr(f"transform(slice(s, 1, n - cast(ceil({percent} * n / 100) as int) + 1), x -> x.h)"))
-    rows = rows.withColumn("all", F.xxhash64("s")).drop("s")
-    return rows.groupBy("n", "sig", "all", "prefix").agg(F.min(F.struct("doc", "line")).alias("at")).select("at.*", "n", "sig", "prefix")
+    rows = rows.withColumn("prefix", F.expr(f"slice(t, 1, n - cast(ceil({percent} * n / 100) as int) + 1)"))
+    rows = rows.withColumn("all", F.xxhash64("t")).drop("t")
+    names = ["n", "sig", *WIDE, "prefix"]
+    return rows.groupBy("all", *names).agg(F.min(F.struct("doc", "line")).alias("at")).select("at.*", *names)
 
 
 def _may_match(a: str, b: str, percent: int) -> Column:
-    """Length, positional and signature bounds for rows with columns n, i (place in the prefix) and sig."""
+    """Length, positional and signature bounds for rows with columns n, i (place in the prefix), sig and the wide parts."""
     need = f"ceil({percent} * ({a}.n + {b}.n) / {100 + percent})"
+    most = f"{a}.n + {b}.n - 2 * {need}"
+    # All four parts of a signature of 256 bits make up the one of 64 bits.
+    first = " ^ ".join(f"{x}.{c}" for x in (a, b) for c in ["sig", *WIDE])
+    apart = " + ".join([f"bit_count({first})", *[f"bit_count({a}.{c} ^ {b}.{c})" for c in WIDE]])
     return F.expr(
         f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)"
         f" AND 1 + least({a}.n - {a}.i, {b}.n - {b}.i) >= {need}"
-        f" AND bit_count({a}.sig ^ {b}.sig) <= {a}.n + {b}.n - 2 * {need}"
+        f" AND bit_count({a}.sig ^ {b}.sig) <= {most} AND coalesce({apart} <= {most}, true)"
     )
 
 
 def _close(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose word sets may match by their sizes and parity signatures of 256 bits; no pair that matches is lost.
-
-    64 bits say nothing of sets of a hundred words and more.  Signatures travel with the pairs here, words do not.
-    """
-    h = texts.select("doc", "line", F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    part = "aggregate(h, 0L, (a, x) -> if(((x >> 6) & 3) = {0}, a ^ shiftleft(1L, cast((x >> 8) & 63 as int)), a)) AS s{0}"
-    ends = h.selectExpr("doc", "line", "n", *[part.format(k) for k in range(4)])
-    earlier = ends.toDF(*[f"{c}0" for c in ends.columns])
-    both = pairs.join(ends, ["doc", "line"]).join(earlier, ["doc0", "line0"])
-    apart = " + ".join(f"bit_count(s{k} ^ s{k}0)" for k in range(4))
-    both = both.filter(f"{apart} <= n + n0 - 2 * ceil({percent} * (n + n0) / {100 + percent})")
-    return both.select("doc", "line", "doc0", "line0")
+    """Pairs whose word sets match."""
+    earlier = texts.select(F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.col("words").alias("words0"))
+    both = pairs.join(texts, ["doc", "line"]).join(earlier, ["doc0", "line0"])
+    common = F.size(F.array_intersect("words", "words0"))
+    matched = both.filter(100 * common >= percent * (F.size("words") + F.size("words0") - common))
+    return matched.select("doc", "line", "doc0", "line0")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, percent: int) -> DataFrame:
@@ -97,13 +114,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, percent: int) -> D
         bits = shared.bit_table(ends, "h", CANDIDATE_BITS)
     texts = _lines(docs, id_col).withColumn("h", F.xxhash64("doc", "line")).filter(shared.maybe_in(bits, "h"))
     texts = texts.join(ends.select("doc", "line").distinct(), ["doc", "line"], "left_semi").dropDuplicates(["doc", "line"])
-    texts = cut_lineage(texts.select("doc", "line", F.array_distinct(shared.words_expr(F.col("l"))).alias("words")))
-    pairs = cut_lineage(_close(pairs, texts, percent), pairs)
-    earlier = texts.select(F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.col("words").alias("words0"))
-    both = pairs.join(texts, ["doc", "line"]).join(earlier, ["doc0", "line0"])
-    common = F.size(F.array_intersect("words", "words0"))
-    matched = both.filter(100 * common >= percent * (F.size("words") + F.size("words0") - common))
-    return cut_lineage(matched.select("doc", "line").distinct(), texts, pairs)
+    texts = cut_lineage(texts.select("doc", "line", F.array_distinct(_words(F.col("l"))).alias("words")))
+    # One earlier line settles most; only lines that it leaves standing meet their other candidates.
+    first = pairs.groupBy("doc", "line").agg(F.min(F.struct("doc0", "line0")).alias("at")).select("doc", "line", "at.*")
+    settled = cut_lineage(_close(first, texts, percent).select("doc", "line"))
+    rest = pairs.join(settled, ["doc", "line"], "left_anti").join(first, ["doc", "line", "doc0", "line0"], "left_anti")
+    late = _close(rest, texts, percent).select("doc", "line").distinct()
+    return cut_lineage(settled.unionByName(late), texts, pairs, settled)
 
 
 def surviving_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id") -> DataFrame:
@@ -111,15 +128,15 @@ def surviving_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     sets = cut_lineage(_sets(docs, id_col, percent))
     # Leaders among the rarest words only: what they miss is met below.
     ranked = F.posexplode(F.slice("prefix", 1, LEADING)).alias("i", "t")
-    led = sets.select("doc", "line", "n", "sig", ranked).withColumn("i", F.col("i") + 1)
-    led = led.withColumn("first", F.expr("min(struct(doc, line, n, i, sig)) OVER (PARTITION BY t, n)"))
+    led = sets.select("doc", "line", "n", "sig", *WIDE, ranked).withColumn("i", F.col("i") + 1)
+    led = led.withColumn("first", F.expr("min(struct(doc, line, n, i, sig, s1, s2, s3)) OVER (PARTITION BY t, n)"))
     led = led.filter((F.col("first.doc") != F.col("doc")) | (F.col("first.line") != F.col("line")))
     led = led.alias("b").filter(_may_match("b", "first", percent))
     led = led.select("doc", "line", F.col("first.doc").alias("doc0"), F.col("first.line").alias("line0"))
     gone = _verified(cut_lineage(led.distinct()), docs, id_col, percent)
 
     open_ = sets.join(gone.withColumn("open", F.lit(0)), ["doc", "line"], "left").withColumn("open", F.coalesce("open", F.lit(1)))
-    rows = open_.select("doc", "line", "n", "sig", "open", F.posexplode("prefix").alias("i", "t")).withColumn("i", F.col("i") + 1)
+    rows = open_.select("doc", "line", "n", "sig", *WIDE, "open", F.posexplode("prefix").alias("i", "t")).withColumn("i", F.col("i") + 1)
     dealt = rows.repartition("t")
     # The shorter of two sets needs a shorter prefix; equal sizes need it on both sides.
     short = f"ceil({2 * percent} * {{0}}.n / {100 + percent})"
