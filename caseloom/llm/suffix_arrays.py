@@ -1,9 +1,9 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, of a run of bytes.
 
 Suffixes are classed as smaller (S) or larger (L) than their right neighbour.  Substrings from one leftmost S place to
-the next are sorted by induction and named; if names repeat, the string of names is sorted recursively.  From the
-sorted leftmost S suffixes all others are induced.  On the byte level a bucket is filled from all entries of
-another at once by array operations; the string of names, a third as long, is handled entry by entry.
+the next are sorted by induction and named; if names repeat, the string of names, a third as long, is sorted by ranks of
+doubled length.  From the sorted leftmost S suffixes all others are induced: a bucket is filled from all entries of
+another at once.  Both work by array operations, never entry by entry.
 """
 
 from __future__ import annotations
@@ -97,38 +97,29 @@ def _send(t: np.ndarray, s: np.ndarray, run: np.ndarray, c: int, runs: list, wan
         runs[value[a]].append(before[a:b])
 
 
-def _induce_names(t: list, s: list, seeds: list, k: int) -> list:
-    """The same for a string of names, entry by entry."""
+def _double(t: np.ndarray) -> np.ndarray:
+    """All suffixes in order for a string of names: ranks of twice the length from two ranks, where still equal."""
     n = len(t)
-    sizes = np.bincount(t, minlength=k)
-    ends = np.cumsum(sizes)
-    sa = [-1] * n
-    tail = (ends - 1).tolist()
-    for i in reversed(seeds):
-        c = t[i]
-        sa[tail[c]] = i
-        tail[c] -= 1
-    # Bucket of the left neighbour where it is L or S; the entry behind the end answers for empty places (-1).
-    left_large = [-1] + [-1 if small else c for c, small in zip(t[:-1], s)] + [-1]
-    left_small = [-1] + [c if small else -1 for c, small in zip(t[:-1], s)] + [-1]
-    head = (ends - sizes).tolist()
-    c = t[n - 1]
-    sa[head[c]] = n - 1
-    head[c] += 1
-    for i in sa:  # entries set on the way are met when reached
-        c = left_large[i]
-        if c >= 0:
-            at = head[c]
-            sa[at] = i - 1
-            head[c] = at + 1
-    tail = (ends - 1).tolist()
-    for i in reversed(sa):
-        c = left_small[i]
-        if c >= 0:
-            at = tail[c]
-            sa[at] = i - 1
-            tail[c] = at - 1
-    return sa
+    order = np.argsort(t, kind="stable")
+    rank = np.empty(n, dtype=np.int64)
+    at, key, step = np.arange(n), t[order], 0
+    while True:
+        # A rank is the first place of its group in the order, so a settled suffix keeps its own.
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        rank[order[at]] = at[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        at = at[tied]
+        if not len(at):
+            return order
+        step = 2 * step or 1
+        own = order[at]
+        inside = own + step < n
+        key = rank[own] * (n + 1)
+        key[inside] += rank[own[inside] + step] + 1
+        by = np.argsort(key)
+        order[at], key = own[by], key[by]
 
 
 def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
@@ -137,18 +128,14 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     n = len(t)
     if n < 2:
         return np.arange(n)
+    if k > 512:
+        return _double(t)
     s = classes(t)
     marks = leftmost(s)
-    on_bytes = k <= 512
-    if on_bytes:
-        induce = lambda seeds: _induce_bytes(t, s, seeds, k)
-    else:
-        t_list, s_list = t.tolist(), s.tolist()
-        induce = lambda seeds: np.array(_induce_names(t_list, s_list, seeds.tolist(), k), dtype=np.int64)
     if len(marks) == 0:
-        return induce(marks)
+        return _induce_bytes(t, s, marks, k)
     rough = marks[np.argsort(t[marks], kind="stable")]
-    order = induce(rough)
+    order = _induce_bytes(t, s, rough, k)
     is_mark = np.zeros(n, dtype=bool)
     is_mark[marks] = True
     ordered = order[is_mark[order]]
@@ -156,7 +143,7 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
         names, count = _name(t, marks, ordered)
         if count < len(marks):
             ordered = marks[suffix_array(names, count)]
-    return induce(ordered)
+    return _induce_bytes(t, s, ordered, k)
 
 
 def _name(t: np.ndarray, marks: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, int]:
@@ -185,24 +172,41 @@ def _name(t: np.ndarray, marks: np.ndarray, ordered: np.ndarray) -> tuple[np.nda
 
 
 def permuted_prefixes(t: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Common prefix of each suffix, by place in the text, with the one before it in order; counted up to ``most``."""
+    """Common prefix of each suffix, by place in the text, with the one before it in order; counted up to ``most``.
+
+    Where the suffix at the next place follows the next place of the same partner, the prefix is longer by one than
+    there, so bytes are compared only at the last place of each such run.
+    """
     n = len(t)
     out = np.zeros(n, dtype=np.int64)
-    before = np.full(n, -1, dtype=np.int64)
+    if n < 2:
+        return out
+    before = np.empty(n, dtype=np.int64)
     before[order[1:]] = order[:-1]
-    padded = np.concatenate([t.astype(np.uint8), np.zeros(most + 8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    live = np.flatnonzero(before >= 0)
-    for step in range(0, most - 7, 8):
-        if not len(live):
+    before[order[0]] = -n
+    text = np.concatenate([t.astype(np.uint8), np.zeros(most + 8, np.uint8)])
+    words = np.ndarray(len(text) - 7, dtype="<u8", buffer=text, strides=(1,))
+    run_on = np.zeros(n, dtype=bool)
+    run_on[:-1] = (before[1:] == before[:-1] + 1) & (before[:-1] >= 0)
+    # Suffixes that start with different bytes share nothing, whatever their neighbours share.
+    run_on[:-1] &= t[:-1] == t[before[:-1]]
+    last = np.flatnonzero(~run_on)
+    live = last[before[last] >= 0]
+    # No suffix shares bytes behind the end of the text, where zeros stand.
+    room = n - np.maximum(live, before[live])
+    near, known = live, np.zeros(len(live), dtype=np.int64)
+    left = np.arange(len(live))
+    for step in range(0, most, 8):
+        differs = words[near + step] ^ words[before[near] + step]
+        equal = differs == 0
+        ends = differs[~equal]
+        # The lowest bit that differs tells the byte.
+        bit = ends & (~ends + np.uint64(1))
+        known[left[~equal]] = step + np.log2(bit.astype(np.float64)).astype(np.int64) // 8
+        left, near = left[equal], near[equal]
+        known[left] = step + 8
+        if not len(left):
             break
-        equal = (words[live + step] == words[before[live] + step]).all(axis=1)
-        out[live[equal]] = step + 8
-        live = live[equal]
-    rest = most % 8
-    ends = np.flatnonzero(before >= 0)
-    ends = ends[(out[ends] >= most - most % 8)] if rest else ends[:0]
-    for step in range(most - rest, most):
-        ends = ends[padded[ends + step] == padded[before[ends] + step]]
-        out[ends] = step + 1
-    return out
+    out[live] = np.minimum(np.minimum(known, room), most)
+    until = last[np.cumsum(~run_on) - ~run_on]
+    return np.where(run_on, np.minimum(out[until] + until - np.arange(n), most), out)
