@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import threading
 import uuid
 import weakref
 from collections.abc import Iterator
@@ -24,6 +25,10 @@ _TABLES: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 _RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+# Blocks of each session that release shuffles now, from any thread, and the setting before the first of them.
+_RELEASING: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_LOCK = threading.Lock()
+
 
 def use_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for checkpoints: the one the cluster names, a scratch one only in local mode.
@@ -49,13 +54,21 @@ def shuffles_released(spark: SparkSession) -> Iterator[None]:
     """Queries run inside give back their shuffle files as they end.
 
     Without it the files stay until the driver happens to collect the plan, so a chain of jobs holds the shuffles of all.
+    The setting is one for all threads; the last block to end restores what was there before the first.
     """
-    before = spark.conf.get(_RELEASE, "false")
-    spark.conf.set(_RELEASE, "true")
+    with _LOCK:
+        held = _RELEASING.setdefault(spark, {"blocks": 0})
+        if not held["blocks"]:
+            held["before"] = spark.conf.get(_RELEASE, "false")
+            spark.conf.set(_RELEASE, "true")
+        held["blocks"] += 1
     try:
         yield
     finally:
-        spark.conf.set(_RELEASE, before)
+        with _LOCK:
+            held["blocks"] -= 1
+            if not held["blocks"]:
+                spark.conf.set(_RELEASE, held["before"])
 
 
 def cut_lineage(df: DataFrame, *used: DataFrame) -> DataFrame:

@@ -46,3 +46,14 @@ def test_results_do_not_need_released_shuffles(spark):
         assert grouped.agg(F.sum("count")).first()[0] == 10_000
     assert sorted(r["count"] for r in grouped.collect()) == sorted(r["count"] for r in written.collect())
     session.drop_tables(written, again)
+
+
+def test_blocks_that_overlap_in_threads_restore_the_setting(spark):
+    before = spark.conf.get(session._RELEASE, "false")
+    first, second = session.shuffles_released(spark), session.shuffles_released(spark)
+    first.__enter__()
+    second.__enter__()
+    first.__exit__(None, None, None)
+    assert spark.conf.get(session._RELEASE) == "true"
+    second.__exit__(None, None, None)
+    assert spark.conf.get(session._RELEASE) == before == "false"
